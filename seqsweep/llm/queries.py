@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, packing, quality, samples
+from . import decontam, langid, linededup, neardup, packing, quality, samples, substrings, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,56 @@ select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from w left join p using (doc_id) left join t using (doc_id)"""
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chunks, n_repeated, deleted_bytes, sources, text for every document."""
+    found = substrings.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_chunks", "n_repeated", "deleted_bytes", "sources", "text")
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: five rows for each query."""
+    return topk.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP6_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, x.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) as bigint) as score
+  from v q join v x on q.vec_id <> x.vec_id and len(q.v) = len(x.v) where q.vec_id % 50 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_deleted, partners, text for every document."""
+    found = linededup.deduplicate(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", "partners", "text")
+
+
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    return neardup.groups(_read(spark, sf_dir, "documents").select("doc_id", "text"), k=4)
+
+
+def neardup_sql(table: str, k: int) -> str:
+    """Exact groups: shared shingles are counted for every pair, and labels spread along links."""
+    return rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from {table}),
+s as (
+  select distinct doc_id, hash(array_to_string(ws[i:i + {k - 1}], ' ')) as sh
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - {k - 1}, 1) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+e as (
+  select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by 1, 2)
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+r as (select doc_id as a, doc_id as b from w union select r.a, e.b from r join e on r.b = e.a)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, m.component_id, w.doc_id = m.component_id as kept
+from w left join n using (doc_id) join (select a as doc_id, min(b) as component_id from r group by a) m using (doc_id)"""
+
+
 def tokenizer_files() -> dict[str, str]:
     """The public byte-level vocabulary, as a file of the tokenizer and as ranks, and the split pattern."""
     import public_tokenizers
@@ -70,5 +120,5 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), **tokenizer_files())
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op8_pack": op8_pack}
-SQL: dict[str, str] = {"op3_decontaminate": OP3_SQL}
+QUERIES = {"op1_quality": op1_quality, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_neardup": op7_neardup, "op8_pack": op8_pack, "op9_lines": op9_lines}
+SQL: dict[str, str] = {"op6_topk": OP6_SQL, "op7_neardup": neardup_sql("documents", 4), "op3_decontaminate": OP3_SQL}
