@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,9 +21,10 @@ def ship(spark: SparkSession) -> None:
         return
     _sent.add(sc.applicationId)
     top = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as d:
-        name = os.path.join(d, "seqsweep.zip")
-        with zipfile.ZipFile(name, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        sc.addPyFile(name)
+    held = tempfile.mkdtemp(prefix="seqsweep-code-")  # tasks fetch the file later, so it stays until the driver ends
+    atexit.register(shutil.rmtree, held, ignore_errors=True)
+    name = os.path.join(held, "seqsweep.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    sc.addPyFile(name)
