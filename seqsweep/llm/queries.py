@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, linededup, neardup, packing, quality, samples, substrings, topk
+from . import decontam, html, langid, linededup, neardup, packing, pii, quality, samples, substrings, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,18 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(samples.crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars for every page."""
+    return html.extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the number of base spans of each kind, base_sha256 and spans for every document."""
+    found = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.listed(base=True)), 256).alias("base_sha256"), F.expr(pii.listed(base=False)).alias("spans"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
     docs, items = _read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark")
@@ -120,5 +132,5 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), **tokenizer_files())
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_neardup": op7_neardup, "op8_pack": op8_pack, "op9_lines": op9_lines}
+QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_language": op4_language, "op5_substrings": op5_substrings, "op6_topk": op6_topk, "op7_neardup": op7_neardup, "op8_pack": op8_pack, "op9_lines": op9_lines, "op10_pii": op10_pii}
 SQL: dict[str, str] = {"op6_topk": OP6_SQL, "op7_neardup": neardup_sql("documents", 4), "op3_decontaminate": OP3_SQL}
