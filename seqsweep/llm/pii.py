@@ -145,7 +145,8 @@ def tree_sql(tree) -> str:
 
 def train(proposed: DataFrame, precision: float) -> dict[str, tuple[list, float]]:
     """Trees and threshold of each kind that has positives and candidates beside them."""
-    rows = proposed.where(F.size("candidates") > 0).select(F.explode("candidates").alias("c"))
+    # explode() would have its emptiness test pushed below all projections, which would evaluate them once more each
+    rows = proposed.where("t <> ''").select(F.explode_outer("candidates").alias("c")).where("c.kind is not null")
     counted = rows.groupBy("c.kind", *[f"c.{f}" for f in FEATURES]).agg(F.count_if("c.known").alias("p"), F.count_if(~F.col("c.known")).alias("n"))
     cells: dict[str, list] = {k: [] for k in KINDS}
     for r in counted.orderBy("kind", *FEATURES).collect():  # at most the product of the bins
