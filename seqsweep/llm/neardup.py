@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 from . import store, text
 
+#: Ids that are sent to all tasks, so that only the texts of candidates move; beyond, texts are shuffled by id.
+MOST_SENT = 1_000_000
 LEVEL_BITS = 16
 SKETCH = 256
 
@@ -232,7 +234,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
                 ok.append(whole * both >= part * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    wanted = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(ids, "k", "left_semi").dropDuplicates(["k"])
+    ids = store.written(ids, "wanted")
+    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
+    wanted = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(ids) if few else ids, "k", "left_semi").dropDuplicates(["k"])
     table = store.written(wanted.mapInArrow(sets, f"k {kind}, s array<bigint>"), "sets")
     full = pairs.join(table.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(table.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     return full.select("a", "b", "sa", "sb").mapInArrow(test, f"a {kind}, b {kind}")
