@@ -255,9 +255,9 @@ def groups(
     classes = store.written(classes, "labels")
     options = {"least_depth": least_depth, "depth": depth, "region": region}
     where = {"id_col": id_col, "text_col": text_col, "k": k, "part": part, "whole": whole}
-    # an estimate five deviations below the threshold: half the bits agree by chance
+    # an estimate 4.5 deviations below the threshold (3e-6 of the links at the very threshold): half the bits agree by chance
     share = 0.5 + part / whole / 2
-    floor_bits = int(SKETCH * (share - 5.5 * np.sqrt(share * (1 - share) / SKETCH)))
+    floor_bits = int(SKETCH * (share - 4.5 * np.sqrt(share * (1 - share) / SKETCH)))
     alone = classes.withColumn("component", F.col("rep"))
     near = candidates(forest(alone, range(first_trees)), id_type, near_only=True, floor_bits=floor_bits, **options)
     links = store.written(confirmed(store.written(near, "pairs"), docs, **where), "confirmed")
