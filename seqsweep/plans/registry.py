@@ -1,4 +1,280 @@
-"""The engine's registered queries and their SQL."""
+"""The engine's registered queries and their SQL, over a genome derived from the test tables.
 
-QUERIES: dict = {}
-SQL: dict = {}
+The tables hold no sequences: the letters of `documents` become bases (a document is a sequence), the guides are the
+first twenty of every benchmark item that has as many and no masked base, and labelled documents give intervals.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqsweep.functions import score
+from seqsweep.functions import seq as S
+from seqsweep.operators import post, report, scan
+from seqsweep.plans import engine
+from seqsweep.sources import readers
+
+K = 3
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def genome(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+    parts = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    return docs.repartition(parts).select(F.col("doc_id").cast("int").alias("chrom_idx"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), S.encode_text(F.col("text")).alias("seq"))
+
+
+def guides(spark: SparkSession, sf: str) -> DataFrame:
+    seq = F.substring(S.encode_text(F.col("text")), 1, 20)
+    rows = read(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("spacer_idx"), F.concat(F.lit("sp_"), "item_id").alias("spacer"), seq.alias("sequence"))
+    return rows.where((F.length("sequence") == 20) & ~F.contains("sequence", F.lit("N")))
+
+
+def intervals(spark: SparkSession, sf: str) -> DataFrame:
+    start = F.expr("(doc_id * 37) % 500")
+    return read(spark, sf, "labels").select(F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), start.alias("start"), (start + 400).alias("end"))
+
+
+def found(spark: SparkSession, sf: str, **options) -> DataFrame:
+    wanted = engine.Search(**{"threshold": K, "distance_mode": "hamming", "penalties": score.linear_penalties(), "pam_extract_length": 3} | options)
+    return engine.search(readers.tile(genome(spark, sf)), guides(spark, sf), wanted)
+
+
+PLACE = ("spacer_idx", "strand", "chrom", "start", "end", "distance")
+
+GENOME_SQL = """g as (select cast(doc_id as int) as chrom_idx, 'doc_' || doc_id as chrom, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN') as seq
+  from documents where doc_id is not null and text is not null),
+sp as (select * from (select cast(item_id as int) as spacer_idx, 'sp_' || item_id as spacer, substr(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN'), 1, 20) as sequence from benchmark)
+  where len(sequence) = 20 and not contains(sequence, 'N'))"""
+RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
+HITS_SQL = GENOME_SQL + f""",
+pat as (select spacer_idx, '+' as strand, sequence as p from sp union all select spacer_idx, '-', {RC.format('sequence')} from sp),
+win as (select chrom_idx, chrom, seq, i, substr(seq, i, 20) as w from (select *, unnest(range(1, len(seq) - 18)) as i from g where len(seq) >= 20)),
+h0 as (select distinct spacer_idx, strand, chrom_idx, chrom, i from (
+  select * from win join pat on substr(w, 1, 5) = substr(p, 1, 5) union all select * from win join pat on substr(w, 6, 5) = substr(p, 6, 5)
+  union all select * from win join pat on substr(w, 11, 5) = substr(p, 11, 5) union all select * from win join pat on substr(w, 16, 5) = substr(p, 16, 5)) where hamming(w, p) <= 3),
+h as (select spacer_idx, strand, chrom_idx, h0.chrom, cast(i - 1 as bigint) as "start", cast(i + 19 as bigint) as "end", cast(hamming(substr(seq, i, 20), p) as int) as distance, sequence,
+    case strand when '+' then substr(seq, i, 20) else {RC.format('substr(seq, i, 20)')} end as aligned,
+    nullif(case strand when '+' then substr(seq, i + 20, 3) else reverse(translate(substr(seq, greatest(i - 3, 1), i - greatest(i - 3, 1)), 'ACGTN', 'TGCAN')) end, '') as pam3,
+    nullif(case strand when '+' then substr(seq, greatest(i - 3, 1), i - greatest(i - 3, 1)) else reverse(translate(substr(seq, i + 20, 3), 'ACGTN', 'TGCAN')) end, '') as pam5
+  from h0 join g using (chrom_idx) join pat using (spacer_idx, strand) join sp using (spacer_idx))"""
+
+
+def place_sql(where: str = "true") -> str:
+    return f'with {HITS_SQL} select spacer_idx, strand, chrom, "start", "end", distance from h where {where}'
+
+
+SCORED_SQL = HITS_SQL + """,
+f as (select *, case when strand = '+' then aligned else aligned end as a from h),
+c as (select *, list_reduce([1.0::double] || list_transform(range(1, 21), lambda j: case when a[j] = sequence[j] or a[j] = 'N' then 1.0::double else (1 - j / 25.0)::double end), lambda x, y: x * y)
+   * coalesce(map {'AG': 0.259, 'CG': 0.107, 'GA': 0.069, 'GC': 0.022, 'GG': 1.0, 'GT': 0.016, 'TG': 0.039}[case when len(pam3) >= 3 then substr(pam3, 2, 2) when len(pam3) = 2 then pam3 end], 0.0)::double as cfd,
+   len(list_filter(range(4, 21), lambda j: a[j] <> sequence[j] and a[j] <> 'N')) as seed from f)"""
+
+LEV_K = 1
+LEV_SQL = GENOME_SQL + f""",
+pat as (select spacer_idx, '+' as strand, sequence as p from sp union all select spacer_idx, '-', {RC.format('sequence')} from sp),
+w10 as (select chrom_idx, i, substr(seq, i, 10) as w from (select chrom_idx, seq, unnest(range(1, len(seq) - 8)) as i from g where len(seq) >= 10)),
+occ as (select chrom_idx, spacer_idx, strand, i + 19 as e from w10 join pat on w = substr(p, 1, 10) union select chrom_idx, spacer_idx, strand, i + 9 from w10 join pat on w = substr(p, 11, 10)),
+cand as (select distinct chrom_idx, spacer_idx, strand, e + d as e from occ, (select unnest(range(-1, 2)) as d)),
+lev as (select spacer_idx, strand, chrom_idx, chrom, cast(e as bigint) as "end",
+    cast(list_min(list_transform(range(19, 22), lambda t: case when t <= e then levenshtein(p, substr(seq, e - t + 1, t)) else 99 end)) as int) as distance
+  from cand join g using (chrom_idx) join pat using (spacer_idx, strand) where e between 1 and len(seq)),
+raw as (select * from lev where distance <= 1)"""
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query(f"with {GENOME_SQL} select chrom, cast(len(seq) as bigint) as n_bases, cast(len(seq) - len(replace(seq, 'N', '')) as bigint) as n_masked, cast(len(seq) - len(translate(seq, 'GC', '')) as bigint) as n_gc from g")
+def genome_stats(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.length("seq").cast("long")
+    return genome(spark, sf).select("chrom", n.alias("n_bases"), (n - F.length(F.replace("seq", F.lit("N")))).cast("long").alias("n_masked"), (n - F.length(F.translate("seq", "GC", ""))).cast("long").alias("n_gc"))
+
+
+@query(f"with {GENOME_SQL} select chrom, cast(len(seq) as bigint) as length, cast(coalesce(sum(len(seq)) over (order by chrom_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as start from g")
+def chrom_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.dictionary(genome(spark, sf)).select("chrom", "length", "start")
+
+
+@query(f"with {GENOME_SQL} select chrom, cast(a as bigint) as core_start, cast(least(1000, len(seq) - a) as int) as core_len, cast(greatest(0, a - 50) as bigint) as text_start, substr(seq, greatest(0, a - 50) + 1, least(len(seq), a + 1050) - greatest(0, a - 50)) as text from (select *, unnest(range(0, len(seq), 1000)) as a from g)")
+def tile_table(spark: SparkSession, sf: str) -> DataFrame:
+    return readers.tile(genome(spark, sf), core=1000, margin=50).select("chrom", "core_start", "core_len", "text_start", "text")
+
+
+@query(f"with {GENOME_SQL} select chrom, substr(seq, 101, 60) as slice from g where len(seq) > 100")
+def region_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return genome(spark, sf).where(F.length("seq") > 100).select("chrom", F.substring("seq", 101, 60).alias("slice"))
+
+
+@query(f"with {GENOME_SQL} select spacer, reverse(translate(sequence, 'ACGTN', 'TGCAN')) as rc from sp")
+def reverse_complement(spark: SparkSession, sf: str) -> DataFrame:
+    return guides(spark, sf).select("spacer", S.reverse_complement(F.col("sequence")).alias("rc"))
+
+
+@query("select item_id, translate(text, 'Uu', 'Tt') as text from benchmark")
+def uracil(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select("item_id", S.uracil_to_thymine(F.col("text")).alias("text"))
+
+
+@query("select item_id, coalesce(regexp_full_match(substr(text, 1, 2), '[ACGTNacgtn]+'), false) as valid from benchmark")
+def pattern_validity(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "benchmark").select("item_id", S.valid_pattern(F.substring("text", 1, 2)).alias("valid"))
+
+
+@query(f"with {GENOME_SQL} select chrom, coalesce(regexp_matches(seq, '^[ACGTN][AG]G'), false) as nrg, coalesce(regexp_matches(seq, '^TTT[ACG]'), false) as tttv from g")
+def motif_match(spark: SparkSession, sf: str) -> DataFrame:
+    return genome(spark, sf).select("chrom", S.motif_matches(F.col("seq"), "NRG").alias("nrg"), S.motif_matches(F.col("seq"), "TTTV").alias("tttv"))
+
+
+@query(place_sql())
+def hamming_both(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, compute_mismatches=False).select(*PLACE)
+
+
+@query(place_sql("strand = '+'"))
+def hamming_plus(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, strand="plus", compute_mismatches=False).select(*PLACE)
+
+
+@query(place_sql("strand = '-'"))
+def hamming_minus(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, strand="minus", compute_mismatches=False).select(*PLACE)
+
+
+@query(place_sql("distance = 0"))
+def hamming_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, threshold=0, compute_mismatches=False).select(*PLACE)
+
+
+@query(place_sql("regexp_matches(pam3, '^[ACGTN]GG')"))
+def hamming_pam_ngg(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, pam="NGG", compute_mismatches=False).select(*PLACE)
+
+
+@query(place_sql("regexp_matches(pam5, '^[ACGTN][AG]')"))
+def hamming_pam_5prime(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, pam="NR", pam_position="5", compute_mismatches=False).select(*PLACE)
+
+
+@query(place_sql("chrom = 'doc_3' and \"start\" >= 10 and \"end\" <= 1000"))
+def hamming_region(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, region="doc_3:11-1001", compute_mismatches=False).select(*PLACE)
+
+
+@query(place_sql().replace('"start", "end", distance from h', '"end", distance from h'))
+def hamming_seed_join(spark: SparkSession, sf: str) -> DataFrame:
+    g = guides(spark, sf)
+    both = g.select("spacer_idx", F.lit("+").alias("strand"), F.col("sequence").alias("pattern")).union(g.select("spacer_idx", F.lit("-"), S.reverse_complement(F.col("sequence"))))
+    return scan.seeds(readers.tile(genome(spark, sf), core=256, margin=40), both, k=K).select("spacer_idx", "strand", "chrom", "end", "distance")
+
+
+@query(f'with {HITS_SQL} select spacer_idx, strand, chrom, "end", pam3 as pam_seq, case when pam3 is null or len(pam3) < 3 then \'INCOMPLETE\' when substr(pam3, 2, 2) = \'GG\' then \'NGG\' when substr(pam3, 2, 2) = \'AG\' then \'NAG\' else \'OTHER\' end as pam_class from h')
+def motif_3prime(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, compute_mismatches=False).select("spacer_idx", "strand", "chrom", "end", "pam_seq", S.motif_class(F.col("pam_seq")).alias("pam_class"))
+
+
+@query(f'with {HITS_SQL} select spacer_idx, strand, chrom, "end", pam5 as pam_seq from h')
+def motif_5prime(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, pam_position="5", compute_mismatches=False).select("spacer_idx", "strand", "chrom", "end", "pam_seq")
+
+
+@query(f"with {HITS_SQL} select spacer, cast(sum(count(*)) over (partition by spacer) as bigint) as total_hits, distance, count(*) as n from h join sp using (spacer_idx) group by spacer, distance")
+def summary_by_distance(spark: SparkSession, sf: str) -> DataFrame:
+    rows = report.by_distance(found(spark, sf, compute_mismatches=False), guides(spark, sf))
+    return rows.select("spacer", "total_hits", F.explode("by_distance").alias("distance", "n"))
+
+
+@query(f"with {HITS_SQL} select sp.spacer, cast(count(distance) as bigint) as total_hits, " + ", ".join(f"cast(count(*) filter (distance = {d}) as bigint) as d{d}" for d in range(K + 1)) + " from sp left join h using (spacer_idx) group by sp.spacer")
+def summary_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    return report.pivot(found(spark, sf, compute_mismatches=False), guides(spark, sf), K).drop("spacer_idx", "sequence")
+
+
+@query(f'with {HITS_SQL} select spacer_idx, strand, chrom, "start", "end", distance from h qualify row_number() over (partition by spacer_idx order by chrom_idx, "end", strand) <= 2')
+def max_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, max_hits=2, compute_mismatches=False).select(*PLACE)
+
+
+@query(f'with {HITS_SQL} select spacer_idx, strand, chrom, "start", "end", distance from h order by spacer_idx, chrom_idx, "end", strand limit 25')
+def max_total_hits(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, max_total_hits=25, compute_mismatches=False).select(*PLACE)
+
+
+@query(f'with {SCORED_SQL} select spacer_idx, strand, chrom, "end", round(cfd, 6) as cfd_score from c where distance = 0')
+def cfd_score(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, threshold=0).select("spacer_idx", "strand", "chrom", "end", F.round("cfd_score", 6).alias("cfd_score"))
+
+
+@query(f'with {SCORED_SQL} select spacer_idx, strand, chrom, "end", cast(seed as int) as seed_mismatches from c where distance = 0')
+def seed_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, threshold=0).select("spacer_idx", "strand", "chrom", "end", score.seed_mismatches(F.col("pattern"), F.col("aligned_seq"), F.col("cigar")).alias("seed_mismatches"))
+
+
+@query(f'with {HITS_SQL} select h.spacer_idx, h.strand, h.chrom, h."end", exists(select 1 from labels l where l.quality = 1 and \'doc_\' || l.doc_id = h.chrom and (l.doc_id * 37) % 500 < h."end" and (l.doc_id * 37) % 500 + 400 > h."start") as good from h')
+def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    marked = report.overlaps(found(spark, sf, threshold=K, compute_mismatches=False), intervals(spark, sf))
+    return marked.select("spacer_idx", "strand", "chrom", "end", F.array_contains("labels", "good").alias("good"))
+
+
+@query(f'with {HITS_SQL} select chrom, "start", "end", \'sp_\' || spacer_idx as name, cast(20 - distance as int) as score, strand from h')
+def bed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return report.bed_rows(found(spark, sf, compute_mismatches=False))
+
+
+@query(f'with {LEV_SQL} select spacer_idx, strand, chrom, "end", distance from raw')
+def levenshtein_raw(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, distance_mode="levenshtein", threshold=LEV_K, deduplicate=False, compute_mismatches=False).select("spacer_idx", "strand", "chrom", "end", "distance")
+
+
+@query(f'''with {LEV_SQL},
+i as (select *, sum(new) over (partition by spacer_idx, strand, chrom_idx order by "end" rows unbounded preceding) as island from (
+  select *, case when "end" - lag("end") over (partition by spacer_idx, strand, chrom_idx order by "end") >= {LEV_K + 1} then 1 else 0 end as new from raw))
+select spacer_idx, strand, chrom, "end", distance from i qualify row_number() over (partition by spacer_idx, strand, chrom_idx, island order by distance, "end" desc) = 1''')
+def levenshtein_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    raw = found(spark, sf, distance_mode="levenshtein", threshold=LEV_K, deduplicate=False, compute_mismatches=False)
+    return post.deduplicate(raw.drop("pam_seq"), k=LEV_K).select("spacer_idx", "strand", "chrom", "end", "distance")
+
+
+@query()
+def levenshtein_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Alignments, motifs and scores of deduplicated hits (tie rules of the traceback are tested against brute force)."""
+    return found(spark, sf, distance_mode="levenshtein", threshold=LEV_K).select(*PLACE, "aligned_seq", "cigar", "pam_seq", "target_len", "alignment_ambiguous", "n_ambiguous_cells", "cfd_score")
+
+
+@query()
+def levenshtein_pam(spark: SparkSession, sf: str) -> DataFrame:
+    """Deduplicated hits with the motif NGG, re-aligned where an indel moves it."""
+    return found(spark, sf, distance_mode="levenshtein", threshold=2, pam="NGG").select(*PLACE, "cigar", "pam_seq")
+
+
+@query()
+def guide_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets, seed sites, aggregate activity, promiscuity and overlaps of every guide."""
+    options = engine.Search(threshold=K, distance_mode="hamming", penalties=score.linear_penalties(), pam_extract_length=3)
+    return engine.summarise(found(spark, sf), guides(spark, sf), options, intervals(spark, sf), ("good", "poor"))
+
+
+@query()
+def json_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return report.json_rows(found(spark, sf))
+
+
+@query()
+def tsv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return report.tsv_rows(found(spark, sf))
