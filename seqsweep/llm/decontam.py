@@ -63,7 +63,7 @@ class Windows:
             distinct.setdefault(tuple(words), []).append(item)
         keys = sorted(distinct, key=lambda w: (len(w), w))
         self.items = [sorted(distinct[k]) for k in keys]
-        self.size = np.array([len(k) for k in keys])
+        self.size = np.array([len(k) for k in keys], np.int64)
         self.words = np.zeros((len(keys), max(map(len, keys), default=1)), np.uint64)
         rare = np.zeros(len(keys), np.uint64)
         self.place = np.zeros(len(keys), np.int64)
