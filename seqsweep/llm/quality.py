@@ -112,9 +112,13 @@ def fit(texts: list[str], labels: np.ndarray, *, filters: int = 24, hidden: int
         "w2": rng.normal(0, 1 / np.sqrt(hidden), hidden).astype(np.float32), "b2": np.zeros((), np.float32),
         "mu": np.zeros(2 * filters, np.float32), "sd": np.ones(2 * filters, np.float32),
     }
-    parts = [prepare(*text.text_bytes(pa.array([t], pa.large_string()))) for t in texts]
-    keep = [i for i, p in enumerate(parts) if p[2][0]]
-    start = np.concatenate([pooled(responses(parts[i][0], m), parts[i][1], parts[i][2]) for i in keep])
+    keep = [i for i, t in enumerate(texts) if t]
+
+    def expanded(docs: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The byte vectors of a few documents; those of all would take 64 bytes for each byte of the sample."""
+        return prepare(*text.text_bytes(pa.array([texts[i] for i in docs], pa.large_string())))
+
+    start = np.concatenate([pooled(responses(x, m), first, n) for x, first, n in (expanded(keep[a : a + batch]) for a in range(0, len(keep), batch))])
     m["mu"], m["sd"] = start.mean(0), start.std(0) + 0.05
     learned = ("w", "b", "w1", "b1", "w2", "b2")
     moment = {k: (np.zeros_like(m[k]), np.zeros_like(m[k])) for k in learned}
@@ -123,10 +127,7 @@ def fit(texts: list[str], labels: np.ndarray, *, filters: int = 24, hidden: int
         order = rng.permutation(len(keep))
         for a in range(0, len(order), batch):
             docs = [keep[i] for i in order[a : a + batch]]
-            x = np.concatenate([parts[i][0] for i in docs])
-            shift = np.cumsum([0] + [len(parts[i][0]) for i in docs[:-1]])
-            first = np.array([parts[i][1][0] for i in docs]) + shift
-            n = np.array([parts[i][2][0] for i in docs])
+            x, first, n = expanded(docs)
             r = responses(x, m)
             p = pooled(r, first, n)
             h, z = head(p, m)
