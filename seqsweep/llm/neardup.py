@@ -8,8 +8,10 @@ depth, `least_depth` or more, at which it holds at most `region` classes. Candid
 The search takes two rounds, so that a large group of near copies does not give all of its pairs. In the first,
 only direct neighbours of a few trees are confirmed, and components are formed. In the second, all trees are read,
 and a region proposes every pair of classes that are not yet in one component (where a region of more than `region`
-classes shares a whole label, its neighbours only). A 256-bit sketch of the minima drops pairs whose estimate is far
-below the threshold before their sets are fetched. With 32 trees and a least depth of 4 a link of similarity 0.8 is
+classes shares a whole label, its neighbours only). Two sketches drop pairs before their sets are fetched:
+256 bits of the minima those whose estimate is far below the threshold, and 256 parities, one for each bucket of
+shingle hashes, those that cannot be linked: sets differ in at least as many shingles as parities differ, so that
+bound loses no link. With 32 trees and a least depth of 4 a link of similarity 0.8 is
 missed with a chance of (1 - 0.8 ** 4) ** 32, 5e-8, where regions are small.
 
 The sorted orders are dealt by ranges over (tree, label, document), so even one label that a third of all rows share
@@ -31,10 +33,11 @@ from pyspark.sql import functions as F
 
 from . import store, text
 
-#: Ids that are sent to all tasks, so that only the texts of candidates move; beyond, texts are shuffled by id.
+#: Ids or pairs that are sent to all tasks, so that only the texts and sets of candidates move; beyond, all are shuffled.
 MOST_SENT = 1_000_000
 LEVEL_BITS = 16
 SKETCH = 256
+PARITIES = 256
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,11 +70,25 @@ def minima(values: np.ndarray, per_row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def parities(values: np.ndarray, per_row: np.ndarray) -> np.ndarray:
+    """For each non-empty row PARITIES bits, packed: whether a bucket of the hashes holds an odd number of them."""
+    some = per_row[per_row > 0]
+    ends = np.cumsum(some)
+    out = np.empty((len(some), PARITIES // 8), np.uint8)
+    for a in range(0, len(some), 1024):
+        n = some[a : a + 1024]
+        mine = values[ends[a] - n[0] : ends[a + len(n) - 1]]
+        cell = (mine % np.uint64(PARITIES)).astype(np.int64) + np.repeat(np.arange(len(n)) * PARITIES, n)
+        odd = np.bincount(cell, minlength=len(n) * PARITIES) & 1
+        out[a : a + len(n)] = np.packbits(odd.astype(np.uint8).reshape(len(n), PARITIES), axis=1)
+    return out
+
+
 SIGNED = "doc_id {id}, n_shingles bigint, s1 bigint, s2 bigint, labels array<bigint>, sketch binary"
 
 
 def sign(docs: DataFrame, *, id_col: str, text_col: str, k: int, trees: int, depth: int) -> DataFrame:
-    """doc_id, n_shingles, two sums that stand for the set, the trees' labels (two longs each) and the sketch."""
+    """doc_id, n_shingles, two sums that stand for the set, the trees' labels (two longs each) and both sketches, end to end."""
     n = trees * depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,6 +108,7 @@ def sign(docs: DataFrame, *, id_col: str, text_col: str, k: int, trees: int, dep
                 for j in range(depth // 2):
                     packed = (packed << np.uint64(LEVEL_BITS)) | level[:, :, j]
                 bits = np.packbits((m[:, np.arange(SKETCH) % n] & 1).astype(np.uint8), axis=1)
+                bits = np.concatenate([bits, parities(values, per)], axis=1)
                 labels, sketches = [None] * len(per), [None] * len(per)
                 for i, row in enumerate(some.tolist()):
                     labels[row], sketches[row] = packed[i].view(np.int64).tolist(), bits[i].tobytes()
@@ -106,13 +124,13 @@ def sign(docs: DataFrame, *, id_col: str, text_col: str, k: int, trees: int, dep
 def forest(classes: DataFrame, trees: range) -> DataFrame:
     """A row for each class and tree, sorted by tree and label within ranges."""
     chosen = F.sequence(F.lit(trees[0]), F.lit(trees[-1]))
-    rows = classes.select("rep", "component", "sketch", "labels", F.explode(chosen).alias("tree"))
-    rows = rows.select("tree", F.element_at("labels", 2 * F.col("tree") + 1).alias("hi"), F.element_at("labels", 2 * F.col("tree") + 2).alias("lo"), "rep", "component", "sketch")
+    rows = classes.select("rep", "component", "n_shingles", "sketch", "labels", F.explode(chosen).alias("tree"))
+    rows = rows.select("tree", F.element_at("labels", 2 * F.col("tree") + 1).alias("hi"), F.element_at("labels", 2 * F.col("tree") + 2).alias("lo"), "rep", "component", "n_shingles", "sketch")
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartitionByRange(parts, "tree", "hi", "lo", "rep").sortWithinPartitions("tree", "hi", "lo", "rep")
 
 
-def _neighbours(batch: dict, *, least_depth: int, depth: int, region: int, near_only: bool, floor_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(batch: dict, *, least_depth: int, depth: int, region: int, near_only: bool, floor_bits: int, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs (indices) of rows that are sorted by tree and label."""
     tree, hi, lo, comp = batch["tree"], batch["hi"].view(np.uint64), batch["lo"].view(np.uint64), batch["component"]
     n = len(tree)
@@ -131,9 +149,14 @@ def _neighbours(batch: dict, *, least_depth: int, depth: int, region: int, near_
     def keep(a: np.ndarray, b: np.ndarray) -> None:
         ok = comp[a] != comp[b]
         a, b = a[ok], b[ok]
-        if floor_bits and len(a):
-            same = SKETCH - np.bitwise_count(batch["sketch"][a] ^ batch["sketch"][b]).sum(1, dtype=np.int64)
-            a, b = a[same >= floor_bits], b[same >= floor_bits]
+        if len(a):
+            apart = np.bitwise_count(batch["sketch"][a] ^ batch["sketch"][b])
+            same = SKETCH - apart[:, : SKETCH // 8].sum(1, dtype=np.int64)
+            least = apart[:, SKETCH // 8 :].sum(1, dtype=np.int64)  # of the shingles that only one set has
+            sizes = batch["n_shingles"][a] + batch["n_shingles"][b]
+            least = np.maximum(least, np.abs(batch["n_shingles"][a] - batch["n_shingles"][b]))
+            ok = (same >= floor_bits) & ((whole - part) * sizes >= (whole + part) * least)
+            a, b = a[ok], b[ok]
         found_a.append(a)
         found_b.append(b)
 
@@ -162,10 +185,10 @@ def _neighbours(batch: dict, *, least_depth: int, depth: int, region: int, near_
             at = at[at + step < last[at]]
             keep(at, at + step)
             step += 1
-    whole = np.concatenate([[0], np.cumsum(common >= depth)])
+    deep = np.concatenate([[0], np.cumsum(common >= depth)])
     for step in (2, 3, 4):  # regions that stay large down to a whole label
         at = np.flatnonzero(~settled[: max(n - step, 0)])
-        at = at[whole[at + step] - whole[at] == step]
+        at = at[deep[at + step] - deep[at] == step]
         keep(at, at + step)
     return np.concatenate(found_a), np.concatenate(found_b)
 
@@ -192,12 +215,13 @@ def candidates(rows: DataFrame, id_type: str, **options) -> DataFrame:
 
     def found(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch, int]:
         t = pa.Table.from_batches(held)
-        cols = {c: t.column(c).to_numpy() for c in ("tree", "hi", "lo", "component", "rep")}
+        cols = {c: t.column(c).to_numpy() for c in ("tree", "hi", "lo", "component", "n_shingles", "rep")}
         sketch = t.column("sketch").combine_chunks()
         sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
         raw = np.frombuffer(sketch.buffers()[2], np.uint8)
         first = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset]
-        cols["sketch"] = raw[first : first + len(sketch) * SKETCH // 8].reshape(-1, SKETCH // 8)
+        width = (SKETCH + PARITIES) // 8
+        cols["sketch"] = raw[first : first + len(sketch) * width].reshape(-1, width)
         n = len(cols["tree"])
         cut = n
         if not last:  # what shares a prefix with the last row waits for the next rows, unless it is much by itself
@@ -238,7 +262,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
     few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
     wanted = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(ids) if few else ids, "k", "left_semi").dropDuplicates(["k"])
     table = store.written(wanted.mapInArrow(sets, f"k {kind}, s array<bigint>"), "sets")
-    full = pairs.join(table.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(table.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+    sent = F.broadcast(pairs) if pairs.limit(MOST_SENT + 1).count() <= MOST_SENT else pairs
+    full = sent.join(table.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(table.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
     return full.select("a", "b", "sa", "sb").mapInArrow(test, f"a {kind}, b {kind}")
 
 
@@ -251,9 +276,9 @@ def groups(
     id_type = signed.schema["doc_id"].dataType.simpleString()
     same = signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     same = store.written(same, "classes")
-    classes = signed.join(same, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "labels", "sketch")
+    classes = signed.join(same, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "labels", "sketch")
     classes = store.written(classes, "labels")
-    options = {"least_depth": least_depth, "depth": depth, "region": region}
+    options = {"least_depth": least_depth, "depth": depth, "region": region, "part": part, "whole": whole}
     where = {"id_col": id_col, "text_col": text_col, "k": k, "part": part, "whole": whole}
     # an estimate 4.5 deviations below the threshold (3e-6 of the links at the very threshold): half the bits agree by chance
     share = 0.5 + part / whole / 2
