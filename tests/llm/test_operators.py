@@ -224,3 +224,18 @@ def test_pii_adds_learned_spans(spark):
 def test_digest_columns(spark):
     got = queries.op3_decontaminate(spark, "/root/testdata/sf0.001").where("n_items = 0").first()
     assert got.items_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_neardup_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (1, 5, 40, 300, 5000)]
+    sets += [np.unique(np.concatenate([s[len(s) // 10 :], rng.integers(0, 1 << 63, 7, dtype=np.uint64)])) for s in sets]
+    got = neardup.parities(np.concatenate(sets), np.array([len(s) for s in sets]))
+    gaps = neardup.parities(np.concatenate(sets), np.array([n for s in sets for n in (0, len(s))]))
+    assert (got == gaps).all()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert np.bitwise_count(got[i] ^ got[j]).sum() <= len(np.setxor1d(a, b))
+    many = np.arange(2500, dtype=np.uint64)
+    assert neardup.parities(many, np.ones(2500, np.int64)).shape == (2500, neardup.PARITIES // 8)
+    assert not neardup.parities(many[:0], np.zeros(3, np.int64)).size
