@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
 Documents are sequences of line hashes. A line that several documents share pairs each of them with the first of
-them; such pairs are taken for every rare line (at most `rare` documents) and, so that large groups of copies are
-found as well, for each document's rarest shared line whatever its frequency. The number of pairs is thus at most
-the number of shared lines. Each pair is aligned with patience diff (lines that are unique in both documents, in
-their longest common order, and so on between them), and the aligned common blocks of at least `least_words` words
-are deleted from the later document. Deletion never loses a line's first copy: its document has no earlier partner.
+them, whatever the number of documents, and so does each shortest run of lines of at least `least_words` words that
+starts or ends at a line (a block's lines may have their first holders apart, none of which has the block). The number
+of pairs is thus at most the number of shared lines and runs. Each pair is aligned with patience diff (lines that are
+unique in both documents, in their longest common order, and so on between them), and the aligned common blocks of at
+least `least_words` words are deleted from the later document. So a shared passage stays only where the alignment with
+its first holder passes it over: it stands in another order there, or its lines are repeated in either document.
+Deletion never loses a line's first copy: its document has no earlier partner.
 
 Defined cases: lines are compared without surrounding white space; blank lines pair nothing; null and empty texts and
 rows with a null id pass unchanged; rows that repeat id and text count as one document and are treated alike; rows
@@ -36,6 +38,31 @@ def line_hashes(t: str) -> tuple[list[int], list[int]]:
     return hashes, words
 
 
+def run_hashes(hashes: list[int], words: list[int], least_words: int) -> list[int]:
+    """Hashes of the shortest runs of several lines, of least_words words or more, that start or end at a line that is not blank."""
+    runs: set[tuple[int, int]] = set()
+    least_words = max(least_words, 1)
+    full = [i for i, h in enumerate(hashes) if h]
+    a = size = 0
+    for z, end in enumerate(full):
+        size += words[end]
+        while size - words[full[a]] >= least_words:
+            size -= words[full[a]]
+            a += 1
+        if size >= least_words and a < z:
+            runs.add((full[a], end))
+    z = len(full) - 1
+    size = 0
+    for a in range(len(full) - 1, -1, -1):
+        size += words[full[a]]
+        while size - words[full[z]] >= least_words:
+            size -= words[full[z]]
+            z -= 1
+        if size >= least_words and a < z:
+            runs.add((full[a], full[z]))
+    return [(xxhash.xxh3_64_intdigest(b"".join(h.to_bytes(8, "little", signed=True) for h in hashes[i : j + 1])) - (1 << 63)) or 1 for i, j in sorted(runs)]
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions (i, j), ascending in both, of equal lines."""
     out: list[tuple[int, int]] = []
@@ -101,7 +128,7 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
     return found
 
 
-def deletions(docs: DataFrame, *, id_col: str, text_col: str, rare: int, least_words: int) -> DataFrame:
+def deletions(docs: DataFrame, *, id_col: str, text_col: str, least_words: int) -> DataFrame:
     """(k, gone, partners): the lines to delete of document k = (id, text hash), by number, and the earlier documents' ids."""
     kind = docs.schema[id_col].dataType.simpleString()
     key = f"struct<id:{kind},th:bigint>"
@@ -109,7 +136,9 @@ def deletions(docs: DataFrame, *, id_col: str, text_col: str, rare: int, least_w
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [line_hashes(t) for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([h for h, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.int32()))], names=["k", "h", "w"])
+            runs = [run_hashes(h, w, least_words) for h, w in got]
+            columns = [pa.array([h for h, _ in got], pa.list_(pa.int64())), pa.array([w for _, w in got], pa.list_(pa.int32())), pa.array(runs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *columns], names=["k", "h", "w", "r"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,22 +148,20 @@ def deletions(docs: DataFrame, *, id_col: str, text_col: str, rare: int, least_w
             yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
 
     texts = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("k"), F.col(text_col).alias("t"))
-    table = store.written(texts.mapInArrow(lines, f"k {key}, h array<bigint>, w array<int>"), "lines")
-    each = table.select("k", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
-    shared = each.groupBy("line").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
-    owed = store.written(each.join(shared, "line").where("first < k"), "shared")
-    rarest = owed.groupBy("k").agg(F.min(F.struct("n", "line", "first")).alias("m")).select(F.col("m.first").alias("a"), F.col("k").alias("b"))
-    pairs = owed.where(F.col("n") <= rare).select(F.col("first").alias("a"), F.col("k").alias("b")).union(rarest).distinct()
+    table = store.written(texts.mapInArrow(lines, f"k {key}, h array<bigint>, w array<int>, r array<bigint>"), "lines")
+    each = table.select("k", F.explode(F.array_union("h", "r")).alias("line")).where("line <> 0")
+    shared = each.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
+    pairs = store.written(each.join(shared, "line").where("first < k").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
     once = table.dropDuplicates(["k"])
     full = pairs.join(once.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(once.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b")
     gone = full.select("a", "b", "ha", "hb", "wb").mapInArrow(align, f"k {key}, partner {key}, gone array<int>")
     return gone.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("partner.id")).alias("partners"))
 
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare: int = 64, least_words: int = 5) -> DataFrame:
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 5) -> DataFrame:
     """docs with text_col less the deleted lines, and n_lines, n_deleted and partners; other columns stay."""
     base = docs.drop("n_lines", "n_deleted", "partners")
-    gone = deletions(base, id_col=id_col, text_col=text_col, rare=rare, least_words=least_words).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"), F.col("gone").alias("__gone"), F.col("partners").alias("__partners"))
+    gone = deletions(base, id_col=id_col, text_col=text_col, least_words=least_words).select(F.col("k.id").alias("__id"), F.col("k.th").alias("__th"), F.col("gone").alias("__gone"), F.col("partners").alias("__partners"))
     joined = base.join(gone, (base[id_col] == F.col("__id")) & (F.xxhash64(base[text_col]) == F.col("__th")), "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     new = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)

@@ -80,6 +80,27 @@ def test_line_dedup(spark, docs, empty):
         assert all(x[i] == y[j] for i, j in p) and all(i < k and j < m for (i, j), (k, m) in zip(p, p[1:], strict=False))
 
 
+def test_line_dedup_of_frequent_lines(spark):
+    hot = "one line that very many documents hold"
+    rows = [(0, f"opening words of the first holder\n{hot}")]
+    for i in range(1, 101):  # a rarer line's first holder is without the hot one
+        rows += [(2 * i - 1, f"rare line number {i} of two documents"), (2 * i, f"rare line number {i} of two documents\n{hot}\nown words of document {i} stay")]
+    got = {r.doc_id: r for r in linededup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and all(got[2 * i].text == f"own words of document {i} stay" and got[2 * i].partners == [0, 2 * i - 1] for i in range(1, 101))
+
+
+def test_line_dedup_of_blocks_of_short_lines(spark):
+    table = spark.createDataFrame([(1, "aa\nx one"), (2, "bb bb\nx two"), (3, "cc\nx three"), (4, "x four\naa\n\nbb bb\ncc cc"), (5, "y five\naa\n\nbb bb\ncc cc\ny six")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.deduplicate(table).collect()}
+    assert got[4] == "x four\naa\n\nbb bb\ncc cc" and got[5] == "y five\ny six"
+    r = random.Random(11)
+    for _ in range(300):
+        h = [r.choice([0, 0, 1, 2, 3, 4]) for _ in range(r.randint(0, 12))]
+        w = [r.randint(1, 6) if x else 0 for x in h]
+        spans = [(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if h[i] and h[j] and sum(w[i : j + 1]) >= 5 and (sum(w[i:j]) < 5 or sum(w[i + 1 : j + 1]) < 5)]
+        assert len(set(linededup.run_hashes(h, w, 5))) == len({tuple(h[i : j + 1]) for i, j in spans})
+
+
 def test_substring_dedup(spark, docs, empty):
     r = random.Random(5)
     passage = words(r, 70)
