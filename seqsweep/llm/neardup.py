@@ -5,14 +5,19 @@ gets `trees` labels of `depth` minima; a tree is the table sorted by its label,
 that order with a long common prefix. How long is decided region by region: a region is taken at the shallowest
 depth, `least_depth` or more, at which it holds at most `region` classes. Candidates are confirmed on the full sets.
 
-The search takes two rounds, so that a large group of near copies does not give all of its pairs. In the first,
+The search takes three rounds, so that a large group of near copies does not give all of its pairs. In the first,
 only direct neighbours of a few trees are confirmed, and components are formed. In the second, all trees are read,
 and a region proposes every pair of classes that are not yet in one component (where a region of more than `region`
-classes shares a whole label, its neighbours only). Two sketches drop pairs before their sets are fetched:
-256 bits of the minima those whose estimate is far below the threshold, and 256 parities, one for each bucket of
-shingle hashes, those that cannot be linked: sets differ in at least as many shingles as parities differ, so that
-bound loses no link. With 32 trees and a least depth of 4 a link of similarity 0.8 is
-missed with a chance of (1 - 0.8 ** 4) ** 32, 5e-8, where regions are small.
+classes shares a whole label, its neighbours only). The third searches completely what the second took at larger
+depths: every pair of classes that share `least_depth` levels in a region of more than `region` classes and are still
+apart, in sub-tasks of two blocks of at most about `block` classes each.
+
+Two sketches drop pairs before their sets are fetched: 256 bits of the minima those whose estimate is far below the
+threshold (not in the third round), and parities, one for each bucket of shingle hashes, those that cannot be linked:
+sets differ in at least as many shingles as parities differ, so that bound loses no link. They are 256, and 4096 in
+the third round. With 32 trees and a least depth of 4 a link of similarity 0.8 is missed with a chance of
+(1 - 0.8 ** 4) ** 32, 5e-8, besides what the estimate drops; a region of at most `region` classes that the end of a
+range cuts is searched to both sides of the cut only, in that one tree.
 
 The sorted orders are dealt by ranges over (tree, label, document), so even one label that a third of all rows share
 is spread over tasks.
@@ -38,6 +43,7 @@ MOST_SENT = 1_000_000
 LEVEL_BITS = 16
 SKETCH = 256
 PARITIES = 256
+WIDE_PARITIES = 4096
 
 
 def _constants(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,17 +76,17 @@ def minima(values: np.ndarray, per_row: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def parities(values: np.ndarray, per_row: np.ndarray) -> np.ndarray:
-    """For each non-empty row PARITIES bits, packed: whether a bucket of the hashes holds an odd number of them."""
+def parities(values: np.ndarray, per_row: np.ndarray, count: int = PARITIES) -> np.ndarray:
+    """For each non-empty row `count` bits, packed: whether a bucket of the hashes holds an odd number of them."""
     some = per_row[per_row > 0]
     ends = np.cumsum(some)
-    out = np.empty((len(some), PARITIES // 8), np.uint8)
+    out = np.empty((len(some), count // 8), np.uint8)
     for a in range(0, len(some), 1024):
         n = some[a : a + 1024]
         mine = values[ends[a] - n[0] : ends[a + len(n) - 1]]
-        cell = (mine % np.uint64(PARITIES)).astype(np.int64) + np.repeat(np.arange(len(n)) * PARITIES, n)
-        odd = np.bincount(cell, minlength=len(n) * PARITIES) & 1
-        out[a : a + len(n)] = np.packbits(odd.astype(np.uint8).reshape(len(n), PARITIES), axis=1)
+        cell = (mine % np.uint64(count)).astype(np.int64) + np.repeat(np.arange(len(n)) * count, n)
+        odd = np.bincount(cell, minlength=len(n) * count) & 1
+        out[a : a + len(n)] = np.packbits(odd.astype(np.uint8).reshape(len(n), count), axis=1)
     return out
 
 
@@ -236,6 +242,79 @@ def candidates(rows: DataFrame, id_type: str, **options) -> DataFrame:
     return rows.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
 
 
+def wide_parities(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(rep, wide) for the documents of wanted (rep)."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in text.pieces(batch, "t"):
+                values, per = shingle_sets(piece.column("t"), k)
+                bits = iter(parities(values, per, WIDE_PARITIES))
+                yield pa.RecordBatch.from_arrays([piece.column("k"), pa.array([next(bits).tobytes() if n else None for n in per.tolist()], pa.binary())], names=["rep", "wide"])
+
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(wanted.withColumnRenamed("rep", "k"), "k", "left_semi").dropDuplicates(["k"])
+    return texts.mapInArrow(run, f"rep {kind}, wide binary")
+
+
+def crowded(known: DataFrame, docs: DataFrame, id_type: str, *, trees: int, depth: int, least_depth: int, region: int, block: int, part: int, whole: int, **where) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of all classes apart that share a region of more than `region` classes, less those that parities prove unlinked."""
+    level = F.shiftrightunsigned(F.element_at("labels", 2 * F.col("tree") + 1), LEVEL_BITS * (depth // 2 - least_depth))
+    chosen = known.select("rep", "component", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    rows = chosen.select("rep", "component", "n_shingles", F.col("tree").cast("long").alias("tree"), level.alias("prefix"))
+    large = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    large = store.written(large.where((F.col("n") > region) & (F.col("lo") < F.col("hi"))).select("tree", "prefix", F.ceil(F.col("n") / block).alias("blocks")), "regions")
+    rows = store.written(rows.join(F.broadcast(large) if large.limit(MOST_SENT + 1).count() <= MOST_SENT else large, ["tree", "prefix"]), "crowded")
+    wide = wide_parities(docs, store.written(rows.select("rep").distinct(), "wanted"), **where)
+    mine = rows.join(store.written(wide, "wide"), "rep").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("tree", "prefix", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component", "n_shingles", "wide")
+    parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = dealt.repartition(parts, "tree", "prefix", "x", "y").sortWithinPartitions("tree", "prefix", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(c).to_numpy() for c in ("tree", "prefix", "x", "y")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and tuple(keys[:, a]) != key:
+                    yield from searched(held)
+                    held = []
+                key = tuple(keys[:, a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from searched(held)
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held)
+        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE_PARITIES // 64)
+        second = t.column("second").to_numpy()
+        across = t.column("x")[0] != t.column("y")[0]
+        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(rep)), np.arange(len(rep)))
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            apart = (comp[some][:, None] != comp[right][None, :]) & (whole * np.minimum(n[some][:, None], n[right][None, :]) >= part * np.maximum(n[some][:, None], n[right][None, :]))
+            if not across:
+                apart &= some[:, None] < right[None, :]
+            i, j = np.nonzero(apart)
+            a, b = some[i], right[j]
+            ok = np.zeros(len(a), bool)
+            for c in range(0, len(a), 1 << 14):
+                u, v = a[c : c + (1 << 14)], b[c : c + (1 << 14)]
+                least = np.bitwise_count(wide[u] ^ wide[v]).sum(1, dtype=np.int64)
+                ok[c : c + (1 << 14)] = (whole - part) * (n[u] + n[v]) >= (whole + part) * least
+            x, y = rep[a[ok]], rep[b[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k: int, part: int, whole: int) -> DataFrame:
     """The pairs with whole x intersection >= part x union, on the full sets."""
     ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
@@ -269,7 +348,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
 
 def groups(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, part: int = 80, whole: int = 100,
-    trees: int = 32, depth: int = 8, least_depth: int = 4, region: int = 256, first_trees: int = 6,
+    trees: int = 32, depth: int = 8, least_depth: int = 4, region: int = 256, first_trees: int = 6, block: int = 4096,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group) and kept, for every row of docs."""
     signed = store.written(sign(docs, id_col=id_col, text_col=text_col, k=k, trees=trees, depth=depth), "signed")
@@ -284,15 +363,20 @@ def groups(
     share = 0.5 + part / whole / 2
     floor_bits = int(SKETCH * (share - 4.5 * np.sqrt(share * (1 - share) / SKETCH)))
     alone = classes.withColumn("component", F.col("rep"))
-    near = candidates(forest(alone, range(first_trees)), id_type, near_only=True, floor_bits=floor_bits, **options)
-    links = store.written(confirmed(store.written(near, "pairs"), docs, **where), "confirmed")
+    near = store.written(candidates(forest(alone, range(first_trees)), id_type, near_only=True, floor_bits=floor_bits, **options), "pairs")
+    links = store.written(confirmed(near, docs, **where), "confirmed")
     first = store.components(links)
     known = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = store.written(known, "known")
-    more = candidates(forest(known, range(trees)), id_type, near_only=False, floor_bits=floor_bits, **options)
-    links2 = store.written(confirmed(store.written(more, "pairs"), docs, **where), "confirmed")
+    more = store.written(candidates(forest(known, range(trees)), id_type, near_only=False, floor_bits=floor_bits, **options), "pairs")
+    links2 = store.written(confirmed(more, docs, **where), "confirmed")
     edges = links2.union(first.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    final = store.components(edges)
+    second = store.components(edges)
+    known = classes.join(second.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rest = crowded(known, docs, id_type, trees=trees, block=block, id_col=id_col, text_col=text_col, k=k, **options)
+    rest = store.written(rest.join(near.union(more), ["a", "b"], "left_anti"), "pairs")
+    links3 = store.written(confirmed(rest, docs, **where), "confirmed")
+    final = store.components(links3.union(second.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))))
     where_to = same.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(where_to, ["s1", "s2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

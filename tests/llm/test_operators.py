@@ -260,3 +260,28 @@ def test_neardup_parities_never_exceed_the_difference():
     many = np.arange(2500, dtype=np.uint64)
     assert neardup.parities(many, np.ones(2500, np.int64)).shape == (2500, neardup.PARITIES // 8)
     assert not neardup.parities(many[:0], np.zeros(3, np.int64)).size
+
+
+def test_neardup_searches_large_regions_completely(spark):
+    def copies(base, at, n):
+        return [" ".join(w if j not in (at(i), at(i) + 5) else f"{w}{i}" for j, w in enumerate(base)) for i in range(n)]
+
+    r = random.Random(12)
+    base = words(r, 200).split()
+    other = [f"o{j}" if j in (20, 60, 100, 140) else w for j, w in enumerate(base)]  # too far from base, but not from the bridge
+    bridge = [f"o{j}" if j in (20, 60) else w for j, w in enumerate(base)]
+    texts = copies(base, lambda i: i % 195, 60) + copies(other, lambda i: i * 7 % 195, 60) + [" ".join(bridge)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for t in texts]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                top = [min(top[i], top[j]) if x in (top[i], top[j]) else x for x in top]
+    for block in (4096, 16):
+        got = {x.doc_id: x.component_id for x in neardup.groups(table, k=4, region=4, block=block, trees=8).collect()}
+        assert [got[i] for i in range(len(texts))] == top
+    alone = spark.createDataFrame([(i, i, len(s), [0] * 64) for i, s in enumerate(sets)], "rep long, component long, n_shingles long, labels array<long>")
+    found = {(x.a, x.b) for x in neardup.crowded(alone, table, "bigint", trees=1, depth=8, least_depth=4, region=4, block=16, part=80, whole=100, id_col="doc_id", text_col="text", k=4).collect()}
+    links = {(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert links and links <= found and all(a < b for a, b in found)
