@@ -285,3 +285,9 @@ def test_neardup_searches_large_regions_completely(spark):
     found = {(x.a, x.b) for x in neardup.crowded(alone, table, "bigint", trees=1, depth=8, least_depth=4, region=4, block=16, part=80, whole=100, id_col="doc_id", text_col="text", k=4).collect()}
     links = {(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert links and links <= found and all(a < b for a, b in found)
+
+
+def test_neardup_sketch_drops_few_links():
+    from math import comb
+
+    assert sum(comb(256, i) * 0.9**i * 0.1 ** (256 - i) for i in range(neardup.least_bits(80, 100))) < 3e-7
