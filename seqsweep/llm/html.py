@@ -1,18 +1,17 @@
-"""Main text of web pages, with a suffix array over each host's pages.
+"""Main text of web pages, with the runs of words that each host's pages repeat.
 
 A page becomes a sequence of blocks with two marks: excluded (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, by element, role or class) and sure (inside an article or main element). The words of all blocks of
-the pages of a host are concatenated; their suffixes are sorted by doubling the compared prefix up to `least_words`
-words, and a substring of that length that stands on distinct pages marks its words as boilerplate. The result keeps
+forms, comments, by element, role or class) and sure (inside an article or main element). A run of `least_words`
+words of a page's blocks that stands on distinct pages of its host marks its words as boilerplate. The result keeps
 the sure blocks of a page that has any; on other pages it keeps the runs of words of unexcluded blocks that no
-repeated substring covers (a page that would lose everything so keeps its unexcluded blocks).
+repeated run covers (a page that would lose everything so keeps its unexcluded blocks).
 
-A host's pages come to a task in windows of at most `window` pages, in the order of their ids, which bounds memory;
-hosts with more than a two-thousandth of all pages (so at most 2,000 of them) are dealt over several tasks.
+Runs are 64-bit hashes, counted over all pages of a host whatever their number, but only for hosts with a page that
+has no sure block. They are dealt by host and hash, and a page's repeated ones are joined to it, so no task holds a host.
 
 Defined cases: null html is empty; a null or unreadable url is a host of its own without boilerplate; unclosed and
 truncated markup ends with the page; script and style text is never read; repeated pages are distinct pages for the
-suffix array only if their ids differ; an empty table gives an empty result; other columns are not read.
+count only if their ids differ; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +22,15 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import store, text
+
+#: Hosts that are sent to all tasks; beyond, their pages are shuffled.
+MOST_SENT = 1_000_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[A-Za-z][^<]*\Z", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -93,48 +97,34 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def covered(tokens: np.ndarray, pages: np.ndarray, least: int) -> np.ndarray:
-    """Which tokens stand in a substring of `least` tokens or more that distinct pages share.
-
-    Suffixes are ranked by their first 1, 2, 4, ... tokens, each step sorting pairs of ranks, up to `least` tokens
-    (the last step overlaps); suffixes of equal rank are neighbours in the suffix array. A page's end ends its suffixes.
-    """
-    n = len(tokens)
-    out = np.zeros(n, bool)
-    if n < least:
-        return out
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    done = 1
-    while done < least:
-        step = min(done, least - done)
-        pair = rank[: n - done - step + 1] * (int(rank.max()) + 1) + rank[step : n - done + 1]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-        done += step
-    whole = pages[: len(rank)] == pages[least - 1 : least - 1 + len(rank)]
-    start = np.flatnonzero(whole)
-    order = start[np.argsort(rank[start], kind="stable")]
-    r, p = rank[order], pages[order]
-    new = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.zeros(0, np.int64)
-    if not len(new):
-        return out
-    several = np.minimum.reduceat(p, new) != np.maximum.reduceat(p, new)
-    hit = order[np.repeat(several, np.diff(np.append(new, len(r))))]
+def run_hashes(texts: list[str], least: int) -> np.ndarray:
+    """A hash of every run of `least` words of the page's blocks, end to end, by its first word."""
+    words = [w for t in texts for w in t.split(" ")]
+    n = len(words) - least + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    each = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    out = np.zeros(n, np.uint64)
+    for i in range(least):
+        out = text.mix(out * np.uint64(0x9E3779B97F4A7C15) + each[i : i + n])
+    return out.view(np.int64)
+
+
+def covered(hashes: np.ndarray, repeated: np.ndarray, least: int) -> np.ndarray:
+    """Which words stand in a repeated run."""
+    n = len(hashes) + least - 1
+    hit = np.flatnonzero(np.isin(hashes, repeated))
     change = np.bincount(hit, minlength=n + 1) - np.bincount(hit + least, minlength=n + 1)
     return np.cumsum(change)[:n] > 0
 
 
-def main_texts(pages: list[tuple[list[str], list[bool], list[bool]]], least: int) -> list[str]:
-    """The texts of pages of one host."""
-    codes: dict[str, int] = {}
-    tokens, owner = [], []
-    for i, (texts, _, _) in enumerate(pages):
-        for t in texts:
-            found = [codes.setdefault(w, len(codes)) for w in t.split(" ")]
-            tokens += found
-            owner += [i] * len(found)
-    again = covered(np.array(tokens, np.int64), np.array(owner, np.int64), least) if len(pages) > 1 else np.zeros(len(tokens), bool)
-    out, at = [], 0
-    for texts, excluded, sure in pages:
+def main_texts(pages: list[tuple[list[str], list[bool], list[bool]]], least: int, repeated: list[np.ndarray] | None = None) -> list[str]:
+    """The texts of pages, given the repeated runs of each."""
+    out = []
+    for p, (texts, excluded, sure) in enumerate(pages):
+        hashes = run_hashes(texts, least) if repeated and len(repeated[p]) else np.zeros(0, np.int64)
+        again = covered(hashes, repeated[p], least) if len(hashes) else np.zeros(sum(t.count(" ") + 1 for t in texts), bool)
+        at = 0
         certain, kept, fallback = [], [], []
         for t, x, s in zip(texts, excluded, sure, strict=True):
             words = t.split(" ")
@@ -153,49 +143,46 @@ def main_texts(pages: list[tuple[list[str], list[bool], list[bool]]], least: int
     return out
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_words: int = 12, window: int = 200) -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_words: int = 12) -> DataFrame:
     """page_id, url, text for every page."""
     kind = pages.schema[id_col].dataType
     host = F.lower(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     host = F.coalesce(host, F.lit(""))
-    counts = pages.select(host.alias("host")).where("host <> ''").groupBy("host").count()
-    total = pages.count()
-    large = {r[0]: -(-r[1] // window) for r in counts.where(F.col("count") > max(window, total // 2000)).collect()}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 rows = [blocks_of(h) if h else [] for h in part.column("html").to_pylist()]
-                keys = zip(part.column("host").to_pylist(), part.column("salt").to_pylist(), strict=True)
-                salt = [s % large.get(h, 1) if h else s for h, s in keys]
                 columns = [pa.array([[b[i] for b in r] for r in rows], pa.list_(pa.string() if i == 0 else pa.bool_())) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), part.column("host"), pa.array(salt, pa.int64()), *columns], names=fields.names)
+                certain = pa.array([any(s and not x for _, x, s in r) for r in rows], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), part.column("host"), certain, *columns], names=fields.names)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(run_hashes(t, least_words)) for t in batch.column("texts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("id"), batch.column("certain"), pa.array(found, pa.list_(pa.int64()))], names=["host", "id", "certain", "runs"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("host", "salt", "id", "url", "texts", "excluded", "sure")), strict=True):
-                if held and (row[:2] != key or len(held) >= window):
-                    yield done(held)
-                    held = []
-                key = row[:2]
-                held.append(row)
-        if held:
-            yield done(held)
-
-    def done(held: list[tuple]) -> pa.RecordBatch:
-        texts = main_texts([r[4:] for r in held], least_words)
-        return pa.RecordBatch.from_arrays([pa.array([r[2] for r in held], id_type), pa.array([r[3] for r in held], pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_type = to_arrow_type(kind)
+            held = list(zip(*(batch.column(c).to_pylist() for c in ("texts", "excluded", "sure")), strict=True))
+            repeated = [np.array(r or [], np.int64) for r in batch.column("runs").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(main_texts(held, least_words, repeated), pa.string())], names=["page_id", "url", "text"])
+
     flags = T.ArrayType(T.BooleanType())
-    fields = T.StructType([T.StructField("id", kind), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("salt", T.LongType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("excluded", flags), T.StructField("sure", flags)])
-    salt = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 31))
-    parsed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), salt.alias("salt"), F.col(html_col).alias("html")).mapInArrow(parse, fields)
-    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = parsed.repartition(parts, "host", "salt").sortWithinPartitions("host", "salt", "id")
-    return dealt.mapInArrow(clean, T.StructType([T.StructField("page_id", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())]))
+    fields = T.StructType([T.StructField("id", kind), T.StructField("url", T.StringType()), T.StructField("host", T.StringType()), T.StructField("certain", T.BooleanType()), T.StructField("texts", T.ArrayType(T.StringType())), T.StructField("excluded", flags), T.StructField("sure", flags)])
+    parsed = store.written(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html")).mapInArrow(parse, fields), "parsed")
+    unsure = parsed.where("not certain and host <> ''")
+    kept = T.StructType([T.StructField("host", T.StringType()), T.StructField("id", kind), T.StructField("certain", T.BooleanType()), T.StructField("runs", T.ArrayType(T.LongType()))])
+    hosts = store.written(unsure.select("host").distinct(), "hosts")
+    few = hosts.limit(MOST_SENT + 1).count() <= MOST_SENT
+    of_hosts = parsed.select("host", "id", "certain", "texts").join(F.broadcast(hosts) if few else hosts, "host", "left_semi")
+    each = of_hosts.mapInArrow(runs, kept).select("host", "id", "certain", F.explode("runs").alias("run"))
+    page = F.struct("id")
+    several = each.groupBy("host", "run").agg(F.min(page).alias("first"), F.max(page).alias("last"), F.min("certain").alias("certain")).where("first < last and not certain").select("host", "run")
+    marks = each.where("not certain").join(several, ["host", "run"]).groupBy("host", "id").agg(F.collect_set("run").alias("runs"))
+    marks = marks.select(F.col("host").alias("__host"), F.col("id").alias("__id"), "runs")
+    # repeated ids of a host share their marks: each uses those that stand on it
+    done = unsure.join(marks, (F.col("host") == F.col("__host")) & F.col("id").eqNullSafe(F.col("__id")), "left").select("id", "url", "texts", "excluded", "sure", "runs")
+    rest = parsed.where("certain or host = ''").select("id", "url", "texts", "excluded", "sure", F.lit(None).cast("array<bigint>").alias("runs"))
+    return done.union(rest).mapInArrow(clean, T.StructType([T.StructField("page_id", kind), T.StructField("url", T.StringType()), T.StructField("text", T.StringType())]))

@@ -205,6 +205,14 @@ def test_html(spark):
     assert got == {0: "0 own text", 1: "1 own text", 2: "2 own text", 8: "", 9: "plain"}
 
 
+def test_html_of_a_large_host(spark):
+    r = random.Random(13)
+    block = words(r, 20)
+    rows = [(i, f"http://big.org/{i}", f"<div>{block if i % 150 == 0 else ''}</div><div>{i} {words(r, 15)}</div>") for i in range(900)]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == 900 and not any(block in t for t in got.values()) and all(t.split()[0] == str(i) and len(t.split()) == 16 for i, t in got.items())
+
+
 def luhn(d):
     t = [int(c) for c in reversed(d)]
     return (sum(t[::2]) + sum(sum(divmod(2 * x, 10)) for x in t[1::2])) % 10 == 0
