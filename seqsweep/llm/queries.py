@@ -83,13 +83,13 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, x.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) as bigint) as score
-  from v q join v x on q.vec_id <> x.vec_id and len(q.v) = len(x.v) where q.vec_id % 50 = 0)
+  select q.row, q.vec_id as query_id, x.vec_id, cast(coalesce(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])), 0) as bigint) as score
+  from v q join v x on q.row <> x.row and len(q.v) = len(x.v) where q.vec_id % 50 = 0)
 select query_id, cast(rank as int) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5"""
+from (select *, row_number() over (partition by row order by score desc, vec_id) as rank from s) where rank <= 5"""
 
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,97 +1,241 @@
 """Exact top-k inner product search by no-random-access aggregation.
 
-The rows are dealt into blocks. In a block every dimension is a list sorted by value, read from its top for a
-positive query weight and from its bottom for a negative one. After reading to some depth, a row's lower bound takes
-the list's last value for every dimension not yet seen, its upper bound the value at the reading position. Reading
-goes on, depth after depth, until no more than a few rows can still reach the k-th best lower bound; what is left is
-resolved to exact scores. Bounds of all queries of a block are kept at once: with values clipped at the reading
-position they are two matrix products, exact because all terms are integers.
+The rows of a block give a sorted list for each dimension, read entry by entry from its top where the query's weight
+is positive and from its bottom where it is negative. Reading goes on in rounds, in the lists whose last entries have
+lowered the threshold most. The threshold, the sum of the weighted values at the cursors, bounds every row that no
+list has shown yet; as soon as it is below the k-th best score known so far, only rows that have been read can
+qualify. Those have a lower bound (the worst value of each list where they have not been read) and an upper bound (the
+value at the cursor there); reading goes on, now for the rows alone whose upper bound is still able, until few are
+left or the lists end, and these few are resolved to exact scores. A task takes its rows block after block and
+carries the best scores along, so later blocks stop earlier; it starts from the best scores among the queries
+themselves, which are rows too.
 
-Queries are dealt into blocks too, so neither side is sent to all tasks; a pair of blocks is a task, and each gives
-k rows for a query.
+How much is read depends on the data: on vectors whose weight lies in a few dimensions a few hundredths of the
+entries, on isotropic ones about half (`best` gives the number).
+
+Queries go to the tasks in blocks of at most about `query_bytes`, one pass over the rows for each block; the rows are
+never shuffled, and each task returns k + 1 rows for a query.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows with a null id, take no part;
-a repeated id counts once, with its smallest vector; vectors of another length are not compared; ties go to the
-smaller id; a query with fewer than k candidates gets all; no queries or an empty table give an empty result.
+an empty vector has score 0 with every other one; vectors of another length are not compared; rows that repeat an id
+are rows of their own: each is a candidate, and a query leaves out one row of its own id and vector; queries that
+repeat both give their result as often; ties go to the smaller id; a query with fewer than k candidates gets all; no
+queries or an empty table give an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import store
+
+LOCAL = "block int, place int, query_id bigint, copies bigint, vec_id bigint, score bigint, own boolean"
+
+
+def exact_kind(rows: np.ndarray, queries: np.ndarray) -> type:
+    """The float type in which all sums of products are exact."""
+    span = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(rows.shape[1], 1)
+    return np.float32 if span < 1 << 24 else np.float64
+
 
 class Lists:
     """The sorted lists of a block of rows."""
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
-        n = len(rows)
-        order = np.argsort(rows, axis=0, kind="stable")
-        self.ascending = np.take_along_axis(rows, order, 0)
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(n)[:, None], 0)
-
-    def bounds(self, depth: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds (row, query) once the first `depth` entries of each list are read."""
+        self.order = np.ascontiguousarray(np.argsort(rows, axis=0, kind="stable").T)
+        self.value = np.ascontiguousarray(np.sort(rows, axis=0).T)
+
+    def cursor(self, weights: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The value last read in each list (query, dimension)."""
+        at = np.where(weights > 0, len(self.rows) - depth, depth - 1)
+        return self.value[np.arange(len(self.value)), at]
+
+    def worst(self, weights: np.ndarray) -> np.ndarray:
+        """The value at the end of each list."""
+        return np.where(weights > 0, self.value[:, 0], self.value[:, -1])
+
+    def shown(self, weights: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Rows that some list has shown."""
         n = len(self.rows)
-        from_top, from_bottom = self.rank >= n - depth, self.rank < depth
-        low, high = self.ascending[0], self.ascending[-1]
-        plus, minus = np.maximum(weights, 0), np.minimum(weights, 0)
-        both = np.concatenate([plus, minus], 1).T
-        upper = np.concatenate([np.where(from_top, self.rows, self.ascending[n - depth]), np.where(from_bottom, self.rows, self.ascending[depth - 1])], 1)
-        lower = np.concatenate([np.where(from_top, self.rows, low), np.where(from_bottom, self.rows, high)], 1)
-        return lower @ both, upper @ both
-
-
-def best(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, few: int = 64) -> list[tuple[int, int, int]]:
-    """(query, id, score) of the k best rows of the block for each query, its own id left out."""
-    span = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1]
-    kind = np.float32 if span < 1 << 24 else np.float64
-    lists, weights, n = Lists(rows.astype(kind)), queries.astype(kind), len(rows)
-    found: list[tuple[int, int, int]] = []
-    for a in range(0, len(query_ids), 512):
-        todo = np.arange(a, min(a + 512, len(query_ids)))
-        for depth in sorted({max(1, n // 8), max(1, n // 4), max(1, n // 2), n}):
-            lower, upper = lists.bounds(depth, weights[todo])
-            own = ids[:, None] == query_ids[todo][None, :]
-            lower[own] = upper[own] = -np.inf
-            kth = np.partition(lower, n - k, axis=0)[n - k] if n > k else np.full(len(todo), -np.inf, kind)
-            able = (upper >= kth) & ~own
-            ready = able.sum(0) <= max(few, k) if depth < n else np.ones(len(todo), bool)
-            row, col = np.nonzero(able[:, ready])
-            q = todo[ready][col]
-            score = np.einsum("ij,ij->i", rows[row].astype(np.int64), queries[q].astype(np.int64))
-            order = np.lexsort((ids[row], -score, q))
-            row, q, score = row[order], q[order], score[order]
-            new = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-            place = np.arange(len(q)) - np.maximum.accumulate(np.where(new, np.arange(len(q)), 0)) if len(q) else q
-            keep = place < k
-            found += zip(query_ids[q[keep]].tolist(), ids[row[keep]].tolist(), score[keep].tolist(), strict=True)
-            todo = todo[~ready]
+        if depth.sum() >= 2 * n:
+            return np.arange(n)
+        seen = np.zeros(n, bool)
+        for d in np.flatnonzero(depth):
+            seen[self.order[d, n - depth[d] :] if weights[d] > 0 else self.order[d, : depth[d]]] = True
+        return np.flatnonzero(seen)
+
+    def read(self, weights: np.ndarray, known: np.ndarray, rounds: int = 64) -> np.ndarray:
+        """Depths (query, dimension) at which no unread row can reach the known scores."""
+        n, step = len(self.rows), max(1, len(self.rows) // rounds)
+        size = np.abs(weights)
+        used = size > 0
+        depth = np.where(used, 1, 0)
+        todo = np.arange(len(weights))
+        at = self.cursor(weights, np.maximum(depth, 1))
+        gain = np.where(used, np.inf, 0)
+        while len(todo):
+            w = weights[todo]
+            able = (at[todo] * w).sum(1) >= known[todo]
+            able &= (depth[todo] < n)[used[todo]].any() if len(todo) == 1 else ((depth[todo] < n) & used[todo]).any(1)
+            todo = todo[able]
             if not len(todo):
                 break
-    return found
+            g = np.where((depth[todo] < n) & used[todo], gain[todo], -1)
+            finite = np.where(np.isfinite(g) & (g >= 0), g, 0)
+            mean = finite.sum(1) / np.maximum(((g >= 0) & np.isfinite(g)).sum(1), 1)
+            chosen = (g >= mean[:, None]) & (g >= 0)
+            new = np.minimum(depth[todo] + step * chosen, n)
+            there = self.cursor(weights[todo], np.maximum(new, 1))
+            gain[todo] = np.where(chosen, np.abs(there - at[todo]) * size[todo], gain[todo])
+            depth[todo], at[todo] = new, there
+        return depth
+
+    def able(self, weights: np.ndarray, depth: np.ndarray, known: float, most: int, few: int) -> tuple[np.ndarray, int]:
+        """(rows that can be among the best `most`, entries read) for one query, reading on from depth."""
+        n = len(self.rows)
+        used = weights != 0
+        alive = self.shown(weights, depth) if used.any() else np.arange(n)
+        low = self.worst(weights) * weights
+        while True:
+            here = self.cursor(weights, np.maximum(depth, 1)) * weights
+            y = self.rows[alive] * weights if len(alive) < n else self.rows * weights
+            if not np.isfinite(known) and len(alive) >= most:
+                lower = np.where(y > here, y, low).sum(1)
+                known = float(np.partition(lower, len(lower) - most)[len(lower) - most])
+            unread = float(here.sum()) >= known and not (depth[used] == n).all()
+            if not unread:
+                alive = alive[np.maximum(y, here).sum(1) >= known]
+            if (not unread and len(alive) <= few) or (depth[used] == n).all():
+                return alive, int(depth.sum())
+            left = np.where(depth < n, here - low, -1)  # what a list can still take from the bounds
+            depth = np.where(used & (2 * left >= left.mean(where=left >= 0)), np.minimum(depth + depth // 2 + 1, n), depth)
+            if unread:
+                alive = self.shown(weights, depth)
+
 
+def best(ids: np.ndarray, rows: np.ndarray, queries: np.ndarray, most: int, known: np.ndarray, few: int = 64, batch: int = 1024) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
+    """(rows by place, ids and scores of the `most` best rows of the block, best first, that can reach `known`, for each query; entries read)."""
+    kind = exact_kind(rows, queries)
+    lists, found, entries = Lists(rows.astype(kind)), [], 0
+    for a in range(0, len(queries), batch):
+        weights = queries[a : a + batch].astype(kind)
+        depths = lists.read(weights, known[a : a + batch])
+        for w, depth, floor in zip(weights, depths, known[a : a + batch], strict=True):
+            alive, read = lists.able(w, depth, float(floor), most, few)
+            entries += read
+            score = (lists.rows[alive] @ w).astype(np.int64)
+            order = np.lexsort((ids[alive], -score))[:most]
+            found.append((alive[order], ids[alive][order], score[order]))
+    return found, entries
 
-def search(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, query_block: int = 2048) -> DataFrame:
+
+class Best:
+    """The best rows so far of every query of one length."""
+
+    def __init__(self, places: np.ndarray, ids: np.ndarray, copies: np.ndarray, queries: np.ndarray, known: np.ndarray, most: int):
+        self.places, self.ids, self.copies, self.queries, self.known, self.most = places, ids, copies, queries, known.copy(), most
+        self.held: list[list[tuple[int, int, bool]]] = [[] for _ in ids]  # (-score, id, own)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> int:
+        found, entries = best(ids, rows, self.queries, self.most, self.known)
+        for q, (at, who, score) in enumerate(found):
+            if not len(at):
+                continue
+            own = (who == self.ids[q]) & (rows[at] == self.queries[q]).all(1)
+            mine = sorted(self.held[q] + list(zip((-score).tolist(), who.tolist(), own.tolist(), strict=True)))[: self.most]
+            self.held[q] = mine
+            if len(mine) == self.most:
+                self.known[q] = max(self.known[q], -mine[-1][0])
+        return entries
+
+
+def best_among(queries: np.ndarray, most: int) -> np.ndarray:
+    """The score of the `most`-th best row among the queries themselves, a lower bound for each of them."""
+    if len(queries) < most:
+        return np.full(len(queries), -np.inf)
+    kind = exact_kind(queries, queries)
+    q = queries.astype(kind)
+    return np.concatenate([np.partition(q[a : a + 512] @ q.T, len(q) - most, axis=1)[:, len(q) - most] for a in range(0, len(q), 512)]).astype(np.float64)
+
+
+def stacked(column: pa.ListArray, rows: np.ndarray, dims: int) -> np.ndarray:
+    """The vectors of the chosen rows, all of length dims."""
+    offsets = column.offsets.to_numpy()[rows]
+    flat = column.values.to_numpy()
+    return flat[offsets[:, None] + np.arange(dims)]
+
+
+def search(vectors: DataFrame, *, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 4096, query_bytes: int = 8 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every`, the k rows of highest score."""
+    most = k + 1  # a query finds itself
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(finite)
-    whole = good.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"))
-    whole = whole.groupBy("id").agg(F.min("v").alias("v")).withColumn("dims", F.size("v"))
-    counts = vectors.select(F.count("*"), F.count_if(F.col(id_col) % every == 0)).first()
-    blocks, query_blocks = max(1, -(-counts[0] // block)), max(1, -(-counts[1] // query_block))
-    rows = whole.select("dims", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"), "id", "v")
-    queries = whole.where(F.col("id") % every == 0)
-    queries = queries.select("dims", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("q"), "id", "v")
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got = best(left.id.to_numpy(), np.stack(left.v.to_numpy()), right.id.to_numpy(), np.stack(right.v.to_numpy()), k) if len(left) and len(right) else []
-        return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype("int64")
-
-    local = rows.groupBy("dims", "b", "q").cogroup(queries.groupBy("dims", "b", "q")).applyInPandas(pair, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = good.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("v"))
+    asked = store.written(rows.where(F.col("id") % every == 0).groupBy("id", "v").agg(F.count("*").alias("copies")), "queries")
+    size = asked.select(F.sum(8 * F.size("v") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // query_bytes))
+    parts = []
+    for b in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)) == b).collect()
+        if not held:
+            continue
+        by_length: dict[int, list[int]] = {}
+        for i, r in enumerate(held):
+            by_length.setdefault(len(r["v"]), []).append(i)
+        wanted = {}
+        for dims, places in by_length.items():
+            queries = np.array([held[i]["v"] for i in places], np.int64).reshape(len(places), dims)
+            wanted[dims] = (np.array(places), np.array([held[i]["id"] for i in places]), np.array([held[i]["copies"] for i in places]), queries, best_among(queries, most))
+
+        def run(batches: Iterator[pa.RecordBatch], wanted: dict = wanted, b: int = b) -> Iterator[pa.RecordBatch]:
+            state = {dims: Best(*w, most) for dims, w in wanted.items()}
+            waiting: dict[int, list] = {dims: [] for dims in wanted}
+            for batch in batches:
+                ids, column = batch.column("id").to_numpy(), batch.column("v")
+                dims_of = np.diff(column.offsets.to_numpy())
+                for dims in np.unique(dims_of).tolist():
+                    if dims not in wanted:
+                        continue
+                    at = np.flatnonzero(dims_of == dims)
+                    waiting[dims].append((ids[at], stacked(column, at, dims)))
+                    if sum(len(x) for x, _ in waiting[dims]) >= block:
+                        drain(state[dims], waiting[dims], whole=False)
+            for dims, mine in waiting.items():
+                drain(state[dims], mine, whole=True)
+            for s in state.values():
+                out = [(b, int(s.places[q]), int(s.ids[q]), int(s.copies[q]), i, -score, own) for q, mine in enumerate(s.held) for score, i, own in mine]
+                for a in range(0, len(out), 10_000):
+                    part = list(zip(*out[a : a + 10_000], strict=True))
+                    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names=[f.split()[0] for f in LOCAL.split(", ")])
+
+        def drain(state: Best, mine: list, whole: bool) -> None:
+            if not mine:
+                return
+            ids, rows = np.concatenate([x for x, _ in mine]), np.concatenate([x for _, x in mine])
+            at = 0
+            while len(ids) - at >= block or (whole and at < len(ids)):
+                state.add(ids[at : at + block], rows[at : at + block])
+                at += block
+            mine[:] = [(ids[at:], rows[at:])] if at < len(ids) else []
+
+        local = rows.mapInArrow(run, LOCAL)
+        parts.append(store.written(local, "best") if blocks > 1 else local)
+    if not parts:
+        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
+    local = parts[0]
+    for p in parts[1:]:
+        local = local.union(p)
+    order = Window.partitionBy("block", "place").orderBy(F.desc("score"), "vec_id", F.desc("own"))
+    every_one = Window.partitionBy("block", "place")
+    ranked = local.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
+    ranked = ranked.withColumn("self", F.coalesce(F.min(F.when(F.col("own"), F.col("at"))).over(every_one), F.lit(most)))
+    ranked = ranked.where(F.col("at") != F.col("self")).withColumn("rank", (F.col("at") - (F.col("at") > F.col("self")).cast("int")).cast("int"))
+    copied = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return copied.select("query_id", "rank", "vec_id", "score")

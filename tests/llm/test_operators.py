@@ -118,21 +118,55 @@ def test_substring_dedup(spark, docs, empty):
         assert int(h[i]) == want
 
 
-@pytest.mark.parametrize("n,dims,span", [(300, 8, 40), (50, 3, 2), (4, 5, 9)])
-def test_topk_equals_brute_force(spark, n, dims, span):
+def best_of(ids, rows, query, most):
+    score = rows @ query
+    order = np.lexsort((ids, -score))[:most]
+    return list(zip(ids[order].tolist(), score[order].tolist(), strict=True))
+
+
+@pytest.mark.parametrize("n,dims,span", [(300, 8, 40), (50, 3, 2), (4, 5, 9), (1, 3, 3), (200, 1, 5), (20, 0, 3)])
+def test_topk_equals_brute_force(n, dims, span):
     r = np.random.default_rng(n)
-    ids, rows = np.arange(n), r.integers(-span, span + 1, (n, dims))
-    got = topk.best(ids, rows, ids[::7], rows[::7], 5)
-    for q in ids[::7]:
-        want = sorted(((-int(rows[q] @ rows[x]), x) for x in ids if x != q))[:5]
-        assert sorted((-s, i) for a, i, s in got if a == q) == want
+    ids, rows = r.permutation(n), r.integers(-span, span + 1, (n, dims))
+    queries = rows[::7]
+    for known in (topk.best_among(queries, 6), np.full(len(queries), -np.inf)):
+        got, _ = topk.best(ids, rows, queries, 6, known, few=3)
+        for (_, who, score), q, least in zip(got, queries, known, strict=True):
+            want = [x for x in best_of(ids, rows, q, 6) if x[1] >= least]
+            assert [x for x in zip(who.tolist(), score.tolist(), strict=True) if x[1] >= least] == want
+
+
+def test_topk_stops_reading():
+    r = np.random.default_rng(3)
+    for spread, share in ((np.exp(-np.arange(32) / 3), 0.25), (np.ones(32), 0.9)):
+        rows = np.floor(2560 * r.normal(size=(12000, 32)) * spread).astype(np.int64)
+        ids, queries = np.arange(12000), rows[::50]
+        state = topk.Best(np.arange(240), ids[::50], np.ones(240, int), queries, topk.best_among(queries, 6), 6)
+        read = sum(state.add(ids[a : a + 4096], rows[a : a + 4096]) for a in range(0, 12000, 4096))
+        assert read < share * rows.size * len(queries)
+        for q in range(0, 240, 7):
+            assert [(i, -s) for s, i, _ in state.held[q]] == best_of(ids, rows, queries[q], 6)
 
 
 def test_topk_edges(spark):
-    table = spark.createDataFrame([(0, [0.5, 1.0]), (50, [0.5, 1.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (None, [1.0, 1.0]), (5, [0.25, 0.0])], "vec_id long, embedding array<float>")
+    table = spark.createDataFrame([(0, [0.5, 1.0]), (50, [0.5, 1.0]), (1, None), (2, [None, 1.0]), (3, [float("nan"), 1.0]), (4, [1.0]), (None, [1.0, 1.0]), (5, [0.25, 0.0]), (6, [])], "vec_id long, embedding array<float>")
     got = sorted(map(tuple, topk.search(table).collect()))
     assert got == [(0, 1, 50, 128 * 128 + 256 * 256), (0, 2, 5, 128 * 64), (50, 1, 0, 128 * 128 + 256 * 256), (50, 2, 5, 128 * 64)]
-    assert not topk.search(table.limit(0)).collect()
+    assert not topk.search(table.limit(0)).collect() and topk.search(table.limit(0)).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_topk_of_repeated_ids_and_blocks(spark):
+    r = random.Random(14)
+    rows = [(i // 2 if i < 60 else i, [r.randint(-3, 3) / 4 for _ in range(3)], "clash") for i in range(160)] + [(0, [0.5, 0.5, 0.5], "x")] * 3
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    whole = [(i, [int(256 * x // 1) for x in v]) for i, v, _ in rows]
+    want = []
+    for a, (i, v) in enumerate(whole):
+        if i % 50 == 0:
+            others = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(whole) if a != b)[:5]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(others, 1)]
+    for size in (8 << 20, 200):
+        assert sorted(map(tuple, topk.search(table, query_bytes=size, block=32).collect())) == sorted(want)
 
 
 def test_decontamination_in_blocks(spark, docs, empty):
