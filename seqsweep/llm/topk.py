@@ -141,8 +141,19 @@ class Best:
     def __init__(self, places: np.ndarray, ids: np.ndarray, copies: np.ndarray, queries: np.ndarray, known: np.ndarray, most: int):
         self.places, self.ids, self.copies, self.queries, self.known, self.most = places, ids, copies, queries, known.copy(), most
         self.held: list[list[tuple[int, int, bool]]] = [[] for _ in ids]  # (-score, id, own)
+        self.seen = len(ids)
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> int:
+        """Takes rows, at first a few at a time, so that the known scores rise before much is read; returns the entries read."""
+        entries = at = 0
+        while at < len(ids):
+            to = at + max(self.seen, 256)
+            entries += self._add(ids[at:to], rows[at:to])
+            self.seen += to - at
+            at = to
+        return entries
+
+    def _add(self, ids: np.ndarray, rows: np.ndarray) -> int:
         found, entries = best(ids, rows, self.queries, self.most, self.known)
         for q, (at, who, score) in enumerate(found):
             if not len(at):
