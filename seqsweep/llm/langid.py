@@ -3,16 +3,19 @@
 Every language gets a codeword of bits; for each bit a linear classifier over hashed byte trigrams predicts it from
 the whole text, and the language whose codeword has the least weighted loss wins. The weights are the bits' measured
 reliability on the training rows. The score is the softmax of the negative losses; `ambiguous` marks texts whose two
-nearest codewords are closer than a margin. Training takes a bounded sample (`per_class` rows of each language).
+nearest codewords are closer than a margin. Training takes a bounded sample: `per_class` rows of each language, fewer
+where that would be more than `most_rows` in all, of texts of at most `most_chars` characters. Every language of the
+rows is learned; more than `most_langs` are an error.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; texts of any length are read whole;
-repeated rows get the same answer; columns named like an output are replaced; an empty table gives an empty result;
+repeated rows get the same answer; of a repeated id the text that is smallest in order is learned; columns named like an output are replaced; an empty table gives an empty result;
 with a single language to learn every text with a letter gets it; with none, all are `und`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -117,9 +120,12 @@ def predict(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
     return loss.argmin(1), p.max(1).astype(np.float64), close
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 350) -> dict | None:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 350, most_rows: int = 8192, most_chars: int = 1 << 17, most_langs: int = 512) -> dict | None:
     """Fits the bit classifiers on at most per_class rows of each language; docs holds only rows to learn from."""
-    chosen = samples.by_class(docs.where(F.col(text_col).rlike(r"\p{L}")), id_col, lang_col, per_class)
+    docs = docs.where((F.length(text_col) <= most_chars) & F.col(text_col).rlike(r"\p{L}"))
+    chosen = samples.by_class(docs, id_col, lang_col, per_class, most_langs)
+    each = max(1, min(per_class, most_rows // max(len({v for _, v in chosen}), 1)))
+    chosen = [x for _, g in groupby(chosen, key=lambda x: x[1]) for x in islice(g, each)]
     texts = samples.texts_of(docs, id_col, text_col, [k for k, _ in chosen])
     rows = [(texts[k], v) for k, v in chosen if k in texts]
     return fit([t for t, _ in rows], [v for _, v in rows]) if rows else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,26 +11,28 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
-def by_class(marks: DataFrame, key: str, label: str, most: int) -> list:
+def by_class(marks: DataFrame, key: str, label: str, most: int, most_values: int = 4096) -> list:
     """At most `most` rows (key, label) of each value of label, those whose hashed key is smallest.
 
-    The order is that of a hash, so the sample is the same whatever the partitioning; each value is a bounded
-    top-n, so the driver holds at most values x most keys.
+    The order is that of a hash, so the sample is the same whatever the partitioning. It is one pass, in which every
+    task keeps `most` rows of a value before anything is shuffled; the driver holds at most most_values x most keys.
+    More than `most_values` values raise an error.
     """
-    marks = marks.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null").distinct()
-    values = [r[0] for r in marks.groupBy("y").count().orderBy(F.desc("count"), "y").limit(512).select("y").collect()]
-    found = []
-    for v in values:
-        found += marks.where(F.col("y") == F.lit(v)).orderBy(F.xxhash64("k"), "k").limit(most).collect()
+    marks = marks.select(F.col(key).alias("k"), F.col(label).alias("y")).where("k is not null and y is not null")
+    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k")
+    ranked = marks.withColumn("n", F.dense_rank().over(order)).where(F.col("n") <= most).select("k", "y").distinct()
+    found = ranked.orderBy("y", F.xxhash64("k"), "k").limit(most_values * most + 1).collect()
+    if len({r[1] for r in found}) > most_values or len(found) > most_values * most:
+        raise ValueError(f"more than {most_values} values of {label}: raise most_values")
     return [(r[0], r[1]) for r in found]
 
 
 def texts_of(docs: DataFrame, id_col: str, text_col: str, keys: list) -> dict:
-    """{key: text} for a bounded list of keys, by one scan with a broadcast of the keys."""
+    """{key: text} for a bounded list of keys, by one scan with a broadcast of the keys; a repeated key has its smallest text."""
     if not keys:
         return {}
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    wanted = spark.createDataFrame([(k,) for k in keys], f"k {kind}")
+    wanted = spark.createDataFrame([(k,) for k in set(keys)], f"k {kind}")
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "k", "left_semi")
-    return {r[0]: r[1] or "" for r in rows.collect()}
+    return {r[0]: r[1] or "" for r in rows.groupBy("k").agg(F.min("t")).collect()}

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from seqsweep.llm import decontam, html, langid, linededup, neardup, packing, pii, quality, queries, store, substrings, text, topk
+from seqsweep.llm import decontam, html, langid, linededup, neardup, packing, pii, quality, queries, samples, store, substrings, text, topk
 
 SCHEMA = "doc_id long, text string, lang string, score string, k string, t string"
 
@@ -211,6 +211,71 @@ def test_cut_points_are_optimal():
         assert cuts[-1] == total and abs(got - best[total]) < 1e-9
 
 
+def plain_quality(model, t):
+    """The network on one text, filter by filter and chunk by chunk."""
+    raw = [*t.encode(), *[0] * 16]
+    n = -(-len(t.encode()) // 4)
+    f = len(model["b"])
+    w = np.concatenate([model["w"][:, :f], model["w"][:, f:]])
+    r = [np.maximum(np.concatenate([quality.TABLE[b] for b in raw[4 * i : 4 * i + 8]]) @ w + model["b"], 0) for i in range(n)]
+    starts = range(0, max(32 * (-(-(len(t.encode()) + 8) // 128) - 1), 1), 32) if n else ()
+    top = np.zeros(len(model["b1"]))
+    for a in starts:
+        mine = r[a : a + 64]
+        z = (np.mean(mine, 0) - model["mu"]) / model["sd"] * np.sqrt(len(mine) / 64)
+        top = np.maximum(top, np.maximum(np.concatenate([z, z * z]) @ model["w1"] + model["b1"], 0))
+    return 1 / (1 + np.exp(-(top @ model["w2"] + model["b2"] + model["shift"])))
+
+
+def test_quality_equals_brute_force(monkeypatch):
+    r = random.Random(15)
+    texts = [words(r, r.randint(1, 90)) + "é" * (i % 5) for i in range(60)] + ["x", "", "é", "ab" * 61, "y" * 128, "z" * 121, words(r, 900)]
+    model = quality.fit(texts, np.array([i % 2 for i in range(len(texts))]), epochs=2) | {"shift": 0.25}
+    got = quality.predict(model, *text.text_bytes(pa.array(texts, pa.large_string())))
+    assert np.allclose(got, [plain_quality(model, t) for t in texts], atol=2e-4)
+    monkeypatch.setattr(quality, "SEGMENT", 3)  # a long text goes through in segments
+    assert np.allclose(got, quality.predict(model, *text.text_bytes(pa.array(texts, pa.large_string()))), atol=1e-5)
+
+
+def plain_language(model, t):
+    """The decoding of one text, bit by bit."""
+    folded = "".join(c.lower() if c.isalpha() and (c.isascii() or c.lower() != c and ord(c) < 256) else c if ord(c) > 127 else " " for c in t)
+    raw = [32, *folded.encode(), 32, 32]
+    seen = Counter()
+    for a, b, c in list(zip(raw, raw[1:], raw[2:], strict=False))[: len(t.encode())]:
+        if (a, b) != (32, 32):
+            h = (a * 0x01000193 + b * 0x9E3779B1 + c * 0x85EBCA77) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            seen[h >> 19] += 1
+    z = sum((n / seen.total() * model["table"][h] for h, n in seen.items()), np.zeros(model["table"].shape[1])) + model["bias"]
+    z = np.clip(z, -8, 8)
+    losses = [sum(w * np.log1p(np.exp(-s * bit)) for w, s, bit in zip(model["weight"], z, word, strict=True)) for word in model["code"]]
+    return model["names"][int(np.argmin(losses))]
+
+
+def test_language_equals_brute_force(spark):
+    r = random.Random(16)
+    alphabets = ["abcdefghij", "qrstuvwxyz", "kélmñnoüpß"]
+    texts = [(i, " ".join("".join(r.choices(alphabets[i % 3], k=5)).capitalize() for _ in range(r.randint(1, 20))) + " 12!", f"l{i % 3}") for i in range(90)]
+    table = spark.createDataFrame(texts + [(3, "zzz", "l0"), (91, "q" * 300_000, "l9")], "doc_id long, text string, lang string")
+    model = langid.train(table, per_class=20)
+    assert model["names"] == ["l0", "l1", "l2"]  # the long text is not learned from
+    got = {(x.doc_id, x.text): x.lang_pred for x in langid.identify(table.withColumn("score", table.lang).withColumn("lang_pred", table.lang), model).collect()}
+    assert len(got) == 92 and all(got[i, t] == plain_language(model, t) for i, t, _ in texts)
+    with pytest.raises(ValueError):
+        langid.train(table, most_langs=2)
+
+
+def test_clashing_columns_and_repeated_ids(spark, docs):
+    model = {"rate": 0.5}
+    assert {x.score for x in quality.score(docs, model).collect()} == {0.5}
+    pairs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (None, "c")], "doc_id long, text string")
+    assert samples.texts_of(pairs, "doc_id", "text", [1, 2, 3]) == {1: "a", 2: ""}
+    marks = spark.createDataFrame([(i % 7, i % 2) for i in range(40)] + [(None, 1), (3, None)], "doc_id long, y int")
+    got = samples.by_class(marks, "doc_id", "y", 3)
+    assert len(got) == 6 and Counter(y for _, y in got) == {0: 3, 1: 3}
+
+
 def test_quality_and_language(spark, docs, empty):
     r = random.Random(9)
     rows = [(i, (words(r, 80) if i % 2 else words(r, 80).upper().replace(" ", "!! ")), i % 2) for i in range(200)]
