@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from . import store, text
 
-OUT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_words", T.BinaryType())]
+OUT = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("hit_items", T.ArrayType(T.StringType())), T.StructField("hit_words", T.BinaryType()), T.StructField("full_hit", T.BooleanType())]
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def frequencies(docs: DataFrame, text_col: str, tokens: np.ndarray) -> dict[int,
 
 
 def measure(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 13, block_windows: int = 200_000) -> DataFrame:
-    """docs with n_words, n_hit, hit_items (sorted ids) and hit_words (a bitmap over the words); other columns stay."""
+    """docs with n_words, n_hit, hit_items (sorted ids), hit_words (a bitmap over the words) and full_hit (whether a window of all n words stands in it); other columns stay."""
     outputs = {f.name for f in OUT}
     kept = [c for c in docs.columns if c not in outputs]
     schema = T.StructType([docs.schema[c] for c in kept] + OUT)
@@ -142,7 +142,7 @@ def measure(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_i
         def run(batches: Iterator[pa.RecordBatch], block: Windows = block, first: bool = b == 0) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in text.pieces(batch, text_col):
-                    yield _mark(part, text_col, kept, block, first)
+                    yield _mark(part, text_col, kept, block, first, n)
 
         out = out.mapInArrow(run, schema)
         if b % 4 == 3 and b + 1 < blocks:
@@ -150,7 +150,7 @@ def measure(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_i
     return out
 
 
-def _mark(part: pa.RecordBatch, text_col: str, kept: list[str], block: Windows, first: bool) -> pa.RecordBatch:
+def _mark(part: pa.RecordBatch, text_col: str, kept: list[str], block: Windows, first: bool, n: int) -> pa.RecordBatch:
     words, per_row = words_of(part.column(text_col))
     rows = np.repeat(np.arange(part.num_rows), per_row)
     start, window = block.occurrences(words, per_row, rows)
@@ -159,6 +159,8 @@ def _mark(part: pa.RecordBatch, text_col: str, kept: list[str], block: Windows,
     items: list[set] = [set(x or ()) for x in part.column("hit_items").to_pylist()] if not first else [set() for _ in range(part.num_rows)]
     for r, w in {(int(r), int(w)) for r, w in zip(rows[start], window, strict=True)}:
         items[r].update(block.items[w])
+    full = np.zeros(part.num_rows, bool) if first else part.column("full_hit").to_numpy(zero_copy_only=False).astype(bool)
+    full[rows[start[block.size[window] == n]]] = True
     ends = np.cumsum(per_row)
     before = part.column("hit_words").to_pylist() if not first else None
     maps, n_hit = [], np.zeros(part.num_rows, np.int64)
@@ -168,11 +170,16 @@ def _mark(part: pa.RecordBatch, text_col: str, kept: list[str], block: Windows,
             mine = mine | np.unpackbits(np.frombuffer(before[r], np.uint8), count=c).astype(bool)
         n_hit[r] = mine.sum()
         maps.append(np.packbits(mine).tobytes() if n_hit[r] else b"")
-    arrays = [pa.array(per_row), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(maps, pa.binary())]
+    arrays = [pa.array(per_row), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(maps, pa.binary()), pa.array(full)]
     return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *arrays], names=[*kept, *(f.name for f in OUT)])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, hits: int = 1, words: int = 20, **options) -> DataFrame:
-    """The documents of which less than hits / words is covered by benchmark windows, with their own columns."""
+    """The documents without benchmark passages, with their own columns.
+
+    A document that contains a window of all n words goes, however long it is; windows of shorter items, which may be
+    common phrases, count only where they cover hits / words of the document or more.
+    """
     measured = measure(docs, items, **options)
-    return measured.where(~((F.col("n_hit") > 0) & (words * F.col("n_hit") >= hits * F.col("n_words")))).select(*[c for c in docs.columns if c in measured.columns])
+    covered = (F.col("n_hit") > 0) & (words * F.col("n_hit") >= hits * F.col("n_words"))
+    return measured.where(~(F.col("full_hit") | covered)).select(*[c for c in docs.columns if c in measured.columns])

@@ -178,6 +178,9 @@ def test_decontamination_in_blocks(spark, docs, empty):
         got = {x.doc_id: (x.n_words, x.n_hit, x.hit_items) for x in decontam.measure(table, items, block_windows=size).collect()}
         assert got == {1: (71, 20, ["7"]), 2: (60, 0, []), 3: (0, 0, []), 4: (2, 2, ["8"])}
     assert sorted(x.doc_id for x in decontam.decontaminate(table, items).collect()) == [2, 3]
+    long = spark.createDataFrame([(1, f"{words(r, 900)} {' '.join(item.split()[3:16])} {words(r, 900)}"), (2, f"{words(r, 300)} short item {words(r, 300)}"), (3, f"{words(r, 9)} {' '.join(item.split()[3:15])}")], "doc_id long, text string")
+    for size in (200_000, 4):
+        assert [x.doc_id for x in decontam.decontaminate(long, items, block_windows=size).orderBy("doc_id").collect()] == [2, 3]
     assert not decontam.measure(empty, items).collect() and decontam.measure(docs, items.limit(0)).count() == docs.count()
 
 
