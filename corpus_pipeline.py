@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality filter, line dedup, near-dedup, benchmark decontamination, packing."""
+"""The corpus pipeline: quality filter, line dedup, near-dedup, benchmark decontamination, packing.
+
+Every stage takes documents with null ids, null or empty texts, very long texts, repeated rows and further columns,
+whatever their names, and empty tables; all but the last keep the columns that they were given. Ties are decided by
+the smallest id.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +17,11 @@ Stage = tuple[str, object]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a quality score of 0.7 or more; learned from the labelled rows that are not held out."""
+    """Documents with a quality score of 0.7 or more; learned from the labelled rows that are not held out.
+
+    A null or empty text is scored like any other (usually it goes); without labels of both kinds every score is the
+    share of label 1. An empty table stays empty.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(samples.crc_mod("doc_id", 4) != 2)
     model = quality.train(docs, labels)
@@ -20,7 +29,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines they share with an earlier one; those of which nothing is left go. n_chars is counted anew."""
+    """Documents without the lines they share with an earlier one; those of which nothing is left go. n_chars is counted anew.
+
+    Null and empty texts and rows with a null id stay as they are; rows that repeat id and text are treated alike.
+    """
     ship(spark)
     found = linededup.deduplicate(docs)
     left = found.where((F.col("n_deleted") == 0) | (F.length(F.trim("text")) > 0))
@@ -30,19 +42,25 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
+
+    Documents without words and rows with a null id stay; rows that repeat an id are one document and stay or go together.
+    """
     ship(spark)
     return neardup.deduplicate(docs).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is covered by 13-word windows of the benchmark."""
+    """Documents without a 13-word window of the benchmark, and covered to less than a twentieth by windows of shorter items.
+
+    Null and empty texts stay; without items all documents stay.
+    """
     ship(spark)
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 ids."""
+    """The pieces of all documents in sequences of 1024 ids; a null or empty text is the end id alone."""
     ship(spark)
     return packing.pack(docs, **queries.tokenizer_files())
 
