@@ -1,11 +1,13 @@
 """Sequence packing by dynamic programming over cut positions, in document order.
 
-The documents of a block (about `block_tokens` ids of one input partition, in their order) form one stream of ids.
-Cuts may stand at document ends, at sentence ends (an id whose text ends a sentence or holds a line break) and, in
-stretches without either, every `grid` ids. The best cuts minimise padding plus penalties for cutting inside a
-document: f(j) = penalty(j) + min over i of f(i) + padding(j - i). Padding is linear in the length, so the minimum
-over the window of the last `length` ids is kept in a monotone queue of f(i) + i; lengths that are a power of two
-are not padded and are tried by themselves. There is no shuffle, and a task holds one block.
+The documents of an input partition, in their order, form one stream of ids. Cuts may stand at document ends, at
+sentence ends (an id whose text ends a sentence or holds a line break) and, at a higher penalty, where a sequence that
+begins at one of these is full and every `grid` ids in stretches without any. The best cuts minimise padding, penalties for cutting inside a document and a cost for each sequence (else many
+short sequences, whose lengths are powers of two and so are not padded, would be cheapest): f(j) = penalty(j) + cost +
+min over i of f(i) + padding(j - i). Padding is linear in the length, so the minimum over the window of the last
+`length` ids is kept in a monotone queue of f(i) + i; lengths that are a power of two are tried by themselves. The
+stream is cut a block of about `block_tokens` ids at a time; what stands behind the last cuts of a block goes on into
+the next one. There is no shuffle, and a task holds one block (or one document, where that is longer).
 
 Defined cases: a null text is empty; every document ends with `end_id`, so an empty one is that id alone; a document
 longer than a sequence is cut; repeated rows are packed each by itself; other columns are not read; an empty table
@@ -157,7 +159,7 @@ class Encoder:
         return np.flatnonzero(start)
 
 
-def cut_points(total: int, position: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
+def cut_points(total: int, position: np.ndarray, penalty: np.ndarray, length: int, cost_each: float = 0.0) -> np.ndarray:
     """The cheapest cut positions among `position` (ascending, the last is total), each at most `length` apart."""
     pos = np.concatenate([[0], position])
     pen = np.concatenate([[0.0], penalty]).tolist()
@@ -182,7 +184,7 @@ def cut_points(total: int, position: np.ndarray, penalty: np.ndarray, length: in
         for i in exact.get(j, ()):
             if cost[i] <= best:
                 best, arg = cost[i], i
-        cost[j], back[j] = best + pen[j], arg
+        cost[j], back[j] = best + pen[j] + cost_each, arg
         g = cost[j] + here
         while queue and queue[-1][0] >= g:
             queue.pop()
@@ -194,7 +196,7 @@ def cut_points(total: int, position: np.ndarray, penalty: np.ndarray, length: in
     return np.array(out[::-1], np.int64)
 
 
-def plan(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, *, length: int, grid: int, sentence_penalty: float, other_penalty: float) -> np.ndarray:
+def plan(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, *, length: int, grid: int, sentence_penalty: float, other_penalty: float, sequence_cost: float) -> np.ndarray:
     """Cut positions for a stream of ids; sentence marks ids after which a sentence ends."""
     total = len(ids)
     mark = np.zeros(total + 1, np.uint8)
@@ -206,14 +208,19 @@ def plan(ids: np.ndarray, doc_ends: np.ndarray, sentence: np.ndarray, *, length:
     wide = np.flatnonzero(gap > 2 * grid)
     for a in wide.tolist():
         mark[known[a] + grid : known[a + 1] : grid] = 1
+    full = known[known <= total - length] + length
+    mark[full[mark[full] == 0]] = 1
     position = np.flatnonzero(mark)[1:]
     penalty = np.array([0.0, other_penalty, sentence_penalty, 0.0])[mark[position]]
-    return cut_points(total, position, penalty, length)
+    return cut_points(total, position, penalty, length, sequence_cost)
+
+
+Waiting = tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]  # ids of documents, their tokens end to end, by document those left and all
 
 
 def pack(
     docs: DataFrame, *, tokenizer_json: str, ranks_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0,
-    block_tokens: int = 1 << 19, grid: int = 32, sentence_penalty: float = 1.0, other_penalty: float = 6.0, with_ids: bool = False,
+    block_tokens: int = 1 << 19, grid: int = 32, sentence_penalty: float = 1.0, other_penalty: float = 6.0, sequence_cost: float = 64.0, with_ids: bool = False,
 ) -> DataFrame:
     """One row for each piece of a document: its place in the document and in its sequence, and its ids if asked for."""
     long = T.LongType()
@@ -224,37 +231,42 @@ def pack(
         encoder = Encoder(tokenizer_json, ranks_file, pattern)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 32
-        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        held: list[Waiting] = []
         size = 0
         for batch in batches:
             for part in text.pieces(batch, "t"):
                 ids, n = encoder.encode(*text.text_bytes(part.column("t")))
-                ends = np.cumsum(n)
-                held.append((part.column("k"), np.insert(ids, ends, end_id), n + 1))
+                held.append((part.column("k"), np.insert(ids, np.cumsum(n), end_id), n + 1, n + 1))
                 size += len(held[-1][1])
                 if size >= block_tokens:
-                    out, sequence = flush(held, encoder.ends, sequence)
+                    out, held, sequence = flush(held, encoder.ends, sequence, last=False)
                     yield out
-                    held, size = [], 0
+                    size = sum(len(h[1]) for h in held)
         if held:
-            yield flush(held, encoder.ends, sequence)[0]
+            yield flush(held, encoder.ends, sequence, last=True)[0]
 
-    def flush(held: list, sentence: np.ndarray, sequence: int) -> tuple[pa.RecordBatch, int]:
-        keys = pa.concat_arrays([k for k, _, _ in held])
-        ids, n = np.concatenate([i for _, i, _ in held]), np.concatenate([c for _, _, c in held])
-        doc_end = np.cumsum(n)
-        cuts = plan(ids, doc_end, sentence, length=length, grid=grid, sentence_penalty=sentence_penalty, other_penalty=other_penalty)
-        edges = np.union1d(cuts, doc_end)
-        begin = np.concatenate([[0], edges[:-1]])
+    def flush(held: list[Waiting], sentence: np.ndarray, sequence: int, last: bool) -> tuple[pa.RecordBatch, list[Waiting], int]:
+        """The pieces up to the last cut that the rest of the stream hardly moves; what is behind it."""
+        keys = pa.concat_arrays([h[0] for h in held])
+        ids, left, whole = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+        doc_end = np.cumsum(left)
+        cuts = plan(ids, doc_end, sentence, length=length, grid=grid, sentence_penalty=sentence_penalty, other_penalty=other_penalty, sequence_cost=sequence_cost)
+        if not last:
+            cuts = cuts[cuts <= len(ids) - 8 * length]
+        stop = int(cuts[-1]) if len(cuts) else 0
+        edges = np.union1d(cuts, doc_end[doc_end <= stop])
+        begin = np.concatenate([[0], edges[:-1]])[: len(edges)].astype(np.int64)
         doc = np.searchsorted(doc_end, begin, "right")
         seq = np.searchsorted(cuts, begin, "right")
         seq_begin = np.concatenate([[0], cuts])[seq]
         little = ids.astype("<u4")
         crc = np.array([zlib.crc32(little[a:b]) for a, b in zip(begin.tolist(), edges.tolist(), strict=True)], np.int64)
-        columns = [keys.take(pa.array(doc)), begin - (doc_end - n)[doc], edges - begin, crc, n[doc], seq + sequence, begin - seq_begin]
+        columns = [keys.take(pa.array(doc)), begin - doc_end[doc] + whole[doc], edges - begin, crc, whole[doc], seq + sequence, begin - seq_begin]
         arrays = [columns[0], *(pa.array(c, pa.int64()) for c in columns[1:])]
         if with_ids:
-            arrays.append(pa.ListArray.from_arrays(pa.array(np.append(begin, len(ids)), pa.int32()), pa.array(ids, pa.int32())))
-        return pa.RecordBatch.from_arrays(arrays, names=schema.names), sequence + len(cuts)
+            arrays.append(pa.ListArray.from_arrays(pa.array(np.append(begin, stop), pa.int32()), pa.array(ids, pa.int32())))
+        after = np.searchsorted(doc_end, stop, "right")
+        rest = [(keys.slice(after), ids[stop:], np.minimum(left, doc_end - stop)[after:], whole[after:])] if stop < len(ids) else []
+        return pa.RecordBatch.from_arrays(arrays, names=schema.names), rest, sequence + len(cuts)
 
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, schema)

@@ -184,6 +184,43 @@ def test_decontamination_in_blocks(spark, docs, empty):
     assert not decontam.measure(empty, items).collect() and decontam.measure(docs, items.limit(0)).count() == docs.count()
 
 
+def test_packing_in_blocks_and_partitions(spark):
+    from tokenizers import Tokenizer
+
+    files = queries.tokenizer_files()
+    full = Tokenizer.from_file(files["tokenizer_json"])
+    r = random.Random(17)
+    texts = [". ".join(words(r, r.randint(4, 20)) for _ in range(r.randint(1, 40))) for _ in range(300)]
+    texts[40:60] = [texts[40]] * 20  # repeated rows, with one id below
+    table = spark.createDataFrame([(40 if 40 <= i < 60 else i, t, "x", 5) for i, t in enumerate(texts)], "doc_id long, text string, offset string, length int")
+    for parts, block in ((1, 20_000), (211, 1 << 19)):
+        rows = packing.pack(table.repartition(parts), **files, with_ids=True, block_tokens=block).collect()
+        want = Counter()
+        for i, t in enumerate(texts):
+            want.update((40 if 40 <= i < 60 else i, x) for x in [*full.encode(t, add_special_tokens=False).ids, 0])
+        assert Counter((p.doc_id, x) for p in rows for x in p.ids) == want
+        size, at = Counter(), {}
+        for p in sorted(rows, key=lambda p: (p.sequence_id, p.offset)):
+            assert p.offset == size[p.sequence_id] and p.length == len(p.ids) and p.ids_crc32 == zlib.crc32(np.array(p.ids, "<u4").tobytes())
+            size[p.sequence_id] += p.length
+            at.setdefault(p.doc_id, []).append((p.start, p.length, p.doc_tokens))
+        for i, mine in at.items():
+            mine.sort()
+            assert i == 40 or all(a + n == b for (a, n, _), (b, _, _) in zip(mine, mine[1:], strict=False)) and mine[0][0] == 0 and sum(mine[-1][:2]) == mine[-1][2]
+        padding = sum(1024 - n for n in size.values() if n & (n - 1))
+        assert max(size.values()) <= 1024
+        if parts == 1:
+            assert padding < 0.01 * size.total() and len(size) < 1.04 * size.total() / 1024 + 1
+
+
+def test_packing_pads_little_in_many_partitions(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    size = [x.n for x in packing.pack(docs.repartition(211), **queries.tokenizer_files()).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(1024 - n for n in size if n & (n - 1)) < 0.01 * sum(size) and len(size) < 1.05 * sum(size) / 1024
+
+
 def test_packing_round_trip(docs, empty):
     from tokenizers import Tokenizer
 
@@ -206,11 +243,12 @@ def test_cut_points_are_optimal():
         pos = sorted({total, *(r.randint(1, total) for _ in range(12)), *range(6, total, 6)})
         pen = [r.choice([0.0, 1.0, 3.0]) for _ in pos]
         pad = lambda n: 0 if n & (n - 1) == 0 else 8 - n
+        each = r.choice([0.0, 2.0, 5.0])
         best = {0: 0.0}
         for p, x in zip(pos, pen, strict=True):
-            best[p] = x + min((best[q] + pad(p - q) for q in best if p - q <= 8), default=float("inf"))
-        cuts = packing.cut_points(total, np.array(pos), np.array(pen), 8).tolist()
-        got = sum(pad(b - a) + pen[pos.index(b)] for a, b in zip([0, *cuts], cuts, strict=False))
+            best[p] = x + each + min((best[q] + pad(p - q) for q in best if p - q <= 8), default=float("inf"))
+        cuts = packing.cut_points(total, np.array(pos), np.array(pen), 8, each).tolist()
+        got = sum(pad(b - a) + each + pen[pos.index(b)] for a, b in zip([0, *cuts], cuts, strict=False))
         assert cuts[-1] == total and abs(got - best[total]) < 1e-9
 
 
