@@ -34,10 +34,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the number of base spans of each kind, base_sha256 and spans for every document."""
-    found = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """doc_id, the number of base spans of each kind, base_sha256, spans and the number of all spans for every document."""
+    found = pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(F.expr(pii.listed(base=True)), 256).alias("base_sha256"), F.expr(pii.listed(base=False)).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(pii.listed(base=True)), 256).alias("base_sha256"), F.expr(pii.listed(base=False)).alias("spans"), F.expr(" + ".join(f"size({k})" for k in (*pii.KINDS, "added"))).cast("long").alias("n_spans"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from seqsweep.llm import decontam, html, langid, linededup, neardup, packing, pii, quality, queries, samples, store, substrings, text, topk
 
@@ -214,8 +215,6 @@ def test_packing_in_blocks_and_partitions(spark):
 
 
 def test_packing_pads_little_in_many_partitions(spark):
-    from pyspark.sql import functions as F
-
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     size = [x.n for x in packing.pack(docs.repartition(211), **queries.tokenizer_files()).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
     assert sum(1024 - n for n in size if n & (n - 1)) < 0.01 * sum(size) and len(size) < 1.05 * sum(size) / 1024
@@ -372,10 +371,8 @@ def base_list(t):
 
 
 def test_pii_base_spans(spark):
-    from pyspark.sql import functions as F
-
     r = random.Random(10)
-    texts = ["".join(r.choices(["1", "4", "0", "255", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "_", "é", "4111111111111111"], k=r.randint(0, 60))) for _ in range(150)] + [None, "", "9" * 30000, "a" * 30000]
+    texts = ["".join(r.choices(["1", "4", "0", "255", ".", "-", " ", "+", "(", ")", "@", "a", "b.c", "_", "é", "4111111111111111"], k=r.randint(0, 60))) for _ in range(150)] + [None, "", "9" * 30000, "a" * 30000, "10.0.5.7 at 0.0.0.0 and 00.000.0.255 or 1.0256.0.1", "256.1.1.1 1.2.3.4.5.6.7.8"]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.find(table)
     for row in found.select("doc_id", F.expr(pii.listed(base=True)).alias("spans")).collect():
@@ -390,6 +387,38 @@ def test_pii_adds_learned_spans(spark):
     assert [(a.kind, a.s, a.e) for a in got[99]] == [("phone", 5, 19)]
 
 
+def test_pii_added_spans_equal_brute_force(spark):
+    r = random.Random(18)
+    rows = []
+    for i in range(120):
+        own = f"user{i}@mail{i}.org" if i % 2 else f"+1 ({i + 100}) 555-{1000 + i}"
+        own += f" {words(r, 3)} 10.0.{i}.7" if i % 3 else ""
+        token = "".join(r.choices("0123456789abcdef", k=40))
+        rows.append((i, f"{words(r, 30)} {own} {words(r, 4)} token = '{token}' {words(r, 5)} {'x'.join(r.choices('abcdefgh', k=12))}"))
+    rows += [(200 + i, f"{words(r, 700)} {'y'.join(r.choices('abcdefgh', k=r.randint(10, 14)))} {words(r, 700)}") for i in range(200)]
+    rows += [(None, "me(at)home(dot)org and 4111 1111/1111 1111"), (500, None), (500, ""), (1, rows[1][1]), (1, rows[1][1])]
+    table = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id long, text string, email string, added string, size int")
+    proposed = pii.candidates(pii.base_spans(table, "doc_id", "text"), 1000)
+    models = pii.train(proposed.withColumn("size", F.length("text").cast("long")), 0.7, 1000)
+    assert ("secret", "company") in models
+    got = Counter((x.doc_id, tuple((a.kind, a.s, a.e) for a in x.added)) for x in pii.find(table, with_text=False).collect())
+    want = Counter()
+    for x in proposed.select("doc_id", "candidates").collect():
+        able = []
+        for c in x.candidates:
+            if c.free:
+                cell = np.array([[c[f] for f in pii.FEATURES]])
+                over = [sum(pii.values(t, cell)[0] for t in trees) - b for (k, _), (trees, b) in models.items() if k == c.kind]
+                if over and max(over) >= 0:
+                    able.append((-round(max(over), 6), c.s, -c.e, c.kind))
+        kept = [a for a in able if not any(b < a and b[1] < -a[2] and a[1] < -b[2] for b in able)]
+        want[x.doc_id, tuple((k, s, -e) for _, s, e, k in kept)] += 1
+    assert got == want and sum(n for (i, spans), n in got.items() if i is not None and i < 120 and any(k == "secret" for k, _, _ in spans)) == 122
+    assert not any(spans for (i, spans) in got if i is not None and 200 <= i < 400)
+    secret = next(spans for (i, spans) in got if i == 7)
+    assert rows[7][1][secret[0][1] : secret[0][2]].isalnum() and secret[0][2] - secret[0][1] == 40
+
+
 def test_digest_columns(spark):
     got = queries.op3_decontaminate(spark, "/root/testdata/sf0.001").where("n_items = 0").first()
     assert got.items_sha256 == hashlib.sha256(b"").hexdigest()
