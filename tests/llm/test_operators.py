@@ -335,13 +335,43 @@ def test_quality_and_language(spark, docs, empty):
     assert und[4] == und[5] == und[9] == "und" and und[0] != "und" and not langid.identify(empty, m).collect()
 
 
-def test_html(spark):
+def one_page(page):
+    return html.main_text(html.blocks_of(page), 12)
+
+
+def test_html_blocks():
     page = "<html><head><title>T</title><script>a='</p>'</script></head><body><nav>menu</nav><article><h1>Title &amp; more</h1><p><b>One<br>two<p>Three&nbsp;\n four<div class='ad'>buy</div><form>f</form><section class=comments><p>bad</p></section></article><footer>foot</footer>"
-    assert html.main_texts([tuple(map(list, zip(*html.blocks_of(page), strict=True)))], 12) == ["Title & more\n\nOne two\n\nThree four"]
+    assert one_page(page) == "Title & more\n\nOne two\n\nThree four"
+    inside = "<div class='page-header'><h1>Head</h1></div><p>text</p><div class='related-work'>kept too</div><div class='cookie-banner'>gone</div>"
+    assert one_page(f"<main>{inside}</main>") == "Head\n\ntext\n\nkept too"
+    teaser = "<article><h2><a href=x>Other</a></h2><a href=x>Read more</a></article>"
+    main = f"<article><p>{'main words here. ' * 40}</p></article>"
+    for page in (f"<div class='sidebar'>{teaser}</div>{main}", f"{main}{teaser}", f"<aside>{teaser}</aside>{main}<p>beside</p>"):
+        assert one_page(page) == ("main words here. " * 40).strip()
+    assert one_page(f"<nav><ul><li>unclosed{main}") == ("main words here. " * 40).strip()
+    assert one_page("<div class='navlinks'><a href=a>One</a> <a href=b>Two</a></div><div>plain text <a href=c>with a link</a></div>") == "plain text with a link"
+    assert one_page("<div><a href=a>only links</a></div>") == "only links"
+    assert one_page("<p>cut off in a <a href='") == "cut off in a" and one_page("<!-- open") == "" and one_page("a < b & c &lt; d") == "a < b & c < d"
+
+
+def test_html_boilerplate_of_hosts(spark):
+    r = random.Random(19)
     same = " ".join(f"w{i}" for i in range(20))
-    rows = [(i, f"http://h.org/{i}", f"<div>{same}</div><div>{i} own text</div>") for i in range(3)] + [(8, None, None), (9, "http://x.org", "plain")]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {0: "0 own text", 1: "1 own text", 2: "2 own text", 8: "", 9: "plain"}
+    plea = "Please support our journal. It is made by readers like you. Thank you very much for that."
+    shared = words(r, 30)
+    rows = [(i, f"http://h.org/{i}", f"<div>{same}</div><div>{i} own text</div>") for i in range(3)]
+    rows += [(10 + i, f"https://Art.org/{i}", f"<article><p>{words(r, 40)}</p><p>{plea}</p><p>{words(r, 40)}{'. ' + shared if i < 2 else ''}</p></article>") for i in range(12)]
+    copy = f"<article><p>{words(r, 60)}</p><p>{words(r, 60)}</p></article>"
+    rows += [(30 + i, f"http://copies.org/{i}", copy) for i in range(6)]
+    rows += [(50, None, None), (51, "http://x.org", "plain"), (52, "not a url", f"<p>{same}</p>"), (53, "http://h.org/9", ""), (None, "http://h.org/8", f"<p>{same}</p>"), (54, "http://twice.org", f"<p>{same}</p>"), (54, "http://twice.org", f"<p>{same}</p>")]
+    table = spark.createDataFrame([(*x, "clash", 1) for x in rows], "page_id long, url string, html string, text string, host int")
+    got = {x.page_id: x.text for x in html.extract(table).collect()}
+    assert html.extract(table).count() == len(rows) and all(got[i] == f"{i} own text" for i in range(3))
+    assert not any(plea in got[10 + i] for i in range(12)) and all(len(got[10 + i].split()) == 80 + 30 * (i < 2) for i in range(12))
+    assert got[10].endswith(shared) and got[11].endswith(shared)
+    assert all(got[30 + i] == one_page(copy) for i in range(6))
+    assert got[50] == "" and got[51] == "plain" and got[52] == same and got[53] == "" and got[54] == same and got[None] == same
+    assert not html.extract(table.limit(0)).collect()
 
 
 def test_html_of_a_large_host(spark):
@@ -352,6 +382,23 @@ def test_html_of_a_large_host(spark):
     assert len(got) == 900 and not any(block in t for t in got.values()) and all(t.split()[0] == str(i) and len(t.split()) == 16 for i, t in got.items())
 
 
+def test_html_equals_brute_force(spark):
+    """Every repeat of sentences of 12 words or more, found by comparing all pages' sentence sequences."""
+    r = random.Random(20)
+    stock = [words(r, n) + "." for n in (2, 3, 5, 7, 9, 13, 16)]
+    pages = [[r.choice(stock) if r.random() < 0.6 else words(r, r.randint(2, 9)) + "." for _ in range(r.randint(1, 9))] for _ in range(14)]
+    rows = [(i, "http://a.org/", "".join(f"<p>{s}</p>" for s in p)) for i, p in enumerate(pages)]
+    got = {x.page_id: x.text for x in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, p in enumerate(pages):
+        gone = set()
+        for a in range(len(p)):
+            for b in range(a, len(p)):
+                run = p[a : b + 1]
+                if sum(len(s.split()) for s in run) >= 12 and any(q[j : j + len(run)] == run for k, q in enumerate(pages) if k != i for j in range(len(q))):
+                    gone |= set(range(a, b + 1))
+        assert got[i] == "\n\n".join(s for j, s in enumerate(p) if j not in gone) or len(gone) == len(p) and got[i] == "\n\n".join(p)
+
+
 def luhn(d):
     t = [int(c) for c in reversed(d)]
     return (sum(t[::2]) + sum(sum(divmod(2 * x, 10)) for x in t[1::2])) % 10 == 0
