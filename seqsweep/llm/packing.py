@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -165,30 +164,40 @@ def cut_points(total: int, position: np.ndarray, penalty: np.ndarray, length: in
     pen = np.concatenate([[0.0], penalty]).tolist()
     where = np.full(total + 1, -1, np.int64)
     where[pos] = np.arange(len(pos))
-    exact: dict[int, list[int]] = {}
+    ends, starts = [], []
     p = 1
-    while p <= length:
+    while p < length:  # a full sequence has no padding either way
         j = np.flatnonzero(pos >= p)
         i = where[pos[j] - p]
-        for a, b in zip(j[i >= 0].tolist(), i[i >= 0].tolist(), strict=True):
-            exact.setdefault(a, []).append(b)
+        ends.append(j[i >= 0])
+        starts.append(i[i >= 0])
         p *= 2
+    order = np.argsort(np.concatenate(ends), kind="stable")
+    start = np.concatenate(starts)[order].tolist()
+    upto = np.cumsum(np.bincount(np.concatenate(ends), minlength=len(pos))).tolist()
     at = pos.tolist()
     cost, back = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    value, index, head = [0.0], [0], 0  # the queue: f(i) + i, ascending, and i, from head on
+    done = upto[0]
     for j in range(1, len(at)):
         here = at[j]
-        while at[queue[0][1]] < here - length:
-            queue.popleft()
-        best, arg = queue[0][0] + length - here, queue[0][1]
-        for i in exact.get(j, ()):
-            if cost[i] <= best:
-                best, arg = cost[i], i
-        cost[j], back[j] = best + pen[j] + cost_each, arg
-        g = cost[j] + here
-        while queue and queue[-1][0] >= g:
-            queue.pop()
-        queue.append((g, j))
+        far = here - length
+        while at[index[head]] < far:
+            head += 1
+        best, arg = value[head] - far, index[head]
+        if upto[j] > done:
+            for i in start[done : upto[j]]:
+                if cost[i] <= best:
+                    best, arg = cost[i], i
+            done = upto[j]
+        best += pen[j] + cost_each
+        cost[j], back[j] = best, arg
+        best += here
+        while len(value) > head and value[-1] >= best:
+            value.pop()
+            index.pop()
+        value.append(best)
+        index.append(j)
     out, j = [], len(at) - 1
     while j:
         out.append(at[j])
