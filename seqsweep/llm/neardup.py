@@ -7,17 +7,18 @@ depth, `least_depth` or more, at which it holds at most `region` classes. Candid
 
 The search takes three rounds, so that a large group of near copies does not give all of its pairs. In the first,
 only direct neighbours of a few trees are confirmed, and components are formed. In the second, all trees are read,
-and a region proposes every pair of classes that are not yet in one component (where a region of more than `region`
-classes shares a whole label, its neighbours only). The third searches completely what the second took at larger
-depths: every pair of classes that share `least_depth` levels in a region of more than `region` classes and are still
-apart, in sub-tasks of two blocks of at most about `block` classes each.
+and a region proposes every pair of classes that are not yet in one component; a region of more than `region` classes
+is searched at larger depths only (and where it shares a whole label, among near neighbours). Such regions, and the
+few that a task's end cuts, are reported as unfinished, and the third round searches them completely at the least
+depth: every pair of classes that are still apart, in sub-tasks of two blocks of about `block` classes each. There, the
+classes of a region's largest component are compared with the others only, so a large group of copies costs little.
 
 Two sketches drop pairs before their sets are fetched: 256 bits of the minima those whose estimate is far below the
 threshold (not in the third round), and parities, one for each bucket of shingle hashes, those that cannot be linked:
 sets differ in at least as many shingles as parities differ, so that bound loses no link. They are 256, and 4096 in
 the third round. With 32 trees and a least depth of 4 a link of similarity 0.8 is missed with a chance of
-(1 - 0.8 ** 4) ** 32, 5e-8, besides what the estimate drops; a region of at most `region` classes that the end of a
-range cuts is searched to both sides of the cut only, in that one tree.
+(1 - 0.8 ** 4) ** 32, 5e-8; the estimate drops fewer (see `least_bits`). Whatever the size of regions and groups,
+no other pair is left out.
 
 The sorted orders are dealt by ranges over (tree, label, document), so even one label that a third of all rows share
 is spread over tasks.
@@ -91,12 +92,12 @@ def parities(values: np.ndarray, per_row: np.ndarray, count: int = PARITIES) ->
 
 
 def least_bits(part: int, whole: int) -> int:
-    """The fewest equal sketch bits of a candidate: 5.5 deviations below the threshold, where half the bits agree by chance.
+    """The fewest equal sketch bits of a candidate: 6.5 deviations below the threshold, where half the bits agree by chance.
 
-    At a similarity of 0.8 it drops 2.7e-7 of the links at the very threshold, in all trees at once.
+    At a similarity of 0.8 it drops about 3e-9 of the links at the very threshold, in all trees at once.
     """
     share = 0.5 + part / whole / 2
-    return int(SKETCH * (share - 5.5 * np.sqrt(share * (1 - share) / SKETCH)))
+    return int(SKETCH * (share - 6.5 * np.sqrt(share * (1 - share) / SKETCH)))
 
 
 SIGNED = "doc_id {id}, n_shingles bigint, s1 bigint, s2 bigint, labels array<bigint>, sketch binary"
@@ -209,46 +210,62 @@ def _neighbours(batch: dict, *, least_depth: int, depth: int, region: int, near_
 
 
 def candidates(rows: DataFrame, id_type: str, **options) -> DataFrame:
-    """Distinct pairs (a, b), a < b."""
-    least, depth = options["least_depth"], options["depth"]
+    """Rows of two kinds: pairs (a, b), a < b, and unfinished regions (tree, prefix)."""
+    least, depth, region = options["least_depth"], options["depth"], options["region"]
+    shift = np.uint64(LEVEL_BITS * (depth // 2 - least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        first = True
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            rows_held = sum(b.num_rows for b in held)
-            if rows_held < 1 << 15:
+            if sum(b.num_rows for b in held) < 1 << 15:
                 continue
-            got, cut = found(held, last=False)
+            got, cut = found(held, first, last=False)
             yield got
+            first = False
             rest = pa.Table.from_batches(held).combine_chunks().to_batches()[0].slice(cut)
             held = [rest] if rest.num_rows else []
         if held:
-            yield found(held, last=True)[0]
+            yield found(held, first, last=True)[0]
 
-    def found(held: list[pa.RecordBatch], last: bool) -> tuple[pa.RecordBatch, int]:
+    def found(held: list[pa.RecordBatch], first: bool, last: bool) -> tuple[pa.RecordBatch, int]:
         t = pa.Table.from_batches(held)
         cols = {c: t.column(c).to_numpy() for c in ("tree", "hi", "lo", "component", "n_shingles", "rep")}
         sketch = t.column("sketch").combine_chunks()
         sketch = sketch.chunk(0) if isinstance(sketch, pa.ChunkedArray) else sketch
         raw = np.frombuffer(sketch.buffers()[2], np.uint8)
-        first = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset]
+        begin = np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset]
         width = (SKETCH + PARITIES) // 8
-        cols["sketch"] = raw[first : first + len(sketch) * width].reshape(-1, width)
+        cols["sketch"] = raw[begin : begin + len(sketch) * width].reshape(-1, width)
         n = len(cols["tree"])
-        cut = n
-        if not last:  # what shares a prefix with the last row waits for the next rows, unless it is much by itself
-            prefix = (cols["tree"] == cols["tree"][-1]) & ((cols["hi"].view(np.uint64) >> np.uint64(LEVEL_BITS * (depth // 2 - least))) == (cols["hi"].view(np.uint64)[-1] >> np.uint64(LEVEL_BITS * (depth // 2 - least))))
-            cut = n - int(prefix.sum())
-            cut = n - 64 if cut < n // 4 else cut
-        a, b = _neighbours({c: v[: n if n - cut == 64 else cut] for c, v in cols.items()}, **options)
+        tree, prefix = cols["tree"], cols["hi"].view(np.uint64) >> shift
+        start = np.flatnonzero(np.r_[True, (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])])
+        size = np.diff(np.append(start, n))
+        open_ = size > region
+        open_[0] |= first  # what stands before the first row and behind the last one is another task's
+        open_[-1] |= last
+        cut = upto = n
+        if not last:  # the last region waits for the next rows, unless it is much by itself
+            cut = int(start[-1])
+            upto = cut
+            if size[-1] > n - n // 4:
+                cut, upto = n - 64, n
+            else:
+                open_[-1] = False
+        a, b = _neighbours({c: v[:upto] for c, v in cols.items()}, **options)
         x, y = cols["rep"][a], cols["rep"][b]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]), cut
+        at = start[open_]
+        kind = pa.from_numpy_dtype(pairs.dtype)
+        none = pa.nulls(len(at), kind), pa.nulls(len(pairs), pa.int64())
+        columns = [pa.concat_arrays([pa.array(pairs[:, i]), none[0]]) for i in (0, 1)]
+        columns += [pa.concat_arrays([none[1], pa.array(v[at].astype(np.int64) if v is tree else v[at].view(np.int64))]) for v in (tree, prefix)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "tree", "prefix"]), cut
 
-    return rows.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    return rows.mapInArrow(run, f"a {id_type}, b {id_type}, tree bigint, prefix bigint").distinct()
 
 
 def wide_parities(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -262,24 +279,31 @@ def wide_parities(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col:
                 bits = iter(parities(values, per, WIDE_PARITIES))
                 yield pa.RecordBatch.from_arrays([piece.column("k"), pa.array([next(bits).tobytes() if n else None for n in per.tolist()], pa.binary())], names=["rep", "wide"])
 
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(wanted.withColumnRenamed("rep", "k"), "k", "left_semi").dropDuplicates(["k"])
+    wanted = wanted.withColumnRenamed("rep", "k")
+    few = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted) if few else wanted, "k", "left_semi").dropDuplicates(["k"])
     return texts.mapInArrow(run, f"rep {kind}, wide binary")
 
 
-def crowded(known: DataFrame, docs: DataFrame, id_type: str, *, trees: int, depth: int, least_depth: int, region: int, block: int, part: int, whole: int, **where) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of all classes apart that share a region of more than `region` classes, less those that parities prove unlinked."""
+def crowded(known: DataFrame, regions: DataFrame, docs: DataFrame, id_type: str, *, trees: int, depth: int, least_depth: int, region: int, block: int, part: int, whole: int, **where) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of all classes apart that share one of the regions (tree, prefix), less those that parities prove unlinked."""
     level = F.shiftrightunsigned(F.element_at("labels", 2 * F.col("tree") + 1), LEVEL_BITS * (depth // 2 - least_depth))
     chosen = known.select("rep", "component", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = chosen.select("rep", "component", "n_shingles", F.col("tree").cast("long").alias("tree"), level.alias("prefix"))
-    large = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    large = store.written(large.where((F.col("n") > region) & (F.col("lo") < F.col("hi"))).select("tree", "prefix", F.ceil(F.col("n") / block).alias("blocks")), "regions")
-    rows = store.written(rows.join(F.broadcast(large) if large.limit(MOST_SENT + 1).count() <= MOST_SENT else large, ["tree", "prefix"]), "crowded")
-    wide = wide_parities(docs, store.written(rows.select("rep").distinct(), "wanted"), **where)
-    mine = rows.join(store.written(wide, "wide"), "rep").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("tree", "prefix", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "rep", "component", "n_shingles", "wide")
+    rows = store.written(rows.join(F.broadcast(regions) if regions.limit(MOST_SENT + 1).count() <= MOST_SENT else regions, ["tree", "prefix"]), "crowded")
+    each = rows.groupBy("tree", "prefix", "component").count()
+    mixed = each.groupBy("tree", "prefix").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("n > most")
+    mixed = store.written(mixed.select("tree", "prefix", "largest", F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / block).alias("minor_blocks")), "mixed")
+    rows = rows.join(F.broadcast(mixed) if mixed.limit(MOST_SENT + 1).count() <= MOST_SENT else mixed, ["tree", "prefix"])
+    wide = store.written(wide_parities(docs, store.written(rows.select("rep").distinct(), "wanted"), **where), "wide")
+    mine = rows.join(wide, "rep").withColumn("minor", F.col("component") != F.col("largest"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    fields = ["tree", "prefix", "x", "y", "second", "minor", "rep", "component", "n_shingles", "wide"]
+    left = mine.where("minor").withColumn("x", place("minor_blocks")).withColumn("second", F.lit(False)).withColumn("y", F.explode(every("blocks")))
+    right = mine.withColumn("y", place("blocks")).withColumn("second", F.lit(True)).withColumn("x", F.explode(every("minor_blocks")))
     parts = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(parts, "tree", "prefix", "x", "y").sortWithinPartitions("tree", "prefix", "x", "y")
+    dealt = left.select(*fields).union(right.select(*fields)).repartition(parts, "tree", "prefix", "x", "y").sortWithinPartitions("tree", "prefix", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -300,23 +324,20 @@ def crowded(known: DataFrame, docs: DataFrame, id_type: str, *, trees: int, dept
 
     def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
-        rep, comp, n = (t.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+        rep, comp, n, minor, second = (t.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "minor", "second"))
         wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(-1, WIDE_PARITIES // 64)
-        second = t.column("second").to_numpy()
-        across = t.column("x")[0] != t.column("y")[0]
-        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if across else (np.arange(len(rep)), np.arange(len(rep)))
+        left, right = np.flatnonzero(~second), np.flatnonzero(second)
         for at in range(0, len(left), 64):
             some = left[at : at + 64]
             apart = (comp[some][:, None] != comp[right][None, :]) & (whole * np.minimum(n[some][:, None], n[right][None, :]) >= part * np.maximum(n[some][:, None], n[right][None, :]))
-            if not across:
-                apart &= some[:, None] < right[None, :]
+            apart &= ~minor[right][None, :] | (rep[some][:, None] < rep[right][None, :])  # two minor ones meet twice
             i, j = np.nonzero(apart)
             a, b = some[i], right[j]
             ok = np.zeros(len(a), bool)
             for c in range(0, len(a), 1 << 14):
                 u, v = a[c : c + (1 << 14)], b[c : c + (1 << 14)]
-                least = np.bitwise_count(wide[u] ^ wide[v]).sum(1, dtype=np.int64)
-                ok[c : c + (1 << 14)] = (whole - part) * (n[u] + n[v]) >= (whole + part) * least
+                different = np.bitwise_count(wide[u] ^ wide[v]).sum(1, dtype=np.int64)
+                ok[c : c + (1 << 14)] = (whole - part) * (n[u] + n[v]) >= (whole + part) * different
             x, y = rep[a[ok]], rep[b[ok]]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -370,17 +391,18 @@ def groups(
     where = {"id_col": id_col, "text_col": text_col, "k": k, "part": part, "whole": whole}
     floor_bits = least_bits(part, whole)
     alone = classes.withColumn("component", F.col("rep"))
-    near = store.written(candidates(forest(alone, range(first_trees)), id_type, near_only=True, floor_bits=floor_bits, **options), "pairs")
+    near = store.written(candidates(forest(alone, range(first_trees)), id_type, near_only=True, floor_bits=floor_bits, **options).where("a is not null").select("a", "b"), "pairs")
     links = store.written(confirmed(near, docs, **where), "confirmed")
     first = store.components(links)
     known = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = store.written(known, "known")
-    more = store.written(candidates(forest(known, range(trees)), id_type, near_only=False, floor_bits=floor_bits, **options), "pairs")
+    found = store.written(candidates(forest(known, range(trees)), id_type, near_only=False, floor_bits=floor_bits, **options), "pairs")
+    more, regions = found.where("a is not null").select("a", "b"), found.where("a is null").select("tree", "prefix")
     links2 = store.written(confirmed(more, docs, **where), "confirmed")
     edges = links2.union(first.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
     second = store.components(edges)
     known = classes.join(second.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = crowded(known, docs, id_type, trees=trees, block=block, id_col=id_col, text_col=text_col, k=k, **options)
+    rest = crowded(known, regions, docs, id_type, trees=trees, block=block, id_col=id_col, text_col=text_col, k=k, **options)
     rest = store.written(rest.join(near.union(more), ["a", "b"], "left_anti"), "pairs")
     links3 = store.written(confirmed(rest, docs, **where), "confirmed")
     final = store.components(links3.union(second.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))))

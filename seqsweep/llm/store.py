@@ -1,7 +1,7 @@
 """Written intermediate tables and connected components.
 
-Tables go to the folder that the session names in spark.checkpoint.dir, which all executors share; only where
-it is unset (tests on one machine) a folder of the machine is set.
+Tables go to the folder that the session names in spark.checkpoint.dir, which all executors share. Only where it is
+unset and Spark runs on one machine (tests) a folder of the machine is set; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         got = tempfile.mkdtemp(prefix="seqsweep-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got
@@ -25,7 +27,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: a cut of the lineage that outlives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that no result still reads."""
+    spark, path = df.sparkSession, df._written_at
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -43,10 +54,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hook = near.join(label, "node").where("seen < component").select("component", "seen").groupBy(F.col("component").alias("node")).agg(F.min("seen").alias("seen"))
         low = near.unionByName(hook).groupBy("node").agg(F.min("seen").alias("seen"))
         step = label.join(low, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
-        step = written(step, "labels")
+        step = written(step, "step")
         up = step.select(F.col("node").alias("component"), F.col("component").alias("top"))
         new = written(step.join(up, "component", "left").select("node", "was", F.least("component", "top").alias("component")), "labels")
+        discard(label)
+        discard(step)
         label = new.select("node", "component")
+        label._written_at = new._written_at
         if not new.where("was <> component").limit(1).count():
+            discard(both)
             return label
     raise RuntimeError("components did not settle")

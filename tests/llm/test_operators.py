@@ -506,12 +506,31 @@ def test_neardup_searches_large_regions_completely(spark):
         got = {x.doc_id: x.component_id for x in neardup.groups(table, k=4, region=4, block=block, trees=8).collect()}
         assert [got[i] for i in range(len(texts))] == top
     alone = spark.createDataFrame([(i, i, len(s), [0] * 64) for i, s in enumerate(sets)], "rep long, component long, n_shingles long, labels array<long>")
-    found = {(x.a, x.b) for x in neardup.crowded(alone, table, "bigint", trees=1, depth=8, least_depth=4, region=4, block=16, part=80, whole=100, id_col="doc_id", text_col="text", k=4).collect()}
+    one = spark.createDataFrame([(0, 0)], "tree long, prefix long")
+    found = {(x.a, x.b) for x in neardup.crowded(alone, one, table, "bigint", trees=1, depth=8, least_depth=4, region=4, block=16, part=80, whole=100, id_col="doc_id", text_col="text", k=4).collect()}
     links = {(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert links and links <= found and all(a < b for a, b in found)
 
 
+def test_neardup_keeps_single_links_of_large_groups(spark):
+    r = random.Random(5)
+    base = words(r, 200).split()
+
+    def change(t, at, tag):
+        return [f"{tag}x{i}" if i in at else w for i, w in enumerate(t)]
+
+    cores = [change(base, (6 * (i % 16) + 3, 100 + 6 * (i // 16 % 16) + 3), f"c{i}") for i in range(700)]
+    outer = [change(cores[i], r.sample(range(2, 198, 6), 5), f"o{i}") for i in range(40)]  # each linked to its core alone
+    texts = cores + outer
+    sets = [{tuple(t[i : i + 4]) for i in range(len(t) - 3)} for t in texts]
+    linked = [any(5 * len(sets[700 + i] & s) >= 4 * len(sets[700 + i] | s) for s in sets[:700]) for i in range(40)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(6)
+    assert sum(linked) >= 38
+    got = {x.doc_id: x.component_id for x in neardup.groups(table, k=4, region=64, block=256).collect()}
+    assert [got[700 + i] == 0 for i in range(40)] == linked and all(got[i] == 0 for i in range(700))
+
+
 def test_neardup_sketch_drops_few_links():
     from math import comb
 
-    assert sum(comb(256, i) * 0.9**i * 0.1 ** (256 - i) for i in range(neardup.least_bits(80, 100))) < 3e-7
+    assert sum(comb(256, i) * 0.9**i * 0.1 ** (256 - i) for i in range(neardup.least_bits(80, 100))) < 5e-9
