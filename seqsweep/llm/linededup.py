@@ -128,8 +128,34 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least_words: int
     return found
 
 
-def deletions(docs: DataFrame, *, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """(k, gone, partners): the lines to delete of document k = (id, text hash), by number, and the earlier documents' ids."""
+#: Rows that are sent to all tasks; beyond, both sides are shuffled.
+MOST_SENT = 200_000
+#: A line is frequent if it makes up more than one in so many of the shared lines' occurrences (so there are fewer frequent lines than this).
+FREQUENT = 10_000
+
+
+def first_holders(table: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b): document b holds a line or run whose first holder is a.
+
+    The few frequent lines are sent to all tasks, so none of them meets in one task.
+    """
+    each = table.select("k", F.explode(F.array_union("h", "r")).alias("line")).where("line <> 0")
+    shared = each.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n")).where("first < last").select("line", "first", "n")
+    shared = store.written(shared, "shared")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    frequent = F.col("n") * FREQUENT > total
+    hot = shared.where(frequent).select("line", "first")
+    pairs = each.join(F.broadcast(hot), "line").union(each.join(F.broadcast(hot.select("line")), "line", "left_anti").join(shared.where(~frequent).select("line", "first"), "line").select("line", "k", "first"))
+    pairs = store.written(pairs.where("first < k").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
+    store.discard(shared)
+    return pairs
+
+
+def deletions(docs: DataFrame, *, id_col: str, text_col: str, least_words: int, partners: int = 512) -> DataFrame:
+    """(k, gone, partners): the lines to delete of document k = (id, text hash), by number, and the earlier documents' ids.
+
+    A first holder's lines go once to each group of about `partners` of its partners, not to each of them.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     key = f"struct<id:{kind},th:bigint>"
 
@@ -141,20 +167,34 @@ def deletions(docs: DataFrame, *, id_col: str, text_col: str, least_words: int)
             yield pa.RecordBatch.from_arrays([batch.column("k"), *columns], names=["k", "h", "w", "r"])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holder, own = None, []  # the group's first holder and its lines, which come before its partners
         for batch in batches:
-            rows = zip(batch.column("ha").to_pylist(), batch.column("hb").to_pylist(), batch.column("wb").to_pylist(), strict=True)
-            gone = [common_blocks(a, b, w, least_words) for a, b, w in rows]
-            out = pa.RecordBatch.from_arrays([batch.column("b"), batch.column("a"), pa.array(gone, pa.list_(pa.int32()))], names=["k", "partner", "gone"])
-            yield out.filter(pa.array([bool(g) for g in gone], pa.bool_()))
+            at, gone = [], []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("a", "b", "h", "w")), strict=True)
+            for i, (a, b, h, w) in enumerate(rows):
+                if b is None:
+                    holder, own = a, h
+                    continue
+                assert a == holder
+                found = common_blocks(own, h, w, least_words)
+                if found:
+                    at.append(i)
+                    gone.append(found)
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("b").take(rows), batch.column("a").take(rows), pa.array(gone, pa.list_(pa.int32()))], names=["k", "partner", "gone"])
 
     texts = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("k"), F.col(text_col).alias("t"))
     table = store.written(texts.mapInArrow(lines, f"k {key}, h array<bigint>, w array<int>, r array<bigint>"), "lines")
-    each = table.select("k", F.explode(F.array_union("h", "r")).alias("line")).where("line <> 0")
-    shared = each.groupBy("line").agg(F.min("k").alias("first"), F.max("k").alias("last")).where("first < last").drop("last")
-    pairs = store.written(each.join(shared, "line").where("first < k").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
-    once = table.dropDuplicates(["k"])
-    full = pairs.join(once.select(F.col("k").alias("a"), F.col("h").alias("ha")), "a").join(once.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b")
-    gone = full.select("a", "b", "ha", "hb", "wb").mapInArrow(align, f"k {key}, partner {key}, gone array<int>")
+    pairs = first_holders(table)
+    once = table.select("k", "h", "w").dropDuplicates(["k"])
+    many = store.written(pairs.groupBy("a").count().where(F.col("count") > partners).select("a", F.ceil(F.col("count") / partners).alias("groups")), "many")
+    dealt = pairs.join(F.broadcast(many) if many.limit(MOST_SENT + 1).count() <= MOST_SENT else many, "a", "left")
+    dealt = store.written(dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("groups", F.lit(1).cast("long"))).alias("group")), "dealt")
+    holders = dealt.select("a", "group").distinct().join(once.select(F.col("k").alias("a"), "h"), "a").select("a", "group", F.lit(None).cast(key).alias("b"), "h", F.lit(None).cast("array<int>").alias("w"))
+    others = dealt.join(once.withColumnRenamed("k", "b"), "b").select("a", "group", "b", "h", "w")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    full = holders.union(others).repartition(parts, "a", "group").sortWithinPartitions("a", "group", F.col("b").asc_nulls_first())
+    gone = full.select("a", "b", "h", "w").mapInArrow(align, f"k {key}, partner {key}, gone array<int>")
     return gone.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.array_sort(F.collect_set("partner.id")).alias("partners"))
 
 

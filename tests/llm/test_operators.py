@@ -90,6 +90,17 @@ def test_line_dedup_of_frequent_lines(spark):
     assert got[0].text == rows[0][1] and all(got[2 * i].text == f"own words of document {i} stay" and got[2 * i].partners == [0, 2 * i - 1] for i in range(1, 101))
 
 
+def test_line_dedup_of_large_groups(spark, monkeypatch):
+    r = random.Random(22)
+    stock = [words(r, 6) for _ in range(30)]
+    rows = [(i, "\n".join(r.choice(stock) if r.random() < 0.7 else words(r, 4) for _ in range(r.randint(1, 12))), "clash") for i in range(150)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, partners string")
+    want = {(x.k.id): (x.gone, x.partners) for x in linededup.deletions(table, id_col="doc_id", text_col="text", least_words=5).collect()}
+    monkeypatch.setattr(linededup, "FREQUENT", 20)
+    got = {(x.k.id): (x.gone, x.partners) for x in linededup.deletions(table, id_col="doc_id", text_col="text", least_words=5, partners=3).collect()}
+    assert got == want and len(got) > 100
+
+
 def test_line_dedup_of_blocks_of_short_lines(spark):
     table = spark.createDataFrame([(1, "aa\nx one"), (2, "bb bb\nx two"), (3, "cc\nx three"), (4, "x four\naa\n\nbb bb\ncc cc"), (5, "y five\naa\n\nbb bb\ncc cc\ny six")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in linededup.deduplicate(table).collect()}
