@@ -9,10 +9,11 @@ all documents: a digest belongs to the document of smallest id that has it. Runs
 phrases and a chance collision of one digest do no harm.
 
 Only (digest, id) pairs are shuffled, once for each digest and document; a digest that a third of all documents
-share is reduced before the shuffle, and the join with the documents' chunks is split by adaptive execution.
+share is reduced before the shuffle. The few digests that are frequent (there are fewer than `FREQUENT`) go to all
+tasks with their owners, so the join with the documents' chunks has no hot key either.
 
 Defined cases: null texts stay null and empty ones empty; a text shorter than a chunk is one chunk; texts of any
-length are cut whole; rows that repeat an id count as one document for the owner and lose nothing to each other;
+length are cut whole; n_repeated counts the chunks of the deleted runs; rows that repeat an id count as one document for the owner and lose nothing to each other;
 rows with a null id pass unchanged; columns named like an output are replaced; an empty table gives an empty result.
 """
 
@@ -26,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import text
+from . import store, text
 
+#: A digest is frequent if it makes up more than one in so many of the shared digests' occurrences.
+FREQUENT = 10_000
 GEAR = (text.BYTE_CODE >> np.uint64(17)).astype(np.uint16)
 
 
@@ -117,7 +120,8 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for part in text.pieces(batch, "t"):
                 *_, rows, d = digests(part.column("t"), reach, most)
                 values, per = text.distinct_by_row(d, text.counts_by_row(rows, part.num_rows))
-                yield pa.RecordBatch.from_arrays([part.column("k").take(pa.array(np.repeat(np.arange(part.num_rows), per))), pa.array(values.view(np.int64))], names=["k", "d"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("k"), pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))], names=["k", "ds"])
 
     def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +143,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             theirs, owner = (taken[r].values.to_numpy(), owners[r].values) if taken[r].is_valid else (np.zeros(0, np.int64), None)
             other = np.isin(mine, theirs)
             again |= other
-            repeated.append(int(again.sum()))
             runs: list = []
             if again.any():
                 base = int(starts[a])
@@ -148,14 +151,23 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 if runs:
                     texts[r] = left.decode()
             gone.append(sum(y - x for x, y in runs))
-            inside = {int(v) for x, y in runs for v in mine[(starts[a:b] - starts[a] >= x - 3) & (ends[a:b] - starts[a] <= y + 3)]}
+            within = np.zeros(b - a, bool)
+            for x, y in runs:
+                within |= (starts[a:b] - starts[a] >= x - 3) & (ends[a:b] - starts[a] <= y + 3)
+            repeated.append(int(within.sum()))
+            inside = set(mine[within].tolist())
             sources.append(sorted({o for v, o in zip(theirs.tolist(), owner.to_pylist(), strict=True) if v in inside}) if owner is not None else [])
         new = [pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in kept]
         return pa.RecordBatch.from_arrays([*new, pa.array(per), pa.array(repeated, pa.int64()), pa.array(gone, pa.int64()), pa.array(sources, part.column("__owner").type)], names=schema.names)
 
     base = docs.select(*kept)
-    chunks = base.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(cut, T.StructType([T.StructField("k", kind), T.StructField("d", T.LongType())]))
-    shared = chunks.groupBy("d").agg(F.min("k").alias("o"), F.max("k").alias("z")).where("o < z").select("d", "o")
-    later = chunks.join(shared, "d").where("k > o").groupBy("k").agg(F.collect_set(F.struct("d", "o")).alias("m"))
+    cuts = base.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(cut, T.StructType([T.StructField("k", kind), T.StructField("ds", T.ArrayType(T.LongType()))]))
+    chunks = store.written(cuts, "chunks").select("k", F.explode("ds").alias("d"))
+    shared = chunks.groupBy("d").agg(F.min("k").alias("o"), F.max("k").alias("z"), F.count("*").alias("n")).where("o < z").select("d", "o", "n")
+    shared = store.written(shared, "shared")
+    frequent = F.col("n") * FREQUENT > (shared.agg(F.sum("n")).first()[0] or 0)
+    hot, rare = shared.where(frequent).select("d", "o"), shared.where(~frequent).select("d", "o")
+    held = chunks.join(F.broadcast(hot), "d").union(chunks.join(F.broadcast(hot.select("d")), "d", "left_anti").join(rare, "d"))
+    later = held.where("k > o").groupBy("k").agg(F.collect_set(F.struct("d", "o")).alias("m"))
     later = later.select(F.col("k").alias("__k"), F.col("m.d").alias("__taken"), F.col("m.o").alias("__owner"))
     return base.join(later, base[id_col] == F.col("__k"), "left").drop("__k").mapInArrow(delete, schema)

@@ -130,6 +130,54 @@ def test_substring_dedup(spark, docs, empty):
         assert int(h[i]) == want
 
 
+def plain_chunks(raw, reach, most):
+    h = [sum(int(substrings.GEAR[raw[i - j]]) << j for j in range(min(i + 1, 16))) & 0xFFFF for i in range(len(raw))]
+    ends = [i + 1 for i in range(reach, len(raw) - reach) if len(raw) > 2 * reach + 1 and all(h[i] < h[j] for j in range(i - reach, i + reach + 1) if j != i)]
+    out, at = [], 0
+    for e in [*ends, len(raw)]:
+        while e - at > most:
+            out.append((at, at + most))
+            at += most
+        if e > at:
+            out.append((at, e))
+        at = e
+    return out
+
+
+def test_substrings_equal_brute_force(spark, monkeypatch):
+    r = random.Random(23)
+    stock = [words(r, 45) for _ in range(5)]
+    rows = [(i, " ".join(r.choice([r.choice(stock), words(r, 20), "é" * 70, "z" * 600]) for _ in range(r.randint(0, 5)))) for i in range(60)] + [(3, words(r, 60) + stock[0]), (None, stock[0])]
+    owner = {}
+    for i, t in rows:
+        for a, z in plain_chunks(t.encode(), 16, 256) if i is not None else ():
+            owner[t.encode()[a:z]] = min(owner.get(t.encode()[a:z], i), i)
+    monkeypatch.setattr(substrings, "FREQUENT", 30)
+    table = spark.createDataFrame([(*x, 7) for x in rows], "doc_id long, text string, sources int")
+    got = Counter((x.doc_id, x.text, x.n_repeated, x.deleted_bytes, tuple(x.sources)) for x in substrings.deduplicate(table).collect())
+    want = Counter()
+    for i, t in rows:
+        raw, seen, runs = t.encode(), set(), []
+        for a, z in plain_chunks(raw, 16, 256) if i is not None else ():
+            again = raw[a:z] in seen or owner[raw[a:z]] < i
+            seen.add(raw[a:z])
+            if again and runs and runs[-1][1] == a:
+                runs[-1] = (runs[-1][0], z, runs[-1][2] + [(a, z)])
+            elif again:
+                runs.append((a, z, [(a, z)]))
+        left, at, n, gone, sources = b"", 0, 0, 0, set()
+        for a, z, mine in runs:
+            while a < z and raw[a] & 0xC0 == 0x80:
+                a += 1
+            while z < len(raw) and z > a and raw[z] & 0xC0 == 0x80:
+                z -= 1
+            if z - a >= 128:
+                left, at, n, gone = left + raw[at:a], z, n + len(mine), gone + z - a
+                sources |= {owner[raw[x:y]] for x, y in mine if owner[raw[x:y]] < i}
+        want[i, (left + raw[at:]).decode(), n, gone, tuple(sorted(sources))] += 1
+    assert got == want and sum(x[3] > 0 for x in got) > 20
+
+
 def best_of(ids, rows, query, most):
     score = rows @ query
     order = np.lexsort((ids, -score))[:most]
