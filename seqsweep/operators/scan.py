@@ -1,8 +1,10 @@
 """The search itself: positions of a genome where a pattern ends within a distance.
 
 `kernel` runs over tiles in numpy with the patterns sent to every task (their number is that of the query set, and
-checked): Hamming by comparing shifted text, Levenshtein by bit-parallel columns over many lanes at once. `seeds` is
-the same Hamming search as an equi-join: of k + 1 disjoint parts of a pattern at least one must match exactly.
+checked). Of k + 1 disjoint parts of a pattern at least one stands in the text unchanged (for an edit distance at most
+k positions off its place), so the parts are looked up by their packed bases, and only their places are tested:
+Hamming by the bits of packed windows, Levenshtein by bit-parallel columns, many places at once. Patterns with a masked
+base, or with parts of fewer than `LEAST_SEED` bases, are tested at every position instead, with the same result.
 
 A pattern's N matches every base at no cost; a masked base of the text costs 1 against every pattern, N included.
 """
@@ -22,6 +24,7 @@ CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate("ACGT"):
     CODE[ord(_c)] = CODE[ord(_c.lower())] = _i
 MOST_PATTERNS = 100_000
+LEAST_SEED, MOST_SEED = 4, 10
 
 HITS = "spacer_idx int, strand string, chrom_idx int, chrom string, end bigint, distance int, context string, context_end int"
 
@@ -106,6 +109,134 @@ def _levenshtein_any(lanes: np.ndarray, patterns: list[str]) -> np.ndarray:
     return out
 
 
+class Seeds:
+    """Patterns of one length and their k + 1 parts."""
+
+    def __init__(self, patterns: list[tuple[int, str]], k: int):
+        self.number = np.array([i for i, _ in patterns])
+        codes = np.stack([CODE[np.frombuffer(p.encode(), np.uint8)] for _, p in patterns]).astype(np.uint64)
+        self.length = m = codes.shape[1]
+        self.k = k
+        self.parts = []
+        for i in range(k + 1):
+            at = i * m // (k + 1)
+            size = min((i + 1) * m // (k + 1) - at, MOST_SEED)
+            key = np.zeros(len(codes), np.int64)
+            for j in range(at, at + size):
+                key = key * 4 + codes[:, j].astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            first = np.searchsorted(key[order], np.arange(4**size + 1))
+            self.parts.append((at, size, order, first))
+        self.packed = [pack(codes[:, a : a + 32].T) for a in range(0, m, 32)]
+        self.eq = np.zeros((len(codes), 6), np.uint64)
+        for j in range(min(m, 64)):
+            self.eq[np.arange(len(codes)), codes[:, j].astype(np.int64)] |= np.uint64(1 << j)
+
+    def places(self, codes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(pattern, where it would begin, where the part is) for every part that stands in the text, in slices of about `most`."""
+        bad = np.concatenate([[0], np.cumsum(codes > 3)])
+        clean = np.where(codes > 3, 0, codes).astype(np.int32)
+        for at, size, order, first in self.parts:
+            n = len(codes) - size + 1
+            if n < 1:
+                continue
+            key = np.zeros(n, np.int32)
+            for j in range(size):
+                key = key * 4 + clean[j : j + n]
+            count = np.where(bad[size:] == bad[:n], first[key + 1] - first[key], 0)
+            here = np.flatnonzero(count)
+            count = count[here]
+            ends = np.cumsum(count)
+            a = 0
+            while a < len(here):
+                b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")), a + 1)
+                c = count[a:b]
+                slot = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[key[here[a:b]]], c)
+                spot = np.repeat(here[a:b], c)
+                yield order[slot], spot - at, spot
+                a = b
+
+    def hamming(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(pattern, exclusive end, distance); low and high bound what each position may read."""
+        m, n = self.length, len(codes) - self.length + 1
+        if n < 1:
+            return
+        clean, bad = np.where(codes > 3, 0, codes).astype(np.uint64), (codes > 3).astype(np.uint64)
+        words = [(pack([clean[a + j : a + j + n] for j in range(min(32, m - a))]), pack([bad[a + j : a + j + n] for j in range(min(32, m - a))])) for a in range(0, m, 32)]
+        odd = np.uint64(0x5555555555555555)
+        found = []
+        for pattern, start, _ in self.places(codes):
+            ok = (start >= 0) & (start < n)
+            pattern, start = pattern[ok], start[ok]
+            ok = (start >= low[start + m - 1]) & (start + m <= high[start + m - 1])
+            pattern, start = pattern[ok], start[ok]
+            d = np.zeros(len(start), np.int64)
+            for (text, masked), mine in zip(words, self.packed, strict=True):
+                x = text[start] ^ mine[pattern]
+                d += np.bitwise_count(((x | (x >> np.uint64(1))) & odd) | masked[start])
+            ok = d <= self.k
+            found.append(np.stack([pattern[ok], start[ok] + m, d[ok]]))
+        yield from once(found)
+
+    def levenshtein(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same by the least edit distance of the texts that end there."""
+        m, k, n = self.length, self.k, len(codes)
+        width = m + 3 * k
+        wide = np.int64(n + 2 * width)
+        piece = np.cumsum(np.r_[0, low[1:] != low[:-1]])
+        last = np.flatnonzero(np.r_[low[1:] != low[:-1], True])
+        keys = [np.unique((pattern * len(last) + piece[spot]) * wide + start + width) for pattern, start, spot in self.places(codes)]
+        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        found = []
+        one, top = np.uint64(1), np.uint64(m - 1)
+        full = np.uint64((1 << m) - 1)
+        for a in range(0, len(keys), 1 << 15):
+            some = keys[a : a + (1 << 15)]
+            pattern, mine, end = some // wide // len(last), last[some // wide % len(last)], some % wide - width + m
+            lo, hi = low[mine], high[mine]
+            at = end - m - 2 * k
+            eq = self.eq[pattern]
+            row = np.arange(len(pattern))
+            pv, mv = np.full(len(pattern), full), np.zeros(len(pattern), np.uint64)
+            score = np.full(len(pattern), m, np.int32)
+            with np.errstate(over="ignore"):
+                for j in range(width):
+                    spot = at + j
+                    inside = (spot >= lo) & (spot < hi)
+                    e = eq[row, np.where(inside, codes[np.clip(spot, 0, n - 1)], 5)]
+                    xv = e | mv
+                    xh = (((e & pv) + pv) ^ pv) | e
+                    ph = (mv | ~(xh | pv)) & full
+                    mh = pv & xh
+                    score += ((ph >> top) & one).astype(np.int32) - ((mh >> top) & one).astype(np.int32)
+                    ph <<= one
+                    mh <<= one
+                    pv = (mh | ~(xv | ph)) & full
+                    mv = ph & xv & full
+                    if j >= width - 2 * k - 1:
+                        ok = inside & (score <= k)
+                        found.append(np.stack([pattern[ok], spot[ok] + 1, score[ok]]))
+        yield from once(found)
+
+
+def pack(columns) -> np.ndarray:
+    """Two bits a base, the first base highest."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = (out << np.uint64(2)) | c
+    return out
+
+
+def once(found: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pattern, end, least distance), each place once."""
+    if not found:
+        return
+    rows = np.concatenate(found, 1)
+    rows = rows[:, np.lexsort((rows[2], rows[1], rows[0]))]
+    new = np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])] if rows.shape[1] else np.zeros(0, bool)
+    yield rows[0, new], rows[1, new], rows[2, new]
+
+
 def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mode: str, flank: int = 0, region: tuple[str, int, int] | None = None, lane: int = 512) -> DataFrame:
     """Raw hits: `end` is exclusive, on the forward strand for both strands; `context` are the bases around it.
 
@@ -116,19 +247,47 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
     if len(patterns) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} oriented patterns: search in batches")
     longest = max((len(p) for _, _, p in patterns), default=1)
-    reach = 2 * longest + k
+    reach = 2 * longest + 2 * k
     left = longest + 2 * k + 1 + flank
+    by_length: dict[int, list[tuple[int, str]]] = {}
+    rest = []
+    for i, (_, _, p) in enumerate(patterns):
+        seeded = "N" not in p and len(p) // (k + 1) >= LEAST_SEED and (len(p) <= 64 or mode == "hamming")
+        (by_length.setdefault(len(p), []) if seeded else rest).append((i, p))
 
     names = [f.split()[0] for f in HITS.split(", ")]
     kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
     Tile = tuple[int, str, int, int, int, str]  # chrom_idx, chrom, first and last position to answer for, text_start, text
 
+    def by_seeds(tiles_held: list[Tile], groups: list[Seeds]) -> Iterator[tuple[int, int, int, int]]:
+        """(tile, pattern, exclusive end, distance); many tiles' texts go through end to end."""
+        a = 0
+        while a < len(tiles_held):
+            parts, meta, size, b = [], [], 0, a
+            while b < len(tiles_held) and size < 1 << 18:
+                _, _, low, high, start, text = tiles_held[b]
+                first = max(start, low - reach, region[1] if region else 0)
+                parts.append(CODE[np.frombuffer(text.encode(), np.uint8)][first - start : high - start])
+                meta.append((size, len(parts[-1]), first, low))
+                size += len(parts[-1])
+                b += 1
+            codes = np.concatenate(parts)
+            at, n, first, answer = (np.array(x) for x in zip(*meta, strict=True))
+            low, high = np.repeat(at, n), np.repeat(at + n, n)
+            for g in groups:
+                for pattern, end, d in (g.hamming if mode == "hamming" else g.levenshtein)(codes, low, high):
+                    t = np.searchsorted(at, end - 1, "right") - 1
+                    place = end - at[t] + first[t]
+                    ok = place > answer[t]
+                    yield from zip((t[ok] + a).tolist(), g.number[pattern[ok]].tolist(), place[ok].tolist(), d[ok].tolist(), strict=True)
+            a = b
+
     def by_shifts(tiles_held: list[Tile]) -> Iterator[tuple[int, int, int, int]]:
-        """(tile, pattern, exclusive end, distance)."""
+        """The same, every pattern at every position."""
         for t, (_, _, low, high, start, text) in enumerate(tiles_held):
             first = max(start, low - longest, region[1] if region else 0)
             codes = CODE[np.frombuffer(text.encode(), np.uint8)][first - start : high - start]
-            for i, (_, _, p) in enumerate(patterns):
+            for i, p in rest:
                 at, d = hamming(codes, p, k)
                 ok = at + first >= low
                 yield from ((t, i, e, x) for e, x in zip((at[ok] + first + 1).tolist(), d[ok].tolist(), strict=True))
@@ -149,25 +308,30 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
                 meta.append((t, a, b, min(b + lane, high)))
         for a in range(0, len(rows), 192):
             block, where = np.stack(rows[a : a + 192]), np.array(meta[a : a + 192])
-            for g in range(0, len(patterns), 16):
-                dist = levenshtein(block, [p for _, _, p in patterns[g : g + 16]])
+            for g in range(0, len(rest), 16):
+                dist = levenshtein(block, [p for _, p in rest[g : g + 16]])
                 i, r, j = np.nonzero(dist <= k)
                 place = where[r, 1] + j
                 ok = (place >= where[r, 2]) & (place < where[r, 3])
                 i, r, j, place = i[ok], r[ok], j[ok], place[ok]
-                yield from zip(where[r, 0].tolist(), (g + i).tolist(), (place + 1).tolist(), dist[i, r, j].tolist(), strict=True)
+                yield from zip(where[r, 0].tolist(), (rest[x][0] for x in (g + i).tolist()), (place + 1).tolist(), dist[i, r, j].tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = [Seeds(p, k) for p in by_length.values()]
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 held = []
-                for idx, chrom, c0, n, t0, text in zip(*(part.column(c).to_pylist() for c in ("chrom_idx", "chrom", "core_start", "core_len", "text_start", "text")), strict=True):
+                for idx, chrom, size, c0, n, t0, text in zip(*(part.column(c).to_pylist() for c in ("chrom_idx", "chrom", "seq_len", "core_start", "core_len", "text_start", "text")), strict=True):
                     low, high = (max(c0, region[1]), min(c0 + n, region[2])) if region else (c0, c0 + n)
                     if low < high and (not region or chrom == region[0]):
+                        if low - t0 < min(max(reach, left), low) or t0 + len(text) < min(high + flank, size):
+                            raise ValueError(f"the tiles' margin is too small for these patterns: it must be {margin_for(longest, k, flank)} or more")
                         held.append((idx, chrom, low, high, t0, text))
                 rows = []
-                for t, i, e, d in (by_shifts if mode == "hamming" else by_lanes)(held):
+                every = [by_seeds(held, groups)] if groups else []
+                every += [(by_shifts if mode == "hamming" else by_lanes)(held)] if rest else []
+                for t, i, e, d in (x for found in every for x in found):
                     idx, chrom, _, _, t0, text = held[t]
                     begin = max(t0, e - left)
                     rows.append((patterns[i][0], patterns[i][1], idx, chrom, e, d, text[begin - t0 : e + flank - t0], e - begin))
@@ -180,28 +344,5 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
 
 
 def margin_for(longest: int, k: int, flank: int) -> int:
-    """The tile margin that a search needs."""
+    """The tile margin that a search needs; `kernel` raises an error where tiles have less."""
     return 2 * longest + 2 * k + 2 + flank
-
-
-def seeds(tiles: DataFrame, patterns: DataFrame, *, k: int) -> DataFrame:
-    """Hamming hits by a join on k + 1 disjoint parts of each pattern (spacer_idx, strand, pattern; one length, no N)."""
-    m = F.length("pattern")
-    parts = F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("part"), (F.floor(i * m / (k + 1))).cast("int").alias("at"), (F.floor((i + 1) * m / (k + 1)) - F.floor(i * m / (k + 1))).cast("int").alias("size")))
-    keys = patterns.select("*", F.explode(parts).alias("p")).select("spacer_idx", "strand", "pattern", "p.at", "p.size", F.expr("substring(pattern, p.at + 1, p.size)").alias("seed"))
-    sizes = [r[0] for r in keys.select("size").distinct().collect()]
-    found = None
-    for size in sizes:
-        words = tiles.select("chrom_idx", "chrom", "seq_len", "core_start", "core_len", "text_start", "text", F.explode(F.sequence(F.lit(1), F.length("text") - size + 1)).alias("i"))
-        words = words.withColumn("seed", F.expr(f"substring(text, i, {size})"))
-        mine = keys.where(F.col("size") == size)
-        hit = words.join(mine, "seed").withColumn("first", F.col("i") - 1 - F.col("at") + F.col("text_start"))
-        hit = hit.withColumn("end", F.col("first") + F.length("pattern"))
-        inside = (F.col("end") - 1 >= F.col("core_start")) & (F.col("end") - 1 < F.col("core_start") + F.col("core_len")) & (F.col("first") >= F.col("text_start"))
-        window = F.expr("substring(text, cast(first - text_start + 1 as int), length(pattern))")
-        hit = hit.where(inside).withColumn("window", window)
-        d = F.aggregate(F.sequence(F.lit(1), F.length("pattern")), F.lit(0), lambda acc, j: acc + F.when((F.substring("window", j, F.lit(1)) == F.substring("pattern", j, F.lit(1))) & (F.substring("window", j, F.lit(1)) != "N"), 0).otherwise(1))
-        hit = hit.where(F.length("window") == F.length("pattern")).withColumn("distance", d).where(F.col("distance") <= k)
-        rows = hit.select("spacer_idx", "strand", "chrom_idx", "chrom", "end", "distance")
-        found = rows if found is None else found.union(rows)
-    return found.distinct()

@@ -49,13 +49,38 @@ def test_long_pattern_equals_brute_force():
     assert got.tolist() == [want[e] for e in range(1, len(text) + 1)]
 
 
-def test_seed_join_equals_kernel(spark):
-    seqs, guides = random_case(11)
-    tiles = readers.tile(genome_of(spark, seqs), core=200, margin=64)
-    pats = scan.oriented([(0, guides[0])], "both")
-    a = {(r.strand, r.chrom_idx, r.end, r.distance) for r in scan.kernel(tiles, pats, k=3, mode="hamming").collect()}
-    b = scan.seeds(tiles, spark.createDataFrame(pats, "spacer_idx int, strand string, pattern string"), k=3)
-    assert a == {(r.strand, r.chrom_idx, r.end, r.distance) for r in b.collect()}
+@pytest.mark.parametrize("mode,k,length", [("hamming", 3, 20), ("hamming", 3, 40), ("hamming", 7, 64), ("hamming", 1, 33), ("levenshtein", 3, 20), ("levenshtein", 4, 30), ("levenshtein", 2, 64), ("levenshtein", 1, 8), ("levenshtein", 0, 12)])
+def test_seeds_equal_brute_force(spark, mode, k, length):
+    r = random.Random(length * 10 + k)
+    seqs = ["".join(r.choices("ACGTN", [24, 24, 24, 24, 1], k=r.randint(1, 700))) for _ in range(5)] + ["ACG", "ACGT" * 60]
+    guides = []
+    for q in seqs * 2:
+        if len(q) > length + 4:
+            at = r.randint(0, len(q) - length - 4)
+            g = list(q[at : at + length + 2].replace("N", "A"))
+            for _ in range(r.randint(0, k)):
+                where = r.randint(0, len(g) - 1)
+                g[where] = r.choice(["A", "C", "", "GT"]) if mode == "levenshtein" else r.choice("ACGT")
+            guides.append(("".join(g) + "ACGT" * 9)[:length])
+    pats = scan.oriented(list(enumerate(guides)), "both")
+    tiles = readers.tile(genome_of(spark, seqs), core=150, margin=scan.margin_for(length, k, 0))
+    got = {(x.spacer_idx, x.strand, x.chrom_idx, x.end): x.distance for x in scan.kernel(tiles, pats, k=k, mode=mode).collect()}
+    plain = brute.hamming_ends if mode == "hamming" else brute.levenshtein_ends
+    want = {(g, s, c, e): d for g, s, p in pats for c, q in enumerate(seqs) for e, d in plain(q, p, k).items()}
+    assert got == want and len(want) > 10
+
+
+@pytest.mark.parametrize("length", [300, 600, 700])
+def test_long_guides_at_tile_borders(spark, length):
+    r = random.Random(length)
+    seq = "".join(r.choices("ACGT", k=3000))
+    guide = seq[1010 - length + 600 : 1610]  # ends ten bases after a border
+    pats = [(0, "+", guide)]
+    need = scan.margin_for(length, 3, 0)
+    tiles = readers.tile(genome_of(spark, [seq]), core=800, margin=need)
+    assert [(x.end, x.distance) for x in scan.kernel(tiles, pats, k=3, mode="levenshtein").orderBy("distance").limit(1).collect()] == [(1610, 0)]
+    with pytest.raises(Exception, match="margin is too small"):
+        scan.kernel(readers.tile(genome_of(spark, [seq]), core=800, margin=length), pats, k=3, mode="levenshtein").collect()
 
 
 def test_masked_bases_and_wildcards():
