@@ -46,6 +46,11 @@ def motif_penalty(motif: Column) -> Column:
     return F.coalesce(F.try_element_at(_map(MOTIF_FACTORS), F.upper(two)), F.lit(0.0))
 
 
+def class_penalty(motif_class: Column) -> Column:
+    """Factor of a motif of which only the class is known: NGG and NAG have their bases' factor, others are inactive."""
+    return F.coalesce(F.try_element_at(_map({"NGG": MOTIF_FACTORS["GG"], "NAG": MOTIF_FACTORS["AG"]}), motif_class), F.lit(0.0))
+
+
 def activity(guide: Column, aligned: Column, cigar: Column, motif: Column, penalties: Penalties) -> Column:
     """Product of the penalties of the first 20 aligned pairs and of the motif's; 0 with an indel or without an alignment."""
     n = F.least(F.length(guide), F.length(aligned), F.lit(TRAINED_LENGTH))

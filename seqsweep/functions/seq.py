@@ -75,6 +75,11 @@ def has_indel(cigar: Column) -> Column:
     return F.coalesce(cigar.rlike("[ID]"), F.lit(False))
 
 
+def alignment_exists(pattern: Column, text: Column, k: int) -> Column:
+    """Whether the whole pattern aligns with the whole text at a distance of at most k; a masked base of the text costs 1 (patterns have none)."""
+    return F.coalesce(F.levenshtein(pattern, text, k) >= 0, F.lit(False))
+
+
 def encode_text(c: Column) -> Column:
     """Letters of any text as bases, in turn A, C, G, T through the alphabet; z is masked. For tables without sequences."""
     return F.translate(F.lower(F.regexp_replace(c, "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAN")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import argparse
 import sys
+import time
+from collections.abc import Iterable
 
 from pyspark.sql import SparkSession
 
@@ -73,10 +75,17 @@ def main(argv: list[str] | None = None) -> int:
     if a.index_genome:
         readers.write_index(readers.tile(readers.read_fasta(spark, a.index_genome)), a.output)
         return 0
+    began = time.time()
+
+    def say(text: str, *, detail: bool = False) -> None:
+        if not a.quiet and (a.verbose or not detail):
+            print(text, file=sys.stderr)
+
     found = [readers.Guide("query", a.pattern)] if a.pattern else readers.read_guides(a.spacer_file)
     valid, rest = readers.split_valid(readers.guides_table(spark, found), uracil=a.treat_u_as_t)
-    for r in rest.collect():
-        print(f"skipped {r['spacer']} ({r['source_file']}:{r['source_line']})", file=sys.stderr)
+    skipped = rest.collect()
+    for r in skipped:
+        say(f"skipped {r['spacer']} ({r['source_file']}:{r['source_line']})")
         if a.pattern:
             return 1
     options = engine.Search(
@@ -86,7 +95,8 @@ def main(argv: list[str] | None = None) -> int:
     )
     try:
         options.check(summaries=a.summary or bool(a.spacer_summary))
-        hits = engine.search(readers.load(spark, a.genome), valid, options)
+        longest = max((len(g.sequence) for g in found), default=1)
+        hits = engine.search(readers.load(spark, a.genome, margin=max(512, engine.margin(longest, options))), valid, options)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
@@ -96,21 +106,29 @@ def main(argv: list[str] | None = None) -> int:
         for b in beds:
             every = b if every is None else every.union(b)
         labels = tuple(x.partition(":")[0] for x in a.intersect_bed)
-        engine.summarise(hits, valid, options, every, labels, a.acfd_threshold).orderBy("spacer_idx").coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).option("nullValue", ".").csv(a.spacer_summary)
-    ordered = hits.orderBy(*post.order_columns(options.deduplicate and options.distance_mode == "levenshtein"))
+        rows = report.guide_summary_tsv(engine.summarise(hits, valid, options, every, labels, a.acfd_threshold).orderBy("spacer_idx"), labels)
+        put(a.spacer_summary, ["\t".join(rows.columns), *("\t".join(r) for r in rows.collect())])
     if a.summary:
-        ordered = report.pivot(hits, valid, a.threshold).orderBy("spacer_idx")
-    if a.output:
-        if a.summary:
-            (ordered.write.mode("overwrite").json(a.output) if a.summary_format == "json" else ordered.write.mode("overwrite").option("sep", "\t").option("header", True).csv(a.output))
-        else:
-            report.write(ordered, a.output, a.format)
-    else:
-        rows = ordered if a.summary else report.json_rows(ordered) if a.format == "json" else report.bed_rows(ordered) if a.format == "bed" else report.tsv_rows(ordered)
-        for r in rows.toLocalIterator():
-            print(*r, sep="\t")
+        put(a.output, report.summary_lines(report.by_distance(hits, valid), a.threshold, len(skipped), a.summary_format))
+        say(f"{len(found) - len(skipped)} guides, {len(skipped)} skipped, {time.time() - began:.1f} s", detail=True)
+        return 0
+    # sorted rows come part by part, so a result of any size passes through the driver in bounded memory
+    ordered = hits.orderBy(*post.order_columns(options.deduplicate and options.distance_mode == "levenshtein"))
+    totals = {"hits": 0}
+    put(a.output, report.lines(ordered, a.format, batch=not a.pattern, totals=totals))
+    say(f"{totals['hits']} hits of {len(found) - len(skipped)} guides, {len(skipped)} skipped, {time.time() - began:.1f} s", detail=True)
     return 0
 
 
+def put(path: str | None, lines: Iterable[str]) -> None:
+    """Lines to one file, or to standard output without a path."""
+    if not path:
+        for x in lines:
+            print(x)
+        return
+    with open(path, "w") as f:
+        f.writelines(f"{x}\n" for x in lines)
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqsweep.functions import score
@@ -95,6 +95,18 @@ def search(tiles: DataFrame, guides: DataFrame, options: Search) -> DataFrame:
     return hits.withColumn("cfd_score", score.activity(F.col("pattern"), F.col("aligned_seq"), F.col("cigar"), F.col("pam_seq"), options.penalties) if scored else F.lit(0.0))
 
 
+def margin(longest: int, options: Search) -> int:
+    """The tile margin that a search for guides of up to `longest` bases needs."""
+    flank = (options.pam_extract_length or len(options.pam)) + (options.threshold if options.distance_mode == "levenshtein" else 0)
+    return scan.margin_for(longest, options.threshold, flank)
+
+
+def observed(hits: DataFrame) -> tuple[DataFrame, Observation]:
+    """hits, and their run's totals: total_hits and, by distance, the least and the largest; known once a write or collect has run."""
+    seen = Observation("seqsweep")
+    return hits.observe(seen, F.count(F.lit(1)).alias("total_hits"), F.min("distance").alias("least_distance"), F.max("distance").alias("largest_distance")), seen
+
+
 def summarise(hits: DataFrame, guides: DataFrame, options: Search, intervals: DataFrame | None = None, labels: tuple[str, ...] = (), threshold: float = 4.8) -> DataFrame:
     """The summary of each guide, with overlap counts where intervals are given."""
     options.check(summaries=True)

@@ -1,7 +1,7 @@
 """The engine's registered queries and their SQL, over a genome derived from the test tables.
 
-The tables hold no sequences: the letters of `documents` become bases (a document is a sequence), the guides are the
-first twenty of every benchmark item that has as many and no masked base, and labelled documents give intervals.
+The tables hold no sequences: the letters of `documents` become bases (a document is a sequence), every benchmark item
+is cut into guides of twenty bases (those without a masked base count), and labelled documents give intervals.
 """
 
 from __future__ import annotations
@@ -31,9 +31,10 @@ def genome(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def guides(spark: SparkSession, sf: str) -> DataFrame:
-    seq = F.substring(S.encode_text(F.col("text")), 1, 20)
-    rows = read(spark, sf, "benchmark").select(F.col("item_id").cast("int").alias("spacer_idx"), F.concat(F.lit("sp_"), "item_id").alias("spacer"), seq.alias("sequence"))
-    return rows.where((F.length("sequence") == 20) & ~F.contains("sequence", F.lit("N")))
+    items = read(spark, sf, "benchmark").where("item_id is not null").select("item_id", S.encode_text(F.col("text")).alias("seq"))
+    cut = items.where(F.length("seq") >= 20).select("item_id", F.posexplode(F.expr("transform(sequence(0, length(seq) div 20 - 1), i -> substring(seq, 20 * i + 1, 20))")).alias("i", "sequence"))
+    rows = cut.select((F.col("item_id") * 10000 + F.col("i")).cast("int").alias("spacer_idx"), F.concat_ws("_", F.lit("sp"), "item_id", "i").alias("spacer"), "sequence")
+    return rows.where(~F.contains("sequence", F.lit("N")))
 
 
 def intervals(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +51,9 @@ PLACE = ("spacer_idx", "strand", "chrom", "start", "end", "distance")
 
 GENOME_SQL = """g as (select cast(doc_id as int) as chrom_idx, 'doc_' || doc_id as chrom, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN') as seq
   from documents where doc_id is not null and text is not null),
-sp as (select * from (select cast(item_id as int) as spacer_idx, 'sp_' || item_id as spacer, substr(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN'), 1, 20) as sequence from benchmark)
-  where len(sequence) = 20 and not contains(sequence, 'N'))"""
+sp as (select * from (select cast(item_id * 10000 + i as int) as spacer_idx, 'sp_' || item_id || '_' || i as spacer, substr(seq, 20 * i + 1, 20) as sequence
+  from (select item_id, seq, unnest(range(0, len(seq) // 20)) as i from (select item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAN') as seq from benchmark where item_id is not null)))
+  where not contains(sequence, 'N'))"""
 RC = "reverse(translate({}, 'ACGT', 'TGCA'))"
 HITS_SQL = GENOME_SQL + f""",
 pat as (select spacer_idx, '+' as strand, sequence as p from sp union all select spacer_idx, '-', {RC.format('sequence')} from sp),
@@ -59,7 +61,7 @@ win as (select chrom_idx, chrom, seq, i, substr(seq, i, 20) as w from (select *,
 h0 as (select distinct spacer_idx, strand, chrom_idx, chrom, i from (
   select * from win join pat on substr(w, 1, 5) = substr(p, 1, 5) union all select * from win join pat on substr(w, 6, 5) = substr(p, 6, 5)
   union all select * from win join pat on substr(w, 11, 5) = substr(p, 11, 5) union all select * from win join pat on substr(w, 16, 5) = substr(p, 16, 5)) where hamming(w, p) <= 3),
-h as (select spacer_idx, strand, chrom_idx, h0.chrom, cast(i - 1 as bigint) as "start", cast(i + 19 as bigint) as "end", cast(hamming(substr(seq, i, 20), p) as int) as distance, sequence,
+h as (select spacer_idx, strand, chrom_idx, h0.chrom, cast(i - 1 as bigint) as "start", cast(i + 19 as bigint) as "end", cast(hamming(substr(seq, i, 20), p) as int) as distance, spacer, sequence,
     case strand when '+' then substr(seq, i, 20) else {RC.format('substr(seq, i, 20)')} end as aligned,
     nullif(case strand when '+' then substr(seq, i + 20, 3) else reverse(translate(substr(seq, greatest(i - 3, 1), i - greatest(i - 3, 1)), 'ACGTN', 'TGCAN')) end, '') as pam3,
     nullif(case strand when '+' then substr(seq, greatest(i - 3, 1), i - greatest(i - 3, 1)) else reverse(translate(substr(seq, i + 20, 3), 'ACGTN', 'TGCAN')) end, '') as pam5
@@ -133,9 +135,11 @@ def uracil(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "benchmark").select("item_id", S.uracil_to_thymine(F.col("text")).alias("text"))
 
 
-@query("select item_id, coalesce(regexp_full_match(substr(text, 1, 2), '[ACGTNacgtn]+'), false) as valid from benchmark")
+@query("""with t as (select item_id, text, regexp_replace(text, '[^ACGTNacgtn]', '', 'g') as bases from benchmark)
+select item_id, coalesce(regexp_full_match(text, '[ACGTNacgtn]+'), false) as valid_text, coalesce(regexp_full_match(bases, '[ACGTNacgtn]+'), false) as valid_bases, upper(bases) as bases from t""")
 def pattern_validity(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "benchmark").select("item_id", S.valid_pattern(F.substring("text", 1, 2)).alias("valid"))
+    bases = F.regexp_replace("text", "[^ACGTNacgtn]", "")
+    return read(spark, sf, "benchmark").select("item_id", S.valid_pattern(F.col("text")).alias("valid_text"), S.valid_pattern(bases).alias("valid_bases"), F.upper(bases).alias("bases"))
 
 
 @query(f"with {GENOME_SQL} select chrom, coalesce(regexp_matches(seq, '^[ACGTN][AG]G'), false) as nrg, coalesce(regexp_matches(seq, '^TTT[ACG]'), false) as tttv from g")
@@ -173,9 +177,9 @@ def hamming_pam_5prime(spark: SparkSession, sf: str) -> DataFrame:
     return found(spark, sf, pam="NR", pam_position="5", compute_mismatches=False).select(*PLACE)
 
 
-@query(place_sql("chrom = 'doc_3' and \"start\" >= 10 and \"end\" <= 1000"))
+@query(place_sql("chrom = 'doc_39' and \"start\" >= 250 and \"end\" <= 400"))
 def hamming_region(spark: SparkSession, sf: str) -> DataFrame:
-    return found(spark, sf, region="doc_3:11-1001", compute_mismatches=False).select(*PLACE)
+    return found(spark, sf, region="doc_39:251-401", compute_mismatches=False).select(*PLACE)
 
 
 @query(f'with {HITS_SQL} select spacer_idx, strand, chrom, "end", pam3 as pam_seq, case when pam3 is null or len(pam3) < 3 then \'INCOMPLETE\' when substr(pam3, 2, 2) = \'GG\' then \'NGG\' when substr(pam3, 2, 2) = \'AG\' then \'NAG\' else \'OTHER\' end as pam_class from h')
@@ -188,7 +192,7 @@ def motif_5prime(spark: SparkSession, sf: str) -> DataFrame:
     return found(spark, sf, pam_position="5", compute_mismatches=False).select("spacer_idx", "strand", "chrom", "end", "pam_seq")
 
 
-@query(f"with {HITS_SQL} select spacer, cast(sum(count(*)) over (partition by spacer) as bigint) as total_hits, distance, count(*) as n from h join sp using (spacer_idx) group by spacer, distance")
+@query(f"with {HITS_SQL} select spacer, cast(sum(count(*)) over (partition by spacer) as bigint) as total_hits, distance, count(*) as n from h group by spacer, distance")
 def summary_by_distance(spark: SparkSession, sf: str) -> DataFrame:
     rows = report.by_distance(found(spark, sf, compute_mismatches=False), guides(spark, sf))
     return rows.select("spacer", "total_hits", F.explode("by_distance").alias("distance", "n"))
@@ -209,14 +213,53 @@ def max_total_hits(spark: SparkSession, sf: str) -> DataFrame:
     return found(spark, sf, max_total_hits=25, compute_mismatches=False).select(*PLACE)
 
 
-@query(f'with {SCORED_SQL} select spacer_idx, strand, chrom, "end", round(cfd, 6) as cfd_score from c where distance = 0')
+def ungapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Hamming hits with the bases that they cover as aligned_seq, without gaps, and the scores of these."""
+    hits = found(spark, sf, compute_mismatches=False).drop("aligned_seq", "cigar", "cfd_score").join(genome(spark, sf).select("chrom", "seq"), "chrom")
+    bases = F.expr("substring(seq, cast(start + 1 as int), 20)")
+    hits = hits.withColumn("aligned_seq", F.when(F.col("strand") == "+", bases).otherwise(S.reverse_complement(bases))).withColumn("cigar", F.lit("20M")).drop("seq")
+    return hits.withColumn("cfd_score", score.activity(F.col("pattern"), F.col("aligned_seq"), F.col("cigar"), F.col("pam_seq"), score.linear_penalties()))
+
+
+@query(f'with {SCORED_SQL} select spacer_idx, strand, chrom, "end", distance, round(cfd, 6) as cfd_score from c')
 def cfd_score(spark: SparkSession, sf: str) -> DataFrame:
-    return found(spark, sf, threshold=0).select("spacer_idx", "strand", "chrom", "end", F.round("cfd_score", 6).alias("cfd_score"))
+    return ungapped(spark, sf).select("spacer_idx", "strand", "chrom", "end", "distance", F.round("cfd_score", 6).alias("cfd_score"))
 
 
-@query(f'with {SCORED_SQL} select spacer_idx, strand, chrom, "end", cast(seed as int) as seed_mismatches from c where distance = 0')
+@query(f'with {SCORED_SQL} select spacer_idx, strand, chrom, "end", distance, cast(seed as int) as seed_mismatches from c')
 def seed_mismatches(spark: SparkSession, sf: str) -> DataFrame:
-    return found(spark, sf, threshold=0).select("spacer_idx", "strand", "chrom", "end", score.seed_mismatches(F.col("pattern"), F.col("aligned_seq"), F.col("cigar")).alias("seed_mismatches"))
+    return ungapped(spark, sf).select("spacer_idx", "strand", "chrom", "end", "distance", score.seed_mismatches(F.col("pattern"), F.col("aligned_seq"), F.col("cigar")).alias("seed_mismatches"))
+
+
+@query()
+def hit_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Activity and seed mismatches of Hamming hits by their alignments, which may have gaps (SQL has no traceback)."""
+    rows = found(spark, sf)
+    return rows.select("spacer_idx", "strand", "chrom", "end", "distance", "aligned_seq", "cigar", F.round("cfd_score", 6).alias("cfd_score"), score.seed_mismatches(F.col("pattern"), F.col("aligned_seq"), F.col("cigar")).alias("seed_mismatches"))
+
+
+@query(f"""with {HITS_SQL}, k as (select *, case when pam3 is null or len(pam3) < 3 then 'INCOMPLETE' when substr(pam3, 2, 2) = 'GG' then 'NGG' when substr(pam3, 2, 2) = 'AG' then 'NAG' else 'OTHER' end as pam_class from h)
+select spacer_idx, strand, chrom, "end", pam_class, case pam_class when 'NGG' then 1.0::double when 'NAG' then 0.259::double else 0.0::double end as factor from k""")
+def motif_class_penalty(spark: SparkSession, sf: str) -> DataFrame:
+    kind = S.motif_class(F.col("pam_seq"))
+    return found(spark, sf, compute_mismatches=False).select("spacer_idx", "strand", "chrom", "end", kind.alias("pam_class"), score.class_penalty(kind).alias("factor"))
+
+
+@query(f"""with {GENOME_SQL} select g.chrom, sp.spacer, levenshtein(sequence, substr(seq, 1, 20)) <= 12 as exists_at_20, levenshtein(sequence, substr(seq, 1, 22)) <= 12 as exists_at_22
+from g join sp on true where spacer_idx % 10000 = 0 and len(seq) >= 22""")
+def alignment_at_length(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each item's first guide aligns with the first 20, and 22, bases of a sequence at a distance of 12 or less."""
+    firsts = F.broadcast(guides(spark, sf).where("spacer_idx % 10000 = 0"))  # one a benchmark item
+    rows = genome(spark, sf).where(F.length("seq") >= 22).select("chrom", F.substring("seq", 1, 22).alias("t")).join(firsts)
+    return rows.select("chrom", "spacer", S.alignment_exists(F.col("sequence"), F.substring("t", 1, 20), 12).alias("exists_at_20"), S.alignment_exists(F.col("sequence"), F.col("t"), 12).alias("exists_at_22"))
+
+
+@query(f"""with {GENOME_SQL}, d as (select chrom, chrom_idx, cast(coalesce(sum(len(seq)) over (order by chrom_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as s, len(seq) as n from g),
+p as (select distinct (doc_id * 7919) % 4000000 as position from labels)
+select position, chrom, cast(position - s as bigint) as "offset" from p left join d on position >= s and position < s + n""")
+def resolve_position(spark: SparkSession, sf: str) -> DataFrame:
+    places = read(spark, sf, "labels").select(((F.col("doc_id") * 7919) % 4000000).alias("position")).distinct()
+    return readers.resolve(places, genome(spark, sf)).select("position", "chrom", "offset")
 
 
 @query(f'with {HITS_SQL} select h.spacer_idx, h.strand, h.chrom, h."end", exists(select 1 from labels l where l.quality = 1 and \'doc_\' || l.doc_id = h.chrom and (l.doc_id * 37) % 500 < h."end" and (l.doc_id * 37) % 500 + 400 > h."start") as good from h')
@@ -225,7 +268,7 @@ def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return marked.select("spacer_idx", "strand", "chrom", "end", F.array_contains("labels", "good").alias("good"))
 
 
-@query(f'with {HITS_SQL} select chrom, "start", "end", \'sp_\' || spacer_idx as name, cast(20 - distance as int) as score, strand from h')
+@query(f'with {HITS_SQL} select chrom, "start", "end", sequence as name, cast(20 - distance as int) as score, strand, spacer from h')
 def bed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return report.bed_rows(found(spark, sf, compute_mismatches=False))
 
@@ -256,18 +299,56 @@ def levenshtein_pam(spark: SparkSession, sf: str) -> DataFrame:
     return found(spark, sf, distance_mode="levenshtein", threshold=2, pam="NGG").select(*PLACE, "cigar", "pam_seq")
 
 
+def found_raw(spark: SparkSession, sf: str) -> DataFrame:
+    return found(spark, sf, distance_mode="levenshtein", deduplicate=False, compute_mismatches=False)
+
+
 @query()
-def guide_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Buckets, seed sites, aggregate activity, promiscuity and overlaps of every guide."""
+def levenshtein_default(spark: SparkSession, sf: str) -> DataFrame:
+    """Every end within the default distance of 3 (SQL would compare every end with every guide; tested by brute force)."""
+    return found_raw(spark, sf).select("spacer_idx", "strand", "chrom", "end", "distance")
+
+
+SUMMARY_SQL = SCORED_SQL + """,
+o as (select c.*, exists(select 1 from labels l where l.quality = 1 and 'doc_' || l.doc_id = c.chrom and (l.doc_id * 37) % 500 < c."end" and (l.doc_id * 37) % 500 + 400 > c."start") as good,
+  exists(select 1 from labels l where l.quality <> 1 and 'doc_' || l.doc_id = c.chrom and (l.doc_id * 37) % 500 < c."end" and (l.doc_id * 37) % 500 + 400 > c."start") as poor from c)
+select sp.spacer_idx, sp.spacer, sp.sequence, cast(count(distance) as bigint) as total_hits, cast(count(*) filter (distance = 0) as bigint) as n_d0, cast(count(*) filter (distance = 1) as bigint) as n_d1,
+  cast(count(*) filter (distance = 2) as bigint) as n_d2, cast(count(*) filter (distance >= 3) as bigint) as n_d3p, cast(count(*) filter (seed <= 1) as bigint) as n_sdr1_sites,
+  round(coalesce(sum(cfd) filter (seed <= 1), 0.0), 6) as aggregate_cfd, coalesce(sum(cfd) filter (seed <= 1), 0.0) > 4.8 as promiscuous,
+  cast(count(*) filter (good) as bigint) as n_good_overlaps, cast(count(*) filter (poor) as bigint) as n_poor_overlaps
+from sp left join o using (spacer_idx) group by sp.spacer_idx, sp.spacer, sp.sequence"""
+
+
+def summary(spark: SparkSession, sf: str, hits: DataFrame) -> DataFrame:
     options = engine.Search(threshold=K, distance_mode="hamming", penalties=score.linear_penalties(), pam_extract_length=3)
-    return engine.summarise(found(spark, sf), guides(spark, sf), options, intervals(spark, sf), ("good", "poor"))
+    return engine.summarise(hits, guides(spark, sf), options, intervals(spark, sf), ("good", "poor")).withColumn("aggregate_cfd", F.round("aggregate_cfd", 6))
+
+
+@query(f"with {SUMMARY_SQL}")
+def guide_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets, seed sites, aggregate activity, promiscuity and overlaps of every guide, by the bases that hits cover."""
+    return summary(spark, sf, ungapped(spark, sf))
 
 
 @query()
+def guide_summary_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by the hits' alignments, which may have gaps (SQL has no traceback)."""
+    return summary(spark, sf, found(spark, sf))
+
+
+@query(f"""with {SCORED_SQL} select '{{"spacer":"' || spacer || '","spacer_sequence":"' || sequence || '","chrom":"' || chrom || '","start":' || "start" || ',"end":' || "end" || ',"pattern":"' || sequence || '","distance":' || distance
+  || ',"strand":"' || strand || '","aligned_seq":"' || aligned || '","cigar":"20M","pam_seq":' || coalesce('"' || pam3 || '"', 'null') || ',"alignment_ambiguous":false,"n_ambiguous_cells":0,"cfd_score":' || format('{{:.6f}}', cfd) || '}}' as json from c where distance = 0""")
 def json_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return report.json_rows(found(spark, sf))
+    return report.json_rows(found(spark, sf, threshold=0))
 
 
-@query()
+@query(f"""with {SCORED_SQL} select spacer, chrom, cast("start" as varchar) as "start", cast("end" as varchar) as "end", sequence as pattern, cast(distance as varchar) as distance, strand, aligned as aligned_seq, '20M' as cigar,
+  coalesce(pam3, '.') as pam_seq, 'false' as alignment_ambiguous, '0' as n_ambiguous_cells, format('{{:.6g}}', cfd) as cfd_score from c where distance = 0""")
 def tsv_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return report.tsv_rows(found(spark, sf))
+    return report.tsv_rows(found(spark, sf, threshold=0))
+
+
+@query()
+def tsv_rows_aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a file of default Levenshtein hits (their alignments are tested against brute force)."""
+    return report.tsv_rows(found(spark, sf, distance_mode="levenshtein"))

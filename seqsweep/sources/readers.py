@@ -22,13 +22,20 @@ TILES = "chrom_idx int, chrom string, seq_len bigint, core_start bigint, core_le
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """chrom_idx, chrom, seq of a FASTA file, also gzipped (any number of members): names end at white space, lines that
     begin with ; and blank lines are skipped, text before the first header is ignored, bases are upper-cased and checked.
+
+    Records are numbered by the counts of each task's records, so no sequence is moved.
     """
-    pieces = spark.read.option("lineSep", ">").text(path)  # the first piece is what stands before the first header
-    headed = pieces.select(F.monotonically_increasing_id().alias("at"), F.split("value", "\r?\n").alias("lines"))
+    pieces = spark.read.option("lineSep", "\n>").text(path).select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"), "value")
+    counts = sorted(pieces.groupBy("part").agg(F.count("*").alias("n"), F.min_by(F.col("value").startswith(">"), "at").alias("headed")).collect())
+    before, total = {}, -1 if counts and not counts[0]["headed"] else 0
+    for r in counts:
+        before[r["part"]] = total
+        total += r["n"]
+    offset = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part")) if before else F.lit(0)
+    numbered = pieces.select((offset + F.col("at").bitwiseAND((1 << 33) - 1)).cast("int").alias("chrom_idx"), F.split(F.regexp_replace("value", "^>", ""), "\r?\n").alias("lines"))
     body = F.filter(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))), lambda x: ~x.startswith(";") & (F.trim(x) != ""))
-    records = headed.where("at > 0").select("at", F.regexp_extract(F.element_at("lines", 1), r"^[^ \t]*", 0).alias("chrom"), F.upper(F.array_join(F.transform(body, lambda x: F.rtrim(x)), "")).alias("seq"))
-    checked = records.withColumn("seq", F.when(F.col("seq").rlike("[^ACGTN]"), F.raise_error(F.concat(F.lit("not a base in "), "chrom"))).otherwise(F.col("seq")))
-    return checked.select((F.row_number().over(Window.orderBy("at")) - 1).alias("chrom_idx"), "chrom", "seq")
+    records = numbered.where("chrom_idx >= 0").select("chrom_idx", F.regexp_extract(F.element_at("lines", 1), r"^[^ \t\r]*", 0).alias("chrom"), F.upper(F.array_join(F.transform(body, lambda x: F.rtrim(x)), "")).alias("seq"))
+    return records.withColumn("seq", F.when(F.col("seq").rlike("[^ACGTN]"), F.raise_error(F.concat(F.lit("not a base in "), "chrom"))).otherwise(F.col("seq")))
 
 
 def check_bases(genome: DataFrame) -> DataFrame:
@@ -42,6 +49,15 @@ def dictionary(genome: DataFrame) -> DataFrame:
     return rows.withColumn("start", F.coalesce(before, F.lit(0)).cast("long"))
 
 
+def resolve(positions: DataFrame, genome: DataFrame, column: str = "position") -> DataFrame:
+    """positions with chrom and offset: the sequence that holds a position of the concatenation, and the place in it; null beyond all."""
+    size = 1 << 20  # sequences and positions meet in bins of the concatenation
+    at = dictionary(genome).where("length > 0").select("chrom", F.col("start").alias("__start"), (F.col("start") + F.col("length")).alias("__end"))
+    at = at.withColumn("__bin", F.explode(F.expr(f"sequence(__start div {size}, (__end - 1) div {size})")))
+    met = positions.join(at, (F.floor(F.col(column) / size) == F.col("__bin")) & (F.col(column) >= F.col("__start")) & (F.col(column) < F.col("__end")), "left").drop("__bin")
+    return met.withColumn("offset", F.col(column) - F.col("__start")).drop("__start", "__end")
+
+
 def tile(genome: DataFrame, *, core: int = 1 << 14, margin: int = 512) -> DataFrame:
     """The genome in tiles of `core` positions with `margin` bases to both sides; one pass over each sequence."""
 

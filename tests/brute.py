@@ -1,5 +1,7 @@
 """Plain versions of the search, position by position."""
 
+from functools import cache
+
 
 def cost(p, t):
     return 1 if t == "N" else 0 if p == "N" or p == t else 1
@@ -26,3 +28,38 @@ def levenshtein_ends(text, pattern, k):
         if col[-1] <= k:
             out[e] = col[-1]
     return out
+
+
+def alignment(pattern, text, plus):
+    """(operations, target length, ambiguous cells) by the definition: M before D before I from the end, by recursion.
+
+    A plus hit ends with the text and may begin anywhere in it; a minus hit begins with the text and ends where the
+    distance is first least. A minus hit's text before the pattern's first base is left out.
+    """
+
+    def cost(p, t):  # in alignments a pattern's N matches a masked base too
+        return int(p != "N" and (t == "N" or p != t))
+
+    @cache
+    def least(i, j):
+        if i == 0:
+            return 0 if plus else j
+        ways = [least(i - 1, j) + 1]
+        if j:
+            ways += [least(i - 1, j - 1) + cost(pattern[i - 1], text[j - 1]), least(i, j - 1) + 1]
+        return min(ways)
+
+    def walk(i, j):
+        if i == 0 or j == 0:
+            return "I" * i, 0
+        ways = [(op, u, v) for op, u, v, c in (("M", i - 1, j - 1, cost(pattern[i - 1], text[j - 1])), ("D", i, j - 1, 1), ("I", i - 1, j, 1)) if least(i, j) == least(u, v) + c]
+        ops, ambiguous = walk(*ways[0][1:])
+        return ops + ways[0][0], ambiguous + (len(ways) > 1)
+
+    m = len(pattern)
+    end = len(text)
+    if not plus:
+        low = min((least(m, j) for j in range(1, end + 1)), default=m)
+        end = end if least(m, end) == low else next(j for j in range(1, end) if least(m, j) == low)
+    ops, ambiguous = walk(m, end)
+    return ops, sum(op != "I" for op in ops), ambiguous, end

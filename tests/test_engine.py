@@ -1,7 +1,10 @@
+import gzip
+import json
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seqsweep.functions import score
 from seqsweep.functions import seq as S
@@ -103,6 +106,39 @@ def test_alignment_forms():
         assert whole[-1][-1] == d
 
 
+def test_alignments_equal_brute_force():
+    r = random.Random(30)
+    for _ in range(400):
+        pattern = "".join(r.choices("ACGTN", [9, 9, 9, 9, 1], k=r.randint(1, 12)))
+        text = list(pattern.replace("N", "C"))
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(text) - 1)
+            text[at] = r.choice(["A", "G", "N", "", "TC", text[at] * 2])
+        text = "".join(r.choices("ACGT", k=r.randint(0, 3))) + "".join(text) + "".join(r.choices("ACGT", k=r.randint(0, 2)))
+        for plus in (True, False):
+            ops, used, ambiguous, end = brute.alignment(pattern, text, plus)
+            cig, seq, span, cells = align.canonical(pattern, text, plus)
+            assert (cig, span, cells) == (align.cigar(ops), used, ambiguous)
+            assert seq.replace("-", "") == text[end - used : end] and len(seq) == len(ops)
+
+
+def test_minus_strand_leaves_out_text_before_the_pattern():
+    # a hit one base further than the best: the plus strand shows the base, the minus strand (text in its orientation) does not
+    assert align.canonical("ACGTACGT", "TACGTACGTA", True)[0] == "8M1D"
+    assert align.canonical("ACGTACGT", "TACGTACGT", False)[0] == "8M"
+
+
+def test_published_scores(spark):
+    """Published values for a few pairs, with the entries of the published table that they need."""
+    table = {(3, "C", "A"): 0.866667, (17, "C", "A"): 0.466667, (6, "C", "A"): 0.928571}
+    cases = [("GTCACCAATCCTGTCCCTAG", "GTCACCAATCCTGTCCCTAG", "AGG", 1.0), ("GTCACCAATCCTGTCCCTAG", "GTAACCAATCCTGTCCATAG", "TGG", 0.4044444), ("GAGTCCGAGCAGAAGAAGAA", "GAGTCCGAGCAGAAGAAGAA", "AGG", 1.0), ("GAGTCCGAGCAGAAGAAGAA", "GAGTCAGAGCAGAAGAAGAA", "AGG", 0.9285714)]
+    rows = spark.createDataFrame([(*c, "20M") for c in cases], "g string, t string, m string, want double, c string")
+    for r in rows.select(score.activity(rows.g, rows.t, rows.c, rows.m, table).alias("a"), "want").collect():
+        assert abs(r.a - r.want) < 1e-3
+    kinds = spark.createDataFrame([(k,) for k in ("NGG", "NAG", "OTHER", "INCOMPLETE", None)], "k string")
+    assert [r.f for r in kinds.select(score.class_penalty(kinds.k).alias("f")).collect()] == [1.0, 0.259, 0.0, 0.0, 0.0]
+
+
 @pytest.mark.parametrize("ends,best", [([(98, 2), (99, 1), (100, 0), (101, 1), (102, 2)], [100]), ([(100, 2), (101, 1), (102, 1), (103, 2)], [102]), ([(100, 1), (200, 1)], [100, 200])])
 def test_halo(spark, ends, best):
     hits = spark.createDataFrame([(0, "+", 0, e, d) for e, d in ends], "spacer_idx int, strand string, chrom_idx int, end long, distance int")
@@ -166,6 +202,63 @@ def test_overlap_counts(spark):
     assert [r.labels for r in report.overlaps(hits, beds).orderBy("end").collect()] == [["a"], ["a"], [], [], []]
 
 
+def test_output_forms(spark, tmp_path):
+    names = "chrom string, start long, end long, pattern string, distance int, strand string, aligned_seq string, cigar string, pam_seq string, alignment_ambiguous boolean, n_ambiguous_cells int, cfd_score double, spacer string, spacer_idx int"
+    p = "ACGTACGTACGTACGTACGT"
+    hits = spark.createDataFrame([("chr1", 80, 100, p, 1, "+", p, "20M", "AGG", False, 0, 0.0390005, "g\"1", 0), ("chr1", 180, 200, p, 0, "-", None, None, None, None, None, 0.0, "g\"1", 0), ("chr2", 0, 20, p, 2, "+", p, "19M1D", "TG", True, 3, 0.00001234, "g\"1", 0)], names)
+    head = "chrom\tstart\tend\tpattern\tdistance\tstrand\taligned_seq\tcigar\tpam_seq\talignment_ambiguous\tn_ambiguous_cells\tcfd_score"
+    tsv = list(report.lines(hits, "tsv", batch=False))
+    assert tsv == [head, f"chr1\t80\t100\t{p}\t1\t+\t{p}\t20M\tAGG\tfalse\t0\t0.0390005", f"chr1\t180\t200\t{p}\t0\t-\t.\t.\t.\tfalse\t0\t0", f"chr2\t0\t20\t{p}\t2\t+\t{p}\t19M1D\tTG\ttrue\t3\t1.234e-05"]
+    assert next(report.lines(hits, "tsv")) == f"spacer\t{head}"
+    assert list(report.lines(hits, "bed", batch=False))[1] == f"chr1\t180\t200\t{p}\t20\t-" and list(report.lines(hits, "bed"))[0] == f'chr1\t80\t100\t{p}\t19\t+\tg"1'
+    text = "\n".join(report.lines(hits, "json"))
+    rows = json.loads(text)
+    assert '"cfd_score":0.039001' in text or '"cfd_score":0.039000' in text
+    assert rows[0]["spacer"] == 'g"1' and rows[0]["spacer_sequence"] == p and rows[1]["aligned_seq"] is None and rows[1]["n_ambiguous_cells"] == 0 and rows[2]["alignment_ambiguous"] is True
+    assert list(rows[0])[2:] == head.split("\t") and list(report.lines(hits.limit(0), "json")) == ["[]"]
+    guides = spark.createDataFrame([(0, 'g"1', p), (1, "none", "ACGT")], "spacer_idx int, spacer string, sequence string")
+    found = json.loads("\n".join(report.summary_lines(report.by_distance(hits, guides), 2, 1, "json")))
+    assert found == {"threshold": 2, "total_spacers_processed": 2, "spacers_skipped": 1, "spacers": [{"name": 'g"1', "sequence": p, "total_hits": 3, "hits_by_distance": {"0": 1, "1": 1, "2": 1}}, {"name": "none", "sequence": "ACGT", "total_hits": 0, "hits_by_distance": {}}]}
+    assert list(report.summary_lines(report.by_distance(hits, guides), 2, 1, "tsv")) == ["spacer\tsequence\ttotal_hits\td0\td1\td2", f'g"1\t{p}\t3\t1\t1\t1', "none\tACGT\t0\t0\t0\t0"]
+    rows = [tuple(r) for r in report.guide_summary_tsv(report.guide_summary(hits.withColumn("labels", F.array(F.lit("x"))), guides, labels=("x",)), ("x",)).orderBy("spacer").collect()]
+    assert rows[1] == ("none", "ACGT", "0", "0", "0", "0", ".", ".", ".", "0") and rows[0][2:6] == ("1", "1", "1", "0") and rows[0][-1] == "3"
+    seen, totals = engine.observed(hits)
+    seen.collect()
+    assert totals.get == {"total_hits": 3, "least_distance": 0, "largest_distance": 2}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    guide = "ACGTTGCAACGTTGCAAGTC"
+    (tmp_path / "g.fa").write_text(f">c1 x>y\n{'T' * 30}{guide}AGG{'T' * 30}\n>c2\n{'A' * 40}\n")
+    (tmp_path / "s.txt").write_text(f"good {guide}\nbad ACXT\n")
+    out = tmp_path / "hits.tsv"
+    assert cli.main(["--genome", str(tmp_path / "g.fa"), "--spacer-file", str(tmp_path / "s.txt"), "--pam", "NGG", "--output", str(out), "--verbose", "--spacer-summary", str(tmp_path / "sum.tsv")]) == 0
+    rows = [x.split("\t") for x in out.read_text().splitlines()]
+    assert rows[0][0] == "spacer" and [r[:4] for r in rows[1:]] == [["good", "c1", "30", "50"]]
+    assert "1 hits of 1 guides, 1 skipped" in capsys.readouterr().err
+    assert (tmp_path / "sum.tsv").read_text().splitlines()[0].startswith("spacer\tsequence\tn_d0")
+    assert cli.main(["--genome", str(tmp_path / "g.fa"), "--pattern", guide, "--summary", "--quiet"]) == 0
+    assert json.loads(capsys.readouterr().out)["spacers"][0]["hits_by_distance"]["0"] == 1
+
+
+def test_positions_and_many_records(spark, tmp_path):
+    (tmp_path / "m.fa").write_text("; note\n" + "".join(f">s{i} some > sign\n{'ACGT' * (i % 7)}\n{'GG' * (i % 3)}\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        genome = readers.read_fasta(spark, str(tmp_path / "m.fa"))
+        rows = sorted(map(tuple, genome.collect()))
+        assert rows == [(i, f"s{i}", "ACGT" * (i % 7) + "GG" * (i % 3)) for i in range(500)] and genome.rdd.getNumPartitions() > 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with gzip.open(tmp_path / "z.fa.gz", "wt") as f:
+        f.write(">a\nAC\n>b\nGT\n")
+    assert sorted(map(tuple, readers.read_fasta(spark, str(tmp_path / "z.fa.gz")).collect())) == [(0, "a", "AC"), (1, "b", "GT")]
+    places = spark.createDataFrame([(0,), (1,), (2,), (3,), (4,)], "position long")
+    pair = readers.read_fasta(spark, str(tmp_path / "z.fa.gz"))
+    assert [tuple(r) for r in readers.resolve(places, pair).orderBy("position").select("position", "chrom", "offset").collect()] == [(0, "a", 0), (1, "a", 1), (2, "b", 0), (3, "b", 1), (4, None, None)]
+
+
 def test_registered_queries(spark):
     import __spark_entry__ as entry
 
