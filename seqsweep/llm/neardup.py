@@ -24,8 +24,8 @@ The sorted orders are dealt by ranges over (tree, label, document), so even one
 is spread over tasks.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; one of fewer than k words is a
-single shingle; equal sets are one class whatever their number; rows that repeat an id are one document (of all of
-their sets); a null id stays alone; an empty table gives an empty result; other columns are not read.
+single shingle; equal sets are one class whatever their number; rows that repeat an id are linked with each other, each
+with the size of its own set; a null id stays alone; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store, text
 
-#: Ids or pairs that are sent to all tasks, so that only the texts and sets of candidates move; beyond, all are shuffled.
+#: Ids, regions or pairs (of at most two dozen bytes) that are sent to all tasks, so that only the texts and sets of
+#: candidates move; beyond, all are shuffled.
 MOST_SENT = 1_000_000
 LEVEL_BITS = 16
 SKETCH = 256
@@ -100,6 +101,18 @@ def least_bits(part: int, whole: int) -> int:
     return int(SKETCH * (share - 6.5 * np.sqrt(share * (1 - share) / SKETCH)))
 
 
+def sums(values: np.ndarray, per_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of mixed hashes that stand for each row's set, 0 for an empty one."""
+    some = np.flatnonzero(per_row)
+    out = np.zeros((2, len(per_row)), np.uint64)
+    if len(some):
+        starts = (np.cumsum(per_row) - per_row)[some]
+        with np.errstate(over="ignore"):
+            for i, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+                out[i, some] = np.add.reduceat(text.mix(values ^ np.uint64(salt)), starts)
+    return out[0].view(np.int64), out[1].view(np.int64)
+
+
 SIGNED = "doc_id {id}, n_shingles bigint, s1 bigint, s2 bigint, labels array<bigint>, sketch binary"
 
 
@@ -112,12 +125,7 @@ def sign(docs: DataFrame, *, id_col: str, text_col: str, k: int, trees: int, dep
             for part in text.pieces(batch, "t"):
                 values, per = shingle_sets(part.column("t"), k)
                 some = np.flatnonzero(per)
-                s1, s2 = np.zeros(len(per), np.uint64), np.zeros(len(per), np.uint64)
-                if len(some):
-                    starts = (np.cumsum(per) - per)[some]
-                    with np.errstate(over="ignore"):
-                        s1[some] = np.add.reduceat(text.mix(values ^ np.uint64(0x5851F42D4C957F2D)), starts)
-                        s2[some] = np.add.reduceat(text.mix(values ^ np.uint64(0x14057B7EF767814F)), starts)
+                s1, s2 = sums(values, per)
                 m = minima(values, per, n)
                 level = (m >> np.uint32(32 - LEVEL_BITS)).astype(np.uint64).reshape(len(some), trees * 2, depth // 2)
                 packed = np.zeros((len(some), trees * 2), np.uint64)
@@ -129,7 +137,7 @@ def sign(docs: DataFrame, *, id_col: str, text_col: str, k: int, trees: int, dep
                 for i, row in enumerate(some.tolist()):
                     labels[row], sketches[row] = packed[i].view(np.int64).tolist(), bits[i].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("k"), pa.array(per), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(labels, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+                    [part.column("k"), pa.array(per), pa.array(s1), pa.array(s2), pa.array(labels, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
                     names=["doc_id", "n_shingles", "s1", "s2", "labels", "sketch"],
                 )
 
@@ -209,7 +217,7 @@ def _neighbours(batch: dict, *, least_depth: int, depth: int, region: int, near_
     return np.concatenate(found_a), np.concatenate(found_b)
 
 
-def candidates(rows: DataFrame, id_type: str, **options) -> DataFrame:
+def candidates(rows: DataFrame, **options) -> DataFrame:
     """Rows of two kinds: pairs (a, b), a < b, and unfinished regions (tree, prefix)."""
     least, depth, region = options["least_depth"], options["depth"], options["region"]
     shift = np.uint64(LEVEL_BITS * (depth // 2 - least))
@@ -265,37 +273,54 @@ def candidates(rows: DataFrame, id_type: str, **options) -> DataFrame:
         columns += [pa.concat_arrays([none[1], pa.array(v[at].astype(np.int64) if v is tree else v[at].view(np.int64))]) for v in (tree, prefix)]
         return pa.RecordBatch.from_arrays(columns, names=["a", "b", "tree", "prefix"]), cut
 
-    return rows.mapInArrow(run, f"a {id_type}, b {id_type}, tree bigint, prefix bigint").distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint, tree bigint, prefix bigint").distinct()
 
 
-def wide_parities(docs: DataFrame, wanted: DataFrame, *, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(rep, wide) for the documents of wanted (rep)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def fetched(docs: DataFrame, ids: DataFrame, wanted: DataFrame, measure, field: str, *, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(rep, field): measure(sorted shingles, number by row) of the sets of the classes of wanted (rep); ids has a document of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in text.pieces(batch, "t"):
                 values, per = shingle_sets(piece.column("t"), k)
-                bits = iter(parities(values, per, WIDE_PARITIES))
-                yield pa.RecordBatch.from_arrays([piece.column("k"), pa.array([next(bits).tobytes() if n else None for n in per.tolist()], pa.binary())], names=["rep", "wide"])
+                s1, s2 = sums(values, per)
+                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), measure(values, per)], names=["s1", "s2", field.split()[0]])
+
+    few = wanted.count() <= MOST_SENT
+    docs_of = ids.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi").select(F.col("doc").alias("k")).distinct()
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(docs_of) if few else docs_of, "k", "left_semi")
+    sets = texts.mapInArrow(run, f"s1 bigint, s2 bigint, {field}").withColumn("rep", class_key())
+    # a repeated id may have other texts too
+    return sets.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi").select("rep", field.split()[0]).dropDuplicates(["rep"])
+
+
+def class_key() -> Column:
+    """The number of a class of equal sets."""
+    return F.xxhash64("s1", "s2")
+
+
+def wide_parities(values: np.ndarray, per: np.ndarray) -> pa.Array:
+    bits = iter(parities(values, per, WIDE_PARITIES))
+    return pa.array([next(bits).tobytes() if n else None for n in per.tolist()], pa.binary())
+
 
-    wanted = wanted.withColumnRenamed("rep", "k")
-    few = wanted.limit(MOST_SENT + 1).count() <= MOST_SENT
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(wanted) if few else wanted, "k", "left_semi").dropDuplicates(["k"])
-    return texts.mapInArrow(run, f"rep {kind}, wide binary")
+def as_lists(values: np.ndarray, per: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def crowded(known: DataFrame, regions: DataFrame, docs: DataFrame, id_type: str, *, trees: int, depth: int, least_depth: int, region: int, block: int, part: int, whole: int, **where) -> DataFrame:
+def crowded(known: DataFrame, regions: DataFrame, docs: DataFrame, ids: DataFrame, *, trees: int, depth: int, least_depth: int, region: int, block: int, part: int, whole: int, **where) -> DataFrame:
     """Distinct pairs (a, b), a < b, of all classes apart that share one of the regions (tree, prefix), less those that parities prove unlinked."""
     level = F.shiftrightunsigned(F.element_at("labels", 2 * F.col("tree") + 1), LEVEL_BITS * (depth // 2 - least_depth))
     chosen = known.select("rep", "component", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     rows = chosen.select("rep", "component", "n_shingles", F.col("tree").cast("long").alias("tree"), level.alias("prefix"))
-    rows = store.written(rows.join(F.broadcast(regions) if regions.limit(MOST_SENT + 1).count() <= MOST_SENT else regions, ["tree", "prefix"]), "crowded")
+    rows = store.written(rows.join(F.broadcast(regions) if regions.count() <= MOST_SENT else regions, ["tree", "prefix"]), "crowded")
     each = rows.groupBy("tree", "prefix", "component").count()
     mixed = each.groupBy("tree", "prefix").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("component", F.struct("count", "component")).alias("largest")).where("n > most")
     mixed = store.written(mixed.select("tree", "prefix", "largest", F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("most")) / block).alias("minor_blocks")), "mixed")
-    rows = rows.join(F.broadcast(mixed) if mixed.limit(MOST_SENT + 1).count() <= MOST_SENT else mixed, ["tree", "prefix"])
-    wide = store.written(wide_parities(docs, store.written(rows.select("rep").distinct(), "wanted"), **where), "wide")
+    rows = rows.join(F.broadcast(mixed) if mixed.count() <= MOST_SENT else mixed, ["tree", "prefix"])
+    reps = store.written(rows.select("rep").distinct(), "wanted")
+    wide = store.written(fetched(docs, ids, reps, wide_parities, "wide binary", **where), "wide")
+    store.discard(reps)
     mine = rows.join(wide, "rep").withColumn("minor", F.col("component") != F.col("largest"))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
@@ -342,20 +367,11 @@ def crowded(known: DataFrame, regions: DataFrame, docs: DataFrame, id_type: str,
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return dealt.mapInArrow(run, f"a {id_type}, b {id_type}").distinct()
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, k: int, part: int, whole: int) -> DataFrame:
-    """The pairs with whole x intersection >= part x union, on the full sets."""
-    ids = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in text.pieces(batch, "t"):
-                values, per = shingle_sets(piece.column("t"), k)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([piece.column("k"), pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))], names=["k", "s"])
+def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame, *, part: int, whole: int, **where) -> DataFrame:
+    """The pairs (a written table) with whole x intersection >= part x union, on the full sets; a written table."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,13 +383,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str,
                 ok.append(whole * both >= part * (len(u) + len(v) - both))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    ids = store.written(ids, "wanted")
-    few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
-    wanted = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(ids) if few else ids, "k", "left_semi").dropDuplicates(["k"])
-    table = store.written(wanted.mapInArrow(sets, f"k {kind}, s array<bigint>"), "sets")
-    sent = F.broadcast(pairs) if pairs.limit(MOST_SENT + 1).count() <= MOST_SENT else pairs
-    full = sent.join(table.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a").join(table.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-    return full.select("a", "b", "sa", "sb").mapInArrow(test, f"a {kind}, b {kind}")
+    wanted = store.written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "wanted")
+    table = store.written(fetched(docs, ids, wanted, as_lists, "s array<bigint>", **where), "sets")
+    store.discard(wanted)
+    sent = F.broadcast(pairs) if pairs.count() <= MOST_SENT else pairs
+    full = sent.join(table.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(table.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+    links = store.written(full.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint"), "confirmed")
+    store.discard(table)
+    return links
 
 
 def groups(
@@ -382,32 +399,43 @@ def groups(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the group) and kept, for every row of docs."""
     signed = store.written(sign(docs, id_col=id_col, text_col=text_col, k=k, trees=trees, depth=depth), "signed")
-    id_type = signed.schema["doc_id"].dataType.simpleString()
-    same = signed.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
-    same = store.written(same, "classes")
-    classes = signed.join(same, ["s1", "s2"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "labels", "sketch")
-    classes = store.written(classes, "labels")
+    some = signed.where("n_shingles > 0 and doc_id is not null").withColumn("rep", class_key())
+    same = some.groupBy("rep").agg(F.min("doc_id").alias("doc"))
+    classes = some.withColumnRenamed("doc_id", "doc").join(same, ["rep", "doc"]).dropDuplicates(["rep"]).select("rep", "doc", "n_shingles", "labels", "sketch")
+    classes = store.written(classes, "classes")
+    ids = classes.select("rep", "doc")
     options = {"least_depth": least_depth, "depth": depth, "region": region, "part": part, "whole": whole}
-    where = {"id_col": id_col, "text_col": text_col, "k": k, "part": part, "whole": whole}
+    where = {"id_col": id_col, "text_col": text_col, "k": k}
     floor_bits = least_bits(part, whole)
+
+    def joined(labels: DataFrame) -> DataFrame:
+        """classes with their components so far."""
+        return classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def held(labels: DataFrame) -> DataFrame:
+        return labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
     alone = classes.withColumn("component", F.col("rep"))
-    near = store.written(candidates(forest(alone, range(first_trees)), id_type, near_only=True, floor_bits=floor_bits, **options).where("a is not null").select("a", "b"), "pairs")
-    links = store.written(confirmed(near, docs, **where), "confirmed")
-    first = store.components(links)
-    known = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    known = store.written(known, "known")
-    found = store.written(candidates(forest(known, range(trees)), id_type, near_only=False, floor_bits=floor_bits, **options), "pairs")
+    near = store.written(candidates(forest(alone, range(first_trees)), near_only=True, floor_bits=floor_bits, **options).where("a is not null").select("a", "b"), "pairs")
+    links = confirmed(near, docs, ids, part=part, whole=whole, **where)
+    # classes that share a repeated id belong together
+    shared = some.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    first = store.components(links.union(some.select("doc_id", F.col("rep").alias("b")).join(shared, "doc_id").where("a <> b").select("a", "b")))
+    known = store.written(joined(first), "known")
+    found = store.written(candidates(forest(known, range(trees)), near_only=False, floor_bits=floor_bits, **options), "pairs")
+    store.discard(known)
     more, regions = found.where("a is not null").select("a", "b"), found.where("a is null").select("tree", "prefix")
-    links2 = store.written(confirmed(more, docs, **where), "confirmed")
-    edges = links2.union(first.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    second = store.components(edges)
-    known = classes.join(second.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = crowded(known, regions, docs, id_type, trees=trees, block=block, id_col=id_col, text_col=text_col, k=k, **options)
+    links2 = confirmed(more, docs, ids, part=part, whole=whole, **where)
+    second = store.components(links2.union(held(first)))
+    rest = crowded(joined(second), regions, docs, ids, trees=trees, block=block, **options, **where)
     rest = store.written(rest.join(near.union(more), ["a", "b"], "left_anti"), "pairs")
-    links3 = store.written(confirmed(rest, docs, **where), "confirmed")
-    final = store.components(links3.union(second.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))))
-    where_to = same.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(where_to, ["s1", "s2"], "left")
+    links3 = confirmed(rest, docs, ids, part=part, whole=whole, **where)
+    final = store.components(links3.union(held(second)))
+    for used in (near, found, rest, links, links2, links3):
+        store.discard(used)
+    smallest = final.join(ids, final.node == ids.rep).groupBy("component").agg(F.min("doc").alias("component_id"))
+    where_to = ids.join(final.join(smallest, "component").withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component_id", "doc").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", class_key().alias("rep")).join(where_to, "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -65,6 +65,14 @@ def test_neardup_equals_brute_force(docs, empty):
     assert len(neardup.deduplicate(docs).collect()) == len(found) - 3
 
 
+def test_neardup_of_repeated_ids(spark):
+    r = random.Random(24)
+    a, b, c = words(r, 60), words(r, 60), words(r, 60)
+    rows = [(5, a), (5, b), (7, f"{a} more"), (8, f"{b} more"), (9, c), (9, c), (9, None), (11, f"{c} end"), (3, words(r, 60))]
+    got = Counter((x.doc_id, x.component_id, x.kept, x.n_shingles) for x in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect())
+    assert got == Counter([(5, 5, True, 57), (5, 5, True, 57), (7, 5, False, 58), (8, 5, False, 58), (9, 9, True, 57), (9, 9, True, 57), (9, 9, True, 0), (11, 9, False, 58), (3, 3, True, 57)])
+
+
 def test_line_dedup(spark, docs, empty):
     a = "first line of five words\nsecond line of five words\nthird line of five words"
     b = "new opening line of b\nsecond line of five words\nthird line of five words\nclosing line of b here"
@@ -566,8 +574,12 @@ def test_neardup_searches_large_regions_completely(spark):
         assert [got[i] for i in range(len(texts))] == top
     alone = spark.createDataFrame([(i, i, len(s), [0] * 64) for i, s in enumerate(sets)], "rep long, component long, n_shingles long, labels array<long>")
     one = spark.createDataFrame([(0, 0)], "tree long, prefix long")
-    found = {(x.a, x.b) for x in neardup.crowded(alone, one, table, "bigint", trees=1, depth=8, least_depth=4, region=4, block=16, part=80, whole=100, id_col="doc_id", text_col="text", k=4).collect()}
-    links = {(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    signed = neardup.sign(table, id_col="doc_id", text_col="text", k=4, trees=1, depth=8).select("doc_id", neardup.class_key().alias("rep"))
+    key = {x.doc_id: x.rep for x in signed.collect()}
+    alone = spark.createDataFrame([(key[i], key[i], len(s), [0] * 64) for i, s in enumerate(sets)], alone.schema)
+    ids, docs_by_class = signed.select("rep", F.col("doc_id").alias("doc")), table
+    found = {(x.a, x.b) for x in neardup.crowded(alone, one, docs_by_class, ids, trees=1, depth=8, least_depth=4, region=4, block=16, part=80, whole=100, id_col="doc_id", text_col="text", k=4).collect()}
+    links = {tuple(sorted((key[j], key[i]))) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert links and links <= found and all(a < b for a, b in found)
 
 
