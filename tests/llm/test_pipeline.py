@@ -156,3 +156,17 @@ def test_packing_round_trip(spark, stages, folder):
 def test_run_applies_all_stages(spark, stages, folder):
     got = corpus_pipeline.run(spark, folder[0]).select("doc_id", "start", "length", "ids_crc32").collect()
     assert {x.doc_id for x in got} == {x.doc_id for x in stages[3][1]} - {900, 901}
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert not stage(spark, docs.limit(0), folder[0]).collect(), name
+    extra = "score string, partners int, n_words string, component_id string, kept int, start string, k int, t string"
+    rows = [(i, f"{words(random.Random(i), 80)}\n{words(random.Random(i + 1), 9)}", "en", "web", i, "s", 1, "w", "c", 0, "x", 2, "y") for i in (1, 1, 5)] + [(None, None, None, None, None, *[None] * 8), (7, "", None, None, 0, *[None] * 8)]
+    wide = spark.createDataFrame(rows, f"{SCHEMA}, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, folder[0])
+        assert got.columns == wide.columns, name
+        assert all(x.component_id == "c" and x.t == "y" for x in got.collect() if x.doc_id in (1, 5)), name
+    assert {x.doc_id for x in corpus_pipeline.STAGES[-1][1](spark, wide, folder[0]).collect()} == {1, 5, 7, None}
