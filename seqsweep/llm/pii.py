@@ -5,17 +5,19 @@ candidates of each kind, which may overlap: numbers in national formats or with
 spelled "at" or bracketed dots, addresses of version 6, and long runs of letters and digits as secrets, a kind that has
 no base pattern. A candidate's features describe its format (digits, marks, groups, length, mixture) and its context
 (the characters around it, a telling word before it), but not what makes a span a base one. The corpus has no labels,
-so two weak ones are learned, each by boosted trees over all candidates:
+so three weak ones are learned, each by boosted trees over all candidates:
 
 - format: whether the candidate lies in a base span of its kind;
 - company: whether a base span stands within `reach` characters beside it. Personal data come together, so the share
   of candidates in company, less the share that chance gives (from the number of base spans and of characters), and
-  relative to that share among known ones, estimates the share of true ones, also of kinds without a base pattern.
+  relative to that share among known ones, estimates the share of true ones, also of kinds without a base pattern;
+- told: whether a telling word (token, key, mail, phone ...) stands right before it, learned without that feature: what
+  looks like what is mostly introduced so is added, with the word or without.
 
 Candidates are counted by their binned features (a table of bounded size), each distinct string once, so that copies of
 a document do not count as evidence, and apart in two folds by the string's hash. The trees are fitted to the counts and become SQL CASE expressions. Thresholds are calibrated on the fold that a model
 has not seen: the lowest score at which the estimated share of true candidates is at least `precision`. Candidates at
-or above either threshold that touch no base span are added; of those that overlap, the one of highest score.
+or above one of the thresholds that touch no base span are added; of those that overlap, the one of highest score.
 
 Defined cases: a null text is empty; spans count code points, the end exclusive; a match that fails its check is
 dropped and not tried again; texts of any length are read whole; repeated rows are each measured; null ids are kept;
@@ -213,6 +215,11 @@ def train(proposed: DataFrame, precision: float, reach: int) -> dict[tuple[str,
         got = calibrated(x, counts[:, :, 1], counts[:, :, 0], lambda p, n: p / n, precision)
         if got:
             models[k, "format"] = got
+        word = FEATURES.index("told")
+        blind = np.where(np.arange(len(FEATURES)) == word, 0, x)
+        got = calibrated(blind, counts[:, :, 0] * x[:, word], counts[:, :, 0], lambda p, n: p / n, precision)
+        if got:
+            models[k, "told"] = got
         if every[1] >= 16 and known > chance + 0.1:
             got = calibrated(x, counts[:, :, 2], counts[:, :, 0], lambda p, n: (p / n - chance) / (known - chance), precision)
             if got:

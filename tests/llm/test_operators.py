@@ -514,7 +514,7 @@ def test_pii_added_spans_equal_brute_force(spark):
     table = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], "doc_id long, text string, email string, added string, size int")
     proposed = pii.candidates(pii.base_spans(table, "doc_id", "text"), 1000)
     models = pii.train(proposed.withColumn("size", F.length("text").cast("long")), 0.7, 1000)
-    assert ("secret", "company") in models
+    assert ("secret", "company") in models and ("secret", "told") in models
     got = Counter((x.doc_id, tuple((a.kind, a.s, a.e) for a in x.added)) for x in pii.find(table, with_text=False).collect())
     want = Counter()
     for x in proposed.select("doc_id", "candidates").collect():
@@ -533,6 +533,15 @@ def test_pii_added_spans_equal_brute_force(spark):
     assert rows[7][1][secret[0][1] : secret[0][2]].isalnum() and secret[0][2] - secret[0][1] == 40
 
 
+def test_pii_told_secrets_without_company(spark):
+    r = random.Random(25)
+    token = lambda: "".join(r.choices("0123456789abcdef", k=40))
+    rows = [(i, f"{words(r, 20)} token = '{token()}' {words(r, 20)}") for i in range(40)] + [(100 + i, f"{words(r, 20)} = '{token()}' {words(r, 20)}") for i in range(5)]
+    rows += [(200 + i, f"{words(r, 30)} {'y'.join(r.choices('abcdefgh', k=r.randint(10, 14)))}") for i in range(60)]
+    got = {x.doc_id: [(a.kind, a.e - a.s) for a in x.added] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [("secret", 40)] for i in [*range(40), *range(100, 105)]) and not any(got[200 + i] for i in range(60))
+
+
 def test_digest_columns(spark):
     got = queries.op3_decontaminate(spark, "/root/testdata/sf0.001").where("n_items = 0").first()
     assert got.items_sha256 == hashlib.sha256(b"").hexdigest()
