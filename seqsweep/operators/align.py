@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -63,6 +64,48 @@ def canonical(pattern: str, text: str, plus: bool) -> tuple[str, str, int, int]:
     return cigar(ops), gapped(ops, text[j - used : j]), used, ambiguous
 
 
+def canonical_many(pairs: list[tuple[str, str]], plus: bool, most: int = 4096) -> list[tuple[str, str, int, int]]:
+    """`canonical` of many pairs of one pattern length and one text length, cell by cell for all of them at once."""
+    if not pairs or not pairs[0][1]:
+        return [canonical(p, t, plus) for p, t in pairs]
+    if len(pairs) > most:
+        return [x for a in range(0, len(pairs), most) for x in canonical_many(pairs[a : a + most], plus, most)]
+    p, t = (np.frombuffer("".join(x).encode(), np.uint8).reshape(len(pairs), -1).T for x in zip(*pairs, strict=True))
+    m, n, every = len(p), len(t), np.arange(len(pairs))
+    wild, masked = ord("N"), t == ord("N")
+    d = np.zeros((m + 1, n + 1, len(pairs)), np.int16)
+    d[:, 0] = np.arange(m + 1)[:, None]
+    if not plus:
+        d[0] = np.arange(n + 1)[:, None]
+    differs = (p[:, None, :] != wild) & (masked[None, :, :] | (p[:, None, :] != t[None, :, :]))
+    for i in range(1, m + 1):
+        over = np.minimum(d[i - 1, :-1] + differs[i - 1], d[i - 1, 1:] + 1)
+        for j in range(1, n + 1):
+            np.minimum(over[j - 1], d[i, j - 1] + 1, out=d[i, j])
+    j = np.full(len(pairs), n)
+    if not plus:
+        first = d[m, 1:].argmin(0) + 1
+        j = np.where(d[m, first, every] < d[m, n], first, n)
+    end, i = j.copy(), np.full(len(pairs), m)
+    steps, ambiguous = [], np.zeros(len(pairs), np.int64)
+    while (open_ := (i > 0) & (j > 0)).any():
+        u, v = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        here = d[i, j, every]
+        ways = np.stack([here == d[u, v, every] + differs[u, v, every], here == d[i, v, every] + 1, here == d[u, j, every] + 1])
+        ambiguous += open_ & (ways.sum(0) > 1)
+        way = ways.argmax(0)  # the first that holds: M, D, I
+        steps.append(np.where(open_, np.array([77, 68, 73], np.uint8)[way], 32))
+        i = i - (open_ & (way != 1))
+        j = j - (open_ & (way != 2))
+    rows = np.stack(steps[::-1], 1) if steps else np.zeros((len(pairs), 0), np.uint8)
+    out = []
+    for (_, text), row, left, stop, cells in zip(pairs, rows, i.tolist(), end.tolist(), ambiguous.tolist(), strict=True):
+        ops = "I" * left + row.tobytes().decode().strip()
+        used = len(ops) - ops.count("I")
+        out.append((cigar(ops), gapped(ops, text[stop - used : stop]), used, cells))
+    return out
+
+
 def pinned(pattern: str, text: str, k: int) -> tuple[int, str, str, int] | None:
     """(distance, CIGAR, aligned bases, ambiguous cells) of the global alignment, or None beyond k."""
     rows = matrix(pattern, text, list(range(len(text) + 1)))
@@ -111,7 +154,12 @@ def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, moti
     flank = Motif(motif.upper(), side, extract)
     bulges = mode == "levenshtein" and k > 0
 
-    def one(guide: str, plus: bool, d: int, context: str, end: int) -> tuple | None:
+    def beside(guide: str, plus: bool, d: int, context: str, end: int) -> str:
+        """The text that a hit is aligned with, in its orientation."""
+        text = context[max(0, end - (len(guide) + d + 1)) : end]
+        return text if plus else S.reverse_complement_text(text)
+
+    def one(guide: str, plus: bool, d: int, context: str, end: int, aligned: dict) -> tuple | None:
         m = len(guide)
         spans = range(max(1, m - k), m + k + 1)
         pam = flank.read(context, end, plus, m)
@@ -123,13 +171,11 @@ def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, moti
                 return None
         if not alignments:
             return d, None, None, pam or None, None, None, None
-        begin = max(0, end - (m + d + 1))
-        text = context[begin:end]
-        text = text if plus else S.reverse_complement_text(text)
+        text = beside(guide, plus, d, context, end)
         if d == 0:
             seq, ops, span, ambiguous = (text[-m:] if plus else text[:m]), f"{m}M", m, 0
         else:
-            ops, seq, span, ambiguous = canonical(guide, text, plus)
+            ops, seq, span, ambiguous = aligned[guide, text, plus]
         pam = flank.read(context, end, plus, span or m)
         if flank.test and mode == "levenshtein" and not flank.fits(pam):
             if not bulges or flank.after(plus):
@@ -148,8 +194,17 @@ def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, moti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("spacer_idx", "strand", "distance", "context", "context_end")), strict=True)
-            got = [one(guides[g], s == "+", d, c, e) for g, s, d, c, e in rows]
+            rows = [(guides[g], s == "+", d, c, e) for g, s, d, c, e in zip(*(batch.column(c).to_pylist() for c in ("spacer_idx", "strand", "distance", "context", "context_end")), strict=True)]
+            todo: dict[tuple[int, int, bool], set[tuple[str, str]]] = {}
+            for g, plus, d, c, e in rows if alignments else ():
+                if d:
+                    text = beside(g, plus, d, c, e)
+                    todo.setdefault((len(g), len(text), plus), set()).add((g, text))
+            aligned = {}
+            for (_, _, plus), pairs in todo.items():
+                pairs = sorted(pairs)
+                aligned.update(((g, t, plus), x) for (g, t), x in zip(pairs, canonical_many(pairs, plus), strict=True))
+            got = [one(*row, aligned) for row in rows]
             part = batch.filter(pa.array([x is not None for x in got], pa.bool_()))
             cols = list(zip(*(x for x in got if x is not None), strict=True)) or [()] * 7
             same = [pa.array(cols[0], pa.int32()) if c == "distance" else part.column(c) for c in kept]

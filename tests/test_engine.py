@@ -120,6 +120,8 @@ def test_alignments_equal_brute_force():
             cig, seq, span, cells = align.canonical(pattern, text, plus)
             assert (cig, span, cells) == (align.cigar(ops), used, ambiguous)
             assert seq.replace("-", "") == text[end - used : end] and len(seq) == len(ops)
+            others = [(pattern, "".join(r.choices("ACGTN", k=len(text)))) for _ in range(3)]
+            assert align.canonical_many([(pattern, text), *others], plus, most=3) == [align.canonical(p, t, plus) for p, t in [(pattern, text), *others]]
 
 
 def test_minus_strand_leaves_out_text_before_the_pattern():
