@@ -435,6 +435,8 @@ def groups(
         store.discard(used)
     smallest = final.join(ids, final.node == ids.rep).groupBy("component").agg(F.min("doc").alias("component_id"))
     where_to = ids.join(final.join(smallest, "component").withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component_id", "doc").alias("component_id"))
+    where_to = store.written(where_to, "groups")  # so that the join below is dealt anew and a class of many copies can be split
+    store.discard(classes)
     out = signed.select("doc_id", "n_shingles", class_key().alias("rep")).join(where_to, "rep", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
