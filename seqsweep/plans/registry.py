@@ -26,7 +26,7 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 def genome(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
-    parts = max(docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return docs.repartition(parts).select(F.col("doc_id").cast("int").alias("chrom_idx"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), S.encode_text(F.col("text")).alias("seq"))
 
 
