@@ -63,3 +63,31 @@ def alignment(pattern, text, plus):
         end = end if least(m, end) == low else next(j for j in range(1, end) if least(m, j) == low)
     ops, ambiguous = walk(m, end)
     return ops, sum(op != "I" for op in ops), ambiguous, end
+
+
+def distance(pattern, text):
+    """Global edit distance, masked bases of the text costing 1."""
+    row = list(range(len(text) + 1))
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, t in enumerate(text, 1):
+            new.append(min(row[j - 1] + cost(p, t), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def complement(s):
+    return s.translate(str.maketrans("ACGTN", "TGCAN"))[::-1]
+
+
+def motif_ends(seq, guide, k, fits, size, side, plus):
+    """Ends at which a target of some length is within k of the guide and has the motif beside it."""
+    out = set()
+    for e in range(1, len(seq) + 1):
+        for n in range(max(1, len(guide) - k), min(e, len(guide) + k) + 1):
+            target = seq[e - n : e]
+            after = plus == (side == "3")
+            bases = seq[e : e + size] if after else seq[max(0, e - n - size) : e - n]
+            if fits(bases if plus else complement(bases)) and distance(guide, target if plus else complement(target)) <= k:
+                out.add(e)
+    return out

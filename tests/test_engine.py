@@ -1,6 +1,7 @@
 import gzip
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -198,6 +199,46 @@ def test_search_options(spark):
         engine.Search(max_hits=3).check(summaries=True)
 
 
+def test_exact_hit_does_not_take_the_motif_of_another_length(spark):
+    guide = "TATACTCACGACGCCAGT"
+    tiles = readers.tile(genome_of(spark, ["GTCAGTAGGA" + guide + "GCCAATTTAAAG"]))
+    hits = engine.search(tiles, guides_of(spark, [guide]), engine.Search(threshold=4, pam="NRG", pam_position="5", strand="plus")).collect()
+    assert all(h.distance > 0 for h in hits) and [(h.distance, h.pam_seq) for h in hits if h.end == 28] == [(1, "AGG")]
+
+
+def test_hits_with_gaps_span_their_targets(spark):
+    guide = "GAGTCCGAGCAGAAGAAGAA"
+    target = guide[:5] + guide[6:12] + guide[13:]
+    r = random.Random(31)
+    seq = "".join(r.choices("ACGT", k=300))
+    seq = seq[:100] + S.reverse_complement_text(target) + seq[118:200] + target + seq[218:]
+    hits = engine.search(readers.tile(genome_of(spark, [seq])), guides_of(spark, [guide]), engine.Search(threshold=2)).collect()
+    assert {(h.strand, h.start, h.end, h.distance, h.target_len) for h in hits} == {("-", 100, 118, 2, 18), ("+", 200, 218, 2, 18)}
+
+
+@pytest.mark.parametrize("motif,side", [("NGG", "3"), ("TTTV", "5"), ("NRG", "5"), ("NNGRRT", "3")])
+def test_motif_hits_equal_brute_force(spark, motif, side):
+    r = random.Random(motif + side)
+    seqs, guides = [], []
+    for _ in range(6):
+        seq = "".join(r.choices("ACGTN", [24, 24, 24, 24, 1], k=r.randint(60, 260)))
+        at = r.randint(0, len(seq) - 30)
+        g = list(seq[at : at + 20].replace("N", "G"))
+        for _ in range(r.randint(0, 3)):
+            g[r.randint(0, 19)] = r.choice(["A", "G", "", "CT"])
+        guides.append(("".join(g) + "ACGT" * 3)[: r.randint(18, 20)])
+        some = "".join(r.choice("ACGT") if c == "N" else r.choice(S.IUPAC[c]) for c in motif)
+        put = (lambda t: t + some) if side == "3" else (lambda t: some + t)
+        wild = "".join(c for c in guides[-1] if r.random() > 0.06)
+        seqs += [seq, "".join(r.choices("ACGT", k=40)) + put(guides[-1]) + "".join(r.choices("ACGT", k=9)) + put(wild) + "CA" + S.reverse_complement_text(put(wild)) + "".join(r.choices("ACGT", k=30))]
+    tests = re.compile(S.motif_regex(motif))
+    options = engine.Search(threshold=3, pam=motif, pam_position=side, deduplicate=False)
+    got = {(h.spacer_idx, h.strand, h.chrom, h.end) for h in engine.search(readers.tile(genome_of(spark, seqs)), guides_of(spark, guides), options).collect()}
+    fits = lambda b: bool(tests.match(b))
+    want = {(i, "+" if plus else "-", f"c{c}", e) for i, g in enumerate(guides) for c, q in enumerate(seqs) for plus in (True, False) for e in brute.motif_ends(q, g, 3, fits, len(motif), side, plus)}
+    assert got == want and len(want) > 10
+
+
 def test_overlap_counts(spark):
     hits = spark.createDataFrame([(0, "+", 0, 10 * i, "c0", 10 * i - 5) for i in range(1, 6)], "spacer_idx int, strand string, chrom_idx int, end long, chrom string, start long")
     beds = spark.createDataFrame([("a", "c0", 8, 22), ("a", "c0", 9, 10), ("b", "c0", 40000, 40010), ("a", "c1", 0, 99)], "label string, chrom string, start long, end long")
