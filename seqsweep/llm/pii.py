@@ -7,7 +7,7 @@ no base pattern. A candidate's features describe its format (digits, marks, grou
 (the characters around it, a telling word before it), but not what makes a span a base one. The corpus has no labels,
 so three weak ones are learned, each by boosted trees over all candidates:
 
-- format: whether the candidate lies in a base span of its kind;
+- format: whether the candidate lies in a base span of its kind (of secrets: has the public form of a well-known key);
 - company: whether a base span stands within `reach` characters beside it. Personal data come together, so the share
   of candidates in company, less the share that chance gives (from the number of base spans and of characters), and
   relative to that share among known ones, estimates the share of true ones, also of kinds without a base pattern;
@@ -60,14 +60,16 @@ LOOSE = {
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:(?:\.|\[\.\]|\(\.\))[0-9]{1,3}+){3}+(?![0-9.])|(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){4,7}+(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9]{3,6}+(?:[ ._/-]{1,3}+[0-9]{2,6}+){2,4}+(?![0-9])|(?<![0-9])[0-9]{13,19}+(?![0-9])",
     "phone": r"(?<![0-9])\(?[0-9]{2,4}+\)?[ ./-]{1,2}[0-9]{2,4}+[ ./-]{1,2}[0-9]{3,4}+(?:[ ./-]{1,2}[0-9]{2,4}+)?(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,200}+",
+    "secret": r"(?<![A-Za-z0-9_+/-])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,200}+={0,2}",
 }
+#: Public forms of keys, for which the secrets' format is learned as that of the other kinds is from base spans.
+KEYS = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|glpat-[0-9A-Za-z_-]{20,}|sk-[0-9A-Za-z_-]{20,})$"
 LOOSE_CHECK = {"card": "length(regexp_replace(m, '[^0-9]', '')) between 13 and 19 and luhn_check(regexp_replace(m, '[^0-9]', ''))"}
 LOOSE_NEEDS = {"email": "(contains(t, '@') or contains(t, '(at)') or contains(t, '[at]') or contains(t, ' at ') and contains(t, 'dot'))", "ip": "t rlike '[0-9]'", "card": "t rlike '[0-9]'", "phone": "t rlike '[0-9]'", "secret": "t <> ''"}
 TOLD = {"email": "(?i)mail|contact", "ip": "(?i)ip|host|addr", "card": "(?i)card|visa|pay", "phone": "(?i)tel|phone|call|mobile|fax|[+][0-9]", "secret": "(?i)token|key|secret|passw|auth|bearer|credential"}
 
 #: No pattern above matches in a text without one of these.
-ANY = "(text rlike '[0-9@]|[A-Za-z_+/=-]{16}' or contains(text, '(at)') or contains(text, '[at]') or contains(text, ' dot ') or contains(text, '(dot)') or contains(text, '[dot]'))"
+ANY = "(text rlike '[0-9@]|[A-Za-z_+/-]{16}' or contains(text, '(at)') or contains(text, '[at]') or contains(text, ' dot ') or contains(text, '(dot)') or contains(text, '[dot]'))"
 
 SPANS = "array<struct<s:int,e:int,m:string>>"
 
@@ -100,7 +102,7 @@ def candidates(spans: DataFrame, reach: int) -> DataFrame:
     place = "case when {c} = '' then 0 when {c} rlike '\\\\s' then 1 when {c} rlike '[A-Za-z0-9]' then 2 else 3 end"
     parts = []
     for k in ALL_KINDS:
-        inside = f"exists({k}, b -> b.s <= y.s and y.e <= b.e)" if k in KINDS else "false"
+        inside = f"exists({k}, b -> b.s <= y.s and y.e <= b.e)" if k in KINDS else f"y.m rlike '{KEYS}'"
         free = " and ".join(f"not exists({o}, b -> b.s < y.e and y.s < b.e)" for o in KINDS)
         company = " or ".join(f"exists({o}, b -> b.e <= y.s and b.e > y.s - {reach} or b.s >= y.e and b.s < y.e + {reach})" for o in KINDS)
         parts.append(f"""transform({spans_sql(LOOSE[k], LOOSE_NEEDS[k], LOOSE_CHECK.get(k, "true"))}, y -> named_struct('kind', '{k}', 's', y.s, 'e', y.e,
@@ -202,7 +204,7 @@ def train(proposed: DataFrame, precision: float, reach: int) -> dict[tuple[str,
     for r in counted.collect():  # at most the product of the bins
         mine = cells[r["kind"]].setdefault(tuple(r[f] for f in FEATURES), np.zeros((2, 4)))
         mine[r["fold"]] += (r["n"], r["known"], r["company"], r["both"])
-    every = sum((c for mine in cells.values() for c in mine.values()), np.zeros((2, 4))).sum(0)
+    every = sum((c for k in KINDS for c in cells[k].values()), np.zeros((2, 4))).sum(0)
     total = proposed.select(F.sum("size").alias("chars"), F.sum(F.expr(" + ".join(f"size({k})" for k in KINDS))).alias("spans")).first()
     chance = 1 - math.exp(-2 * reach * (total["spans"] or 0) / max(total["chars"] or 0, 1))
     known = every[3] / every[1] if every[1] else 0.0

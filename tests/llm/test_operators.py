@@ -538,8 +538,11 @@ def test_pii_told_secrets_without_company(spark):
     token = lambda: "".join(r.choices("0123456789abcdef", k=40))
     rows = [(i, f"{words(r, 20)} token = '{token()}' {words(r, 20)}") for i in range(40)] + [(100 + i, f"{words(r, 20)} = '{token()}' {words(r, 20)}") for i in range(5)]
     rows += [(200 + i, f"{words(r, 30)} {'y'.join(r.choices('abcdefgh', k=r.randint(10, 14)))}") for i in range(60)]
+    rows += [(300 + i, f"{words(r, 20)} AKIA{''.join(r.choices('ABCDEFGH234567', k=16))} {words(r, 9)}") for i in range(20)]
+    rows += [(400 + i, f"{words(r, 20)} password={token()[: r.randint(18, 20)]} {words(r, 9)}") for i in range(20)]
     got = {x.doc_id: [(a.kind, a.e - a.s) for a in x.added] for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == [("secret", 40)] for i in [*range(40), *range(100, 105)]) and not any(got[200 + i] for i in range(60))
+    assert all(got[300 + i] == [("secret", 20)] and got[400 + i][0][0] == "secret" and got[400 + i][0][1] in (18, 19, 20) for i in range(20))
 
 
 def test_digest_columns(spark):
