@@ -4,7 +4,7 @@ Every byte becomes a small fixed vector (its class and a few hashed coordinates)
 apart, are averaged over chunks of 256 bytes that overlap by half and cover the whole document; a learned layer
 combines the averages and their squares (a chunk that says the same again and again lies far from the usual average)
 into a few responses for each chunk, which are max-pooled over the document and combined into one probability. All
-layers are trained together. Training takes a bounded sample of labelled rows: `per_class` of each label, those of
+layers are trained together, now and then on a random part of a text instead of the whole. Training takes a bounded sample of labelled rows: `per_class` of each label, those of
 smallest hashed id, and of these the texts of at most `most_chars` characters. Scoring is one pass over the table
 without a shuffle; a long text is read in segments, so a task holds the byte vectors of one segment only.
 
@@ -114,8 +114,8 @@ def predict(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z.astype(np.float64) + model["shift"], -40, 40)))
 
 
-def fit(texts: list[str], labels: np.ndarray, *, filters: int = 24, hidden: int = 24, epochs: int = 10, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> dict:
-    """Trains all layers together with Adam on the log loss."""
+def fit(texts: list[str], labels: np.ndarray, *, filters: int = 24, hidden: int = 24, epochs: int = 10, least_steps: int = 300, crops: float = 0.25, batch: int = 32, rate: float = 4e-3, seed: int = 0) -> dict:
+    """Trains all layers together with Adam on the log loss; few texts are gone through more often, for least_steps steps."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
     m = {
@@ -126,20 +126,30 @@ def fit(texts: list[str], labels: np.ndarray, *, filters: int = 24, hidden: int
     m["w1"][filters:] /= 4
     keep = [i for i, t in enumerate(texts) if t]
 
-    def laid(docs: list[int]) -> Layout:
-        return Layout(*text.text_bytes(pa.array([texts[i] for i in docs], pa.large_string())))
+    def laid(docs: list[int], crop: bool = False) -> Layout:
+        return Layout(*text.text_bytes(pa.array([piece(texts[i]) if crop else texts[i] for i in docs], pa.large_string())))
+
+    def piece(t: str) -> str:
+        """Some texts are cut to a random part, as short texts are rare among labels."""
+        n = int(rng.integers(20, 400))
+        if rng.random() >= crops or len(t) <= n:
+            return t
+        at = int(rng.integers(0, len(t) - n))
+        return t[at : at + n]
 
     some = [keep[i] for i in rng.permutation(len(keep))[:256]]
     start = np.concatenate([(g := laid(some[a : a + batch])).means(g.sums(m)) for a in range(0, len(some), batch)])
     m["mu"], m["sd"] = start.mean(0), start.std(0) + 0.02
     learned = ("w", "b", "w1", "b1", "w2", "b2")
     moment = {k: (np.zeros_like(m[k]), np.zeros_like(m[k])) for k in learned}
-    steps, step = epochs * -(-len(keep) // batch), 0
+    each = -(-len(keep) // batch)
+    epochs = max(epochs, -(-least_steps // max(each, 1)))
+    steps, step = epochs * each, 0
     for _ in range(epochs):
         order = rng.permutation(len(keep))
         for a in range(0, len(order), batch):
             docs = [keep[i] for i in order[a : a + batch]]
-            g = laid(docs)
+            g = laid(docs, crop=True)
             total = len(g.count)
             x = g.vectors(0, total)
             r = g.responses(0, total, m, x)
