@@ -1,4 +1,5 @@
 import gzip
+import io
 import json
 import random
 import re
@@ -161,6 +162,17 @@ def test_scores(spark):
     assert none.select(score.activity(*map(none.__getitem__, "gtcm"), p).alias("a")).first().a == 0
 
 
+def test_gaps_in_scores(spark):
+    rows = spark.createDataFrame([("ACGTACGTACGTACGTACGT", t, c, "TGG") for t, c in (("ACGTACGTACGTACGTACGT", "20M"), ("ACGTACGT-CGTACGTACGT", "8M1I11M"), ("ACGTACGTACGTACGTACGTA", "20M1D"), ("ACGNACGTACGTACGTACGA", "20M"), ("", None))], "g string, t string, c string, m string")
+    got = [tuple(r) for r in rows.select(score.activity(rows.g, rows.t, rows.c, rows.m, score.linear_penalties()).alias("a"), score.seed_mismatches(rows.g, rows.t, rows.c).alias("s"), S.has_indel(rows.c).alias("i")).collect()]
+    assert [(round(a, 9), n, i) for a, n, i in got] == [(1.0, 0, False), (0.0, -1, True), (0.0, -1, True), (0.2, 1, False), (0.0, 0, False)]
+
+
+def test_guides_from_standard_input(monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.StringIO("a ACGT\nGGGG\n"))
+    assert [(g.name, g.sequence) for g in readers.read_guides("-")] == [("a", "ACGT"), ("spacer_1", "GGGG")]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.fa").write_text("ignored\n>c1 words\nACGT\nac;gt\n".replace("ac;gt", "acgt") + ";note\n\n>c2\tx\r\nNNAA\r\n")
     rows = readers.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("chrom_idx").collect()
