@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from . import samples, text
 
 BUCKETS = 1 << 13
+SEGMENT = 1 << 20  # bytes of a long text that are read at once
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -57,8 +58,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     room = sizes + 3
     at = np.cumsum(room) - room + 1
     flat = np.full(int(room.sum()) + 2, 32, np.uint32)
-    if len(data):
-        flat[np.arange(len(data)) + np.repeat(at - offsets[:-1], sizes)] = folded
+    for to, a, n in zip(at.tolist(), offsets[:-1].tolist(), sizes.tolist(), strict=True):
+        flat[to : to + n] = folded[a : a + n]
     h = flat[:-2] * np.uint32(0x01000193) + flat[1:-1] * np.uint32(0x9E3779B1) + flat[2:] * np.uint32(0x85EBCA77)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
@@ -68,11 +69,26 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, at - 1, sizes
 
 
+def seen_grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    """How often each bucket occurs in each row; a long row goes through in segments, which read two bytes more to both sides."""
+    if len(offsets) == 2 and len(data) > 2 * SEGMENT:
+        total = np.zeros(BUCKETS + 1, np.int64)
+        for a in range(0, len(data), SEGMENT):
+            begin, size = max(a - 2, 0), min(SEGMENT, len(data) - a)
+            part = data[begin : a + size + 2]
+            h, first, _ = grams(part, np.array([0, len(part)]))
+            total += np.bincount(h[first[0] + a - begin : first[0] + a - begin + size], minlength=BUCKETS + 1)
+        yield total
+        return
+    h, first, n = grams(data, offsets)
+    for a, c in zip(first.tolist(), n.tolist(), strict=True):
+        yield np.bincount(h[a : a + c], minlength=BUCKETS + 1)
+
+
 def features(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), BUCKETS), np.float32)
     for i, t in enumerate(texts):
-        h, first, n = grams(*text.text_bytes(pa.array([t], pa.large_string())))
-        c = np.bincount(h[first[0] : first[0] + n[0]], minlength=BUCKETS + 1)[:BUCKETS]
+        c = next(seen_grams(*text.text_bytes(pa.array([t], pa.large_string()))))[:BUCKETS]
         out[i] = c / max(c.sum(), 1)
     return out
 
@@ -104,10 +120,8 @@ def fit(texts: list[str], langs: list[str], *, rounds: int = 150, rate: float =
 
 def predict(model: dict, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the language, score, ambiguous) of each row."""
-    h, first, n = grams(data, offsets)
-    z = np.zeros((len(n), model["table"].shape[1]), np.float32)
-    for i, (a, c) in enumerate(zip(first.tolist(), n.tolist(), strict=True)):
-        seen = np.bincount(h[a : a + c], minlength=BUCKETS + 1)
+    z = np.zeros((len(offsets) - 1, model["table"].shape[1]), np.float32)
+    for i, seen in enumerate(seen_grams(data, offsets)):
         at = np.flatnonzero(seen[:BUCKETS])
         if len(at):
             z[i] = (seen[at] / seen[at].sum()).astype(np.float32) @ model["table"][at]

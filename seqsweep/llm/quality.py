@@ -57,8 +57,8 @@ class Layout:
         self.first = np.cumsum(self.blocks) - self.blocks
         total = int(self.blocks.sum())
         self.padded = np.zeros(total * BYTES + 2 * STRIDE, np.uint8)
-        if len(data):
-            self.padded[np.arange(len(data)) + np.repeat(self.first * BYTES - offsets[:-1], sizes)] = data
+        for at, a, n in zip((self.first * BYTES).tolist(), offsets[:-1].tolist(), sizes.tolist(), strict=True):
+            self.padded[at : at + n] = data[a : a + n]
         windows = -(-sizes // STRIDE)
         inside = np.arange(total) - np.repeat(self.first, self.blocks)
         self.count = np.clip(np.repeat(windows, self.blocks) - inside * BLOCK, 0, BLOCK)  # filters of each block that begin in the document

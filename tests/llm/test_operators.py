@@ -373,6 +373,16 @@ def test_language_equals_brute_force(spark):
         langid.train(table, most_langs=2)
 
 
+def test_language_of_long_texts_in_segments(monkeypatch):
+    r = random.Random(26)
+    t = "".join(r.choices("abÀÉñçß XY12.é€", k=3000))
+    data, offsets = text.text_bytes(pa.array([t], pa.large_string()))
+    whole = next(langid.seen_grams(data, offsets))
+    for size in (1, 2, 3, 7, 100, 999):
+        monkeypatch.setattr(langid, "SEGMENT", size)
+        assert (next(langid.seen_grams(data, offsets)) == whole).all()
+
+
 def test_clashing_columns_and_repeated_ids(spark, docs):
     model = {"rate": 0.5}
     assert {x.score for x in quality.score(docs, model).collect()} == {0.5}
