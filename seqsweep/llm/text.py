@@ -102,13 +102,24 @@ def runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.
     return starts, ends, rows
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODE_FOLDED) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes (under codes) wherever they stand."""
-    up, down = powers(len(data))
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray = BYTE_CODE_FOLDED, most: int = 1 << 20) -> np.ndarray:
+    """A 64-bit hash of each span of bytes (ascending ones), equal for equal bytes (under codes) wherever they stand.
+
+    Spans are taken some at a time, of about `most` bytes, so a long text does not need many bytes for each of its own.
+    """
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(int(np.searchsorted(ends, starts[a] + most, "right")), a + 1)
+        first, last = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        part = data[starts[a] : ends[b - 1]]
+        up, down = powers(len(part))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(codes[part] * up[: len(part)], out=sums[1:])
+            out[a:b] = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        a = b
+    return out
 
 
 def counts_by_row(rows: np.ndarray, n: int) -> np.ndarray:

@@ -623,6 +623,18 @@ def test_neardup_keeps_single_links_of_large_groups(spark):
     assert [got[700 + i] == 0 for i in range(40)] == linked and all(got[i] == 0 for i in range(700))
 
 
+def test_span_hashes_do_not_depend_on_place():
+    r = random.Random(27)
+    data = np.frombuffer("".join(r.choices("abc ", k=3000)).encode(), np.uint8)
+    s, e, _ = text.runs(data, np.array([0, len(data)]), text.NOT_SPACE)
+    whole = text.span_hashes(data, s, e)
+    assert all((text.span_hashes(data, s, e, most=n) == whole).all() for n in (1, 5, 64, 999))
+    by_word = {}
+    for a, b, h in zip(s.tolist(), e.tolist(), whole.tolist(), strict=True):
+        assert by_word.setdefault(data[a:b].tobytes(), h) == h
+    assert len(set(by_word.values())) == len(by_word)
+
+
 def test_neardup_sketch_drops_few_links():
     from math import comb
 
