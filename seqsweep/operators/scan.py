@@ -188,16 +188,17 @@ class Seeds:
         keys = [np.unique((pattern * len(last) + piece[spot]) * wide + start + width) for pattern, start, spot in self.places(codes)]
         keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         found = []
-        one, top = np.uint64(1), np.uint64(m - 1)
-        full = np.uint64((1 << m) - 1)
-        for a in range(0, len(keys), 1 << 15):
-            some = keys[a : a + (1 << 15)]
+        word = np.uint32 if m < 32 else np.uint64
+        one, top, full = word(1), word(m - 1), word((1 << m) - 1)
+        table = self.eq.astype(word)
+        for a in range(0, len(keys), 1 << 13):
+            some = keys[a : a + (1 << 13)]
             pattern, mine, end = some // wide // len(last), last[some // wide % len(last)], some % wide - width + m
             lo, hi = low[mine], high[mine]
             at = end - m - 2 * k
-            eq = self.eq[pattern]
+            eq = table[pattern]
             row = np.arange(len(pattern))
-            pv, mv = np.full(len(pattern), full), np.zeros(len(pattern), np.uint64)
+            pv, mv = np.full(len(pattern), full), np.zeros(len(pattern), word)
             score = np.full(len(pattern), m, np.int32)
             with np.errstate(over="ignore"):
                 for j in range(width):
