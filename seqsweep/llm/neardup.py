@@ -21,7 +21,9 @@ the third round. With 32 trees and a least depth of 4 a link of similarity 0.8 i
 no other pair is left out.
 
 The sorted orders are dealt by ranges over (tree, label, document), so even one label that a third of all rows share
-is spread over tasks.
+is spread over tasks. They hold only regions of the least depth with classes of two or more components, as others have
+no pair to propose; these are found first, by numbers of regions and components alone, so that the labels and sketches
+of most classes are not shuffled tree by tree.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; one of fewer than k words is a
 single shingle; equal sets are one class whatever their number; rows that repeat an id are linked with each other, each
@@ -145,10 +147,29 @@ def sign(docs: DataFrame, *, id_col: str, text_col: str, k: int, trees: int, dep
     return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, SIGNED.format(id=kind))
 
 
-def forest(classes: DataFrame, trees: range) -> DataFrame:
-    """A row for each class and tree, sorted by tree and label within ranges."""
-    chosen = F.sequence(F.lit(trees[0]), F.lit(trees[-1]))
-    rows = classes.select("rep", "component", "n_shingles", "sketch", "labels", F.explode(chosen).alias("tree"))
+def region_key(tree: str, least_depth: int, depth: int) -> Column:
+    """A number of the region (tree, prefix of the least depth) of a class; regions that share one by chance are taken together."""
+    return F.xxhash64(tree, F.shiftrightunsigned(F.element_at("labels", 2 * F.col(tree) + 1), LEVEL_BITS * (depth // 2 - least_depth)))
+
+
+def mixed_regions(classes: DataFrame, trees: range, *, least_depth: int, depth: int) -> DataFrame:
+    """The numbers of the regions that hold classes of several components, a written table; only numbers are shuffled."""
+    rows = classes.select("component", "labels", F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))).alias("tree"))
+    each = rows.select("component", region_key("tree", least_depth, depth).alias("region")).groupBy("region").agg(F.min("component").alias("x"), F.max("component").alias("y"))
+    return store.written(each.where("x < y").select("region"), "regions")
+
+
+def forest(classes: DataFrame, trees: range, mixed: DataFrame, *, least_depth: int, depth: int) -> DataFrame:
+    """A row for each class and tree whose region is one of mixed, sorted by tree and label within ranges.
+
+    Regions of a single component have no pair to propose; so labels and sketches of most rows never move.
+    """
+    chosen = F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))).alias("tree")
+    rows, key = classes.select("rep", "component", "n_shingles", "sketch", "labels", chosen), region_key("tree", least_depth, depth).alias("region")
+    if mixed.count() <= MOST_SENT:
+        rows = rows.withColumn("region", key).join(F.broadcast(mixed), "region", "left_semi")
+    else:
+        rows = classes.join(rows.select("rep", "tree", key).join(mixed, "region", "left_semi").select("rep", "tree"), "rep")
     rows = rows.select("tree", F.element_at("labels", 2 * F.col("tree") + 1).alias("hi"), F.element_at("labels", 2 * F.col("tree") + 2).alias("lo"), "rep", "component", "n_shingles", "sketch")
     parts = max(int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartitionByRange(parts, "tree", "hi", "lo", "rep").sortWithinPartitions("tree", "hi", "lo", "rep")
@@ -407,6 +428,7 @@ def groups(
     options = {"least_depth": least_depth, "depth": depth, "region": region, "part": part, "whole": whole}
     where = {"id_col": id_col, "text_col": text_col, "k": k}
     floor_bits = least_bits(part, whole)
+    depths = {"least_depth": least_depth, "depth": depth}
 
     def joined(labels: DataFrame) -> DataFrame:
         """classes with their components so far."""
@@ -416,14 +438,18 @@ def groups(
         return labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
     alone = classes.withColumn("component", F.col("rep"))
-    near = store.written(candidates(forest(alone, range(first_trees)), near_only=True, floor_bits=floor_bits, **options).where("a is not null").select("a", "b"), "pairs")
+    mixed = mixed_regions(alone, range(first_trees), **depths)
+    near = store.written(candidates(forest(alone, range(first_trees), mixed, **depths), near_only=True, floor_bits=floor_bits, **options).where("a is not null").select("a", "b"), "pairs")
     links = confirmed(near, docs, ids, part=part, whole=whole, **where)
     # classes that share a repeated id belong together
     shared = some.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
     first = store.components(links.union(some.select("doc_id", F.col("rep").alias("b")).join(shared, "doc_id").where("a <> b").select("a", "b")))
     known = store.written(joined(first), "known")
-    found = store.written(candidates(forest(known, range(trees)), near_only=False, floor_bits=floor_bits, **options), "pairs")
+    store.discard(mixed)
+    mixed = mixed_regions(known, range(trees), **depths)
+    found = store.written(candidates(forest(known, range(trees), mixed, **depths), near_only=False, floor_bits=floor_bits, **options), "pairs")
     store.discard(known)
+    store.discard(mixed)
     more, regions = found.where("a is not null").select("a", "b"), found.where("a is null").select("tree", "prefix")
     links2 = confirmed(more, docs, ids, part=part, whole=whole, **where)
     second = store.components(links2.union(held(first)))

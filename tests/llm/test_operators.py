@@ -623,6 +623,26 @@ def test_neardup_keeps_single_links_of_large_groups(spark):
     assert [got[700 + i] == 0 for i in range(40)] == linked and all(got[i] == 0 for i in range(700))
 
 
+def test_neardup_sorts_only_regions_of_several_components(spark, monkeypatch):
+    r = random.Random(31)
+    texts = [words(r, 80) for _ in range(60)]
+    texts += [f"{t} more" for t in texts[:10]] + [f"{t} more still" for t in texts[:5]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sorted_, proposed = [], neardup.candidates
+
+    def candidates(rows, **options):
+        sorted_.append(rows.count())
+        return proposed(rows, **options)
+
+    monkeypatch.setattr(neardup, "candidates", candidates)
+    for most in (neardup.MOST_SENT, 0):
+        monkeypatch.setattr(neardup, "MOST_SENT", most)
+        sorted_.clear()
+        got = {x.doc_id: x.component_id for x in neardup.groups(table, k=4).collect()}
+        assert [got[i] for i in range(75)] == [*range(60), *range(10), *range(5)]
+        assert 0 < sorted_[0] <= 6 * 25 and sorted_[1] <= 32 * 25  # of 6 * 75 and 32 * 75: 50 texts are like no other
+
+
 def test_span_hashes_do_not_depend_on_place():
     r = random.Random(27)
     data = np.frombuffer("".join(r.choices("abc ", k=3000)).encode(), np.uint8)
