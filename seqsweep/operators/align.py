@@ -8,9 +8,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seqsweep.functions import seq as S
+from seqsweep.operators.scan import CODE
 
 ANNOTATED = [
     ("aligned_seq", "string"), ("cigar", "string"), ("pam_seq", "string"), ("target_len", "int"), ("alignment_ambiguous", "boolean"), ("n_ambiguous_cells", "int"),
@@ -116,6 +118,73 @@ def pinned(pattern: str, text: str, k: int) -> tuple[int, str, str, int] | None:
     return rows[-1][-1], cigar(ops), gapped(ops, text), ambiguous
 
 
+def prefix_distances(texts: np.ndarray, patterns: np.ndarray, lengths: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """For each length, the global distances (text, pattern) of whole patterns and the texts' first bases, by bit-parallel columns.
+
+    Both are codes (texts 0-4, patterns 0-3) of one length each, patterns of at most 63 bases; a masked base costs 1.
+    """
+    m = patterns.shape[1]
+    word = np.uint32 if m < 32 else np.uint64
+    eq = np.zeros((5, len(patterns)), word)
+    for j in range(m):
+        eq[patterns[:, j], np.arange(len(patterns))] |= word(1 << j)
+    shape = (len(texts), len(patterns))
+    one, top = word(1), word(m - 1)
+    pv, mv, score = np.full(shape, (1 << m) - 1, word), np.zeros(shape, word), np.full(shape, m, np.int16)
+    for j in range(max(lengths)):
+        e = eq[texts[:, j]]
+        xh = e & pv
+        xh += pv
+        xh ^= pv
+        xh |= e
+        e |= mv
+        mh = pv & xh
+        np.bitwise_or(xh, pv, out=xh)
+        np.invert(xh, out=xh)
+        xh |= mv  # the row's increases
+        score += ((xh >> top) & one).astype(np.int16)
+        score -= ((mh >> top) & one).astype(np.int16)
+        xh <<= one
+        xh |= one  # nothing of the text is left out at its start
+        mh <<= one
+        mv = xh & e
+        e |= xh
+        np.invert(e, out=e)
+        e |= mh
+        pv = e
+        if j + 1 in lengths:
+            yield score.copy()
+
+
+def exist_at(rows: DataFrame, guides: DataFrame, lengths: tuple[int, ...], k: int, block: int = 1024) -> DataFrame:
+    """chrom, spacer and, for each length n, exists_at_n: whether the guide aligns with the first n bases of t at a distance of at most k.
+
+    rows are (chrom, t) with t of the largest length at least, guides (spacer, sequence) without masked bases and of one
+    length below 64. Distances are computed for blocks of guides, and a text's answers spread to rows only at the end.
+    """
+    found = sorted(map(tuple, guides.select("spacer", "sequence").collect()))
+    if len({len(s) for _, s in found}) > 1:
+        raise ValueError("the guides must have one length")
+    n = max(lengths)
+    schema = T.StructType([rows.schema["chrom"], T.StructField("block", T.IntegerType()), *(T.StructField(f"f{x}", T.ArrayType(T.BooleanType())) for x in lengths)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = np.array([list(s.encode()) for _, s in found], np.uint8).reshape(len(found), len(found[0][1]) if found else 0)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                texts = CODE[np.array([list(t[:n].encode()) for t in part.column("t").to_pylist()], np.uint8).reshape(-1, n)]
+                for b in range(0, len(found), block):
+                    some = CODE[coded[b : b + block]]
+                    offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(some))
+                    flags = [pa.ListArray.from_arrays(offsets, pa.array((d <= k).ravel())) for d in prefix_distances(texts, some, lengths)]
+                    yield pa.RecordBatch.from_arrays([part.column("chrom"), pa.array(np.full(len(texts), b // block, np.int32)), *flags], names=schema.names)
+
+    names = rows.sparkSession.createDataFrame([(i // block, i % block, spacer) for i, (spacer, _) in enumerate(found)], "block int, at int, spacer string")
+    met = rows.select("chrom", "t").mapInArrow(run, schema).join(F.broadcast(names), "block")
+    return met.select("chrom", "spacer", *[F.expr(f"f{x}[at]").alias(f"exists_at_{x}") for x in lengths])
+
+
 class Motif:
     """The motif beside a hit: read from the hit's context, tested by pattern."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqsweep.functions import score
 from seqsweep.functions import seq as S
-from seqsweep.operators import post, report
+from seqsweep.operators import align, post, report
 from seqsweep.plans import engine
 from seqsweep.sources import readers
 
@@ -24,10 +24,21 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def partitions(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def genome(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return docs.repartition(parts).select(F.col("doc_id").cast("int").alias("chrom_idx"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), S.encode_text(F.col("text")).alias("seq"))
+    return docs.repartition(partitions(spark)).select(F.col("doc_id").cast("int").alias("chrom_idx"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), S.encode_text(F.col("text")).alias("seq"))
+
+
+def prefixes(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """chrom and t, the first n bases of the sequences that have so many; only where few letters are ahead the whole text is encoded."""
+    ahead, whole = S.encode_text(F.substring("text", 1, 4 * n)), S.encode_text(F.col("text"))
+    docs = read(spark, sf, "documents").where("doc_id is not null and text is not null")
+    rows = docs.select(F.concat(F.lit("doc_"), "doc_id").alias("chrom"), F.substring(F.when(F.length(ahead) >= n, ahead).otherwise(whole), 1, n).alias("t"))
+    return rows.where(F.length("t") >= n).repartition(partitions(spark))
 
 
 def guides(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,9 +260,8 @@ def motif_class_penalty(spark: SparkSession, sf: str) -> DataFrame:
 from g join sp on true where spacer_idx % 10000 = 0 and len(seq) >= 22""")
 def alignment_at_length(spark: SparkSession, sf: str) -> DataFrame:
     """Whether each item's first guide aligns with the first 20, and 22, bases of a sequence at a distance of 12 or less."""
-    firsts = F.broadcast(guides(spark, sf).where("spacer_idx % 10000 = 0"))  # one a benchmark item
-    rows = genome(spark, sf).where(F.length("seq") >= 22).select("chrom", F.substring("seq", 1, 22).alias("t")).join(firsts)
-    return rows.select("chrom", "spacer", S.alignment_exists(F.col("sequence"), F.substring("t", 1, 20), 12).alias("exists_at_20"), S.alignment_exists(F.col("sequence"), F.col("t"), 12).alias("exists_at_22"))
+    firsts = guides(spark, sf).where("spacer_idx % 10000 = 0").select("spacer", "sequence")  # one a benchmark item
+    return align.exist_at(prefixes(spark, sf, 22), firsts, (20, 22), 12)
 
 
 @query(f"""with {GENOME_SQL}, d as (select chrom, chrom_idx, cast(coalesce(sum(len(seq)) over (order by chrom_idx rows between unbounded preceding and 1 preceding), 0) as bigint) as s, len(seq) as n from g),

@@ -126,6 +126,18 @@ def test_alignments_equal_brute_force():
             assert align.canonical_many([(pattern, text), *others], plus, most=3) == [align.canonical(p, t, plus) for p, t in [(pattern, text), *others]]
 
 
+def test_distances_at_lengths_equal_brute_force(spark):
+    r = random.Random(41)
+    texts = ["".join(r.choices("ACGTN", [9, 9, 9, 9, 1], k=r.randint(22, 26))) for _ in range(300)] + ["ACGT" * 6, "A" * 22]
+    guides = ["".join(r.choices("ACGT", k=20)) for _ in range(6)] + [texts[0][1:21].replace("N", "A")]
+    rows = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chrom string, t string")
+    asked = spark.createDataFrame([(f"g{i}", g) for i, g in enumerate(guides)], "spacer string, sequence string")
+    got = {(x.chrom, x.spacer): (x.exists_at_20, x.exists_at_22) for x in align.exist_at(rows, asked, (20, 22), 10, block=3).collect()}
+    assert got == {(f"c{i}", f"g{j}"): (brute.distance(g, t[:20]) <= 10, brute.distance(g, t[:22]) <= 10) for i, t in enumerate(texts) for j, g in enumerate(guides)}
+    assert {x for pair in got.values() for x in pair} == {True, False}
+    assert align.exist_at(rows, asked.limit(0), (20, 22), 10).count() == 0
+
+
 def test_minus_strand_leaves_out_text_before_the_pattern():
     # a hit one base further than the best: the plus strand shows the base, the minus strand (text in its orientation) does not
     assert align.canonical("ACGTACGT", "TACGTACGTA", True)[0] == "8M1D"
