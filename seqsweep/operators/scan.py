@@ -12,6 +12,7 @@ A pattern's N matches every base at no cost; a masked base of the text costs 1 a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ for _i, _c in enumerate("ACGT"):
     CODE[ord(_c)] = CODE[ord(_c.lower())] = _i
 MOST_PATTERNS = 100_000
 LEAST_SEED, MOST_SEED = 4, 10
+#: Patterns whose forms are held in one set of tables; positions that are searched at once; rows of a batch of hits.
+BLOCK, AT_ONCE, MOST_ROWS = 1 << 14, 1 << 18, 1 << 14
+BESIDE = 5
 
 HITS = "spacer_idx int, strand string, chrom_idx int, chrom string, end bigint, distance int, context string, context_end int"
 
@@ -109,102 +113,161 @@ def _levenshtein_any(lanes: np.ndarray, patterns: list[str]) -> np.ndarray:
     return out
 
 
+def allowances(m: int, k: int, edits: bool) -> list[int]:
+    """The errors, 0 or 1, that each part of a pattern may have: of parts with k errors in all, one has no more than its own.
+
+    Fewer parts are longer, so fewer places have them, but those with an error have many forms; the choice that leaves
+    fewer places is taken.
+    """
+
+    def places(allowed: list[int]) -> float:
+        size = min(m // len(allowed), MOST_SEED)
+        return sum((9 if edits else 3) * size if a else 1 for a in allowed) / 4**size
+
+    return min([0] * (k + 1), [0] * (1 - k % 2) + [1] * ((k + 1) // 2), key=places)
+
+
+def forms(codes: np.ndarray, error: int, edits: bool, right: bool) -> np.ndarray:
+    """(form, pattern): packed bases, as many as the part has, that end (right) or begin where the part does with at most `error` errors."""
+    size = codes.shape[1]
+    packed = lambda x: pack(x.T).astype(np.int64)
+    out = [packed(codes)]
+    for j in range(size if error else 0):
+        other = codes.copy()
+        for x in range(4):
+            other[:, j] = x
+            out.append(packed(other))
+            if edits and j:
+                out.append(packed(np.insert(codes, j, x, 1)[:, 1:] if right else np.insert(codes, j, x, 1)[:, :size]))
+            if edits:
+                out.append(packed(np.insert(np.delete(codes, j, 1), 0 if right else size - 1, x, 1)))
+    return np.stack(out)
+
+
 class Seeds:
-    """Patterns of one length and their k + 1 parts."""
+    """Patterns of one length, and the forms of their parts by which their places are found."""
 
-    def __init__(self, patterns: list[tuple[int, str]], k: int):
+    def __init__(self, patterns: list[tuple[int, str]], k: int, edits: bool):
         self.number = np.array([i for i, _ in patterns])
-        codes = np.stack([CODE[np.frombuffer(p.encode(), np.uint8)] for _, p in patterns]).astype(np.uint64)
+        self.codes = codes = CODE[np.frombuffer("".join(p for _, p in patterns).encode(), np.uint8)].reshape(len(patterns), -1)
         self.length = m = codes.shape[1]
-        self.k = k
+        self.k, self.edits = k, edits
+        wide = codes.astype(np.uint64)
+        allowed = allowances(m, k, edits)
+        most = MOST_SEED if len(allowed) <= 8 else 8
         self.parts = []
-        for i in range(k + 1):
-            at = i * m // (k + 1)
-            size = min((i + 1) * m // (k + 1) - at, MOST_SEED)
-            key = np.zeros(len(codes), np.int64)
-            for j in range(at, at + size):
-                key = key * 4 + codes[:, j].astype(np.int64)
-            order = np.argsort(key, kind="stable")
-            first = np.searchsorted(key[order], np.arange(4**size + 1))
-            self.parts.append((at, size, order, first))
-        self.packed = [pack(codes[:, a : a + 32].T) for a in range(0, m, 32)]
+        for i, error in enumerate(allowed):
+            begin, end = i * m // len(allowed), (i + 1) * m // len(allowed)
+            right = i < len(allowed) - 1 or len(allowed) == 1  # whether the text behind the part is looked at, or that ahead
+            size = min(end - begin, most)
+            at = end - size if right else begin
+            key = forms(wide[:, at : at + size], error, edits, right)
+            entry = np.arange(len(codes)) * 2 + (key == key[0])  # odd: the part has no error here
+            rows = np.unique((key << 32) + entry)
+            first = np.concatenate([[0], np.cumsum(np.bincount(rows >> 32, minlength=4**size))]).astype(np.int32)
+            beside = wide[:, at + size : at + size + MOST_SEED][:, ::-1] if right else wide[:, max(0, at - MOST_SEED) : at]
+            self.parts.append((at, size, error, right, first[1:] > first[:-1], first, (rows & 0xFFFFFFFF).astype(np.int32), beside.shape[1], pack(beside.T).astype(np.uint32) if beside.shape[1] else None))
+        self.pieces = [(a, min(MOST_SEED, m - a), pack(wide[:, a : a + MOST_SEED].T).astype(np.uint32)) for a in range(0, m, MOST_SEED)]
         self.eq = np.zeros((len(codes), 6), np.uint64)
         for j in range(min(m, 64)):
-            self.eq[np.arange(len(codes)), codes[:, j].astype(np.int64)] |= np.uint64(1 << j)
-
-    def places(self, codes: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(pattern, where it would begin, where the part is) for every part that stands in the text, in slices of about `most`."""
-        bad = np.concatenate([[0], np.cumsum(codes > 3)])
-        clean = np.where(codes > 3, 0, codes).astype(np.int32)
-        for at, size, order, first in self.parts:
-            n = len(codes) - size + 1
-            if n < 1:
-                continue
-            key = np.zeros(n, np.int32)
-            for j in range(size):
-                key = key * 4 + clean[j : j + n]
-            count = np.where(bad[size:] == bad[:n], first[key + 1] - first[key], 0)
-            here = np.flatnonzero(count)
-            count = count[here]
+            self.eq[np.arange(len(codes)), codes[:, j]] |= np.uint64(1 << j)
+
+    def places(self, text: Text, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(pattern, where it would begin) for the forms that stand in the text, in slices of about `most`.
+
+        Masked bases are looked up as some base: forms with an error have them all.
+        """
+        for at, size, error, right, known, first, entries, beside, other in self.parts:
+            key = text.ahead if size == MOST_SEED else text.ahead >> 2 * (MOST_SEED - size)
+            here = np.flatnonzero(known[key])
+            here = here[text.masked[here + size] - text.masked[here] <= error]
+            low = first[key[here]]
+            count = first[key[here] + 1] - low
             ends = np.cumsum(count)
             a = 0
             while a < len(here):
                 b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")), a + 1)
                 c = count[a:b]
-                slot = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(first[key[here[a:b]]], c)
-                spot = np.repeat(here[a:b], c)
-                yield order[slot], spot - at, spot
+                entry = entries[np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c - low[a:b], c)]
+                pattern, spot = entry >> 1, np.repeat(here[a:b], c)
+                if self.edits and self.k <= 3 and beside:
+                    ok = self.goes_on(text, pattern, spot + size if right else spot, right, beside, other)
+                    if self.k == 3:
+                        ok |= (entry & 1).astype(bool)
+                    pattern, spot = pattern[ok], spot[ok]
+                yield pattern, spot - at
                 a = b
 
-    def hamming(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(pattern, exclusive end, distance); low and high bound what each position may read."""
-        m, n = self.length, len(codes) - self.length + 1
-        if n < 1:
-            return
-        clean, bad = np.where(codes > 3, 0, codes).astype(np.uint64), (codes > 3).astype(np.uint64)
-        words = [(pack([clean[a + j : a + j + n] for j in range(min(32, m - a))]), pack([bad[a + j : a + j + n] for j in range(min(32, m - a))])) for a in range(0, m, 32)]
-        odd = np.uint64(0x5555555555555555)
-        found = []
-        for pattern, start, _ in self.places(codes):
-            ok = (start >= 0) & (start < n)
-            pattern, start = pattern[ok], start[ok]
-            ok = (start >= low[start + m - 1]) & (start + m <= high[start + m - 1])
+    @staticmethod
+    def goes_on(text: Text, pattern: np.ndarray, spot: np.ndarray, right: bool, size: int, other: np.ndarray) -> np.ndarray:
+        """Whether the `size` bases beside a part go on in the text beside `spot` with at most two errors.
+
+        For each diagonal a mask of unequal bases, two bits a base; by number of errors the farthest row of each. A
+        masked base may count as equal, so all that do are among those that this finds.
+        """
+        mine, end = other[pattern], np.uint32(2 * size)
+        two, odd, stop = np.uint32(2), np.uint32(0x55555555 & ((1 << 2 * size) - 1)), np.uint32(1 << 2 * size)
+
+        def unequal(d: int) -> np.ndarray:
+            x = (text.behind[spot + d] if right else text.ahead[spot - d - MOST_SEED].astype(np.uint32)) ^ mine
+            return ((x | (x >> np.uint32(1))) & odd) | stop
+
+        def along(mask: np.ndarray, row: np.ndarray) -> np.ndarray:
+            row = np.minimum(row, end)
+            rest = mask >> row
+            return row + np.bitwise_count((rest & -rest) - np.uint32(1))
+
+        here, more, less = unequal(0), unequal(1), unequal(-1)
+        f = along(here, np.zeros(len(spot), np.uint32))
+        a, p, m = along(here, f + two), along(more, f), along(less, f + two)
+        best = along(here, np.maximum(np.maximum(a, p) + two, m))
+        best = np.maximum(best, along(more, np.maximum(p + two, a)))
+        best = np.maximum(best, along(less, np.maximum(m, a) + two))
+        best = np.maximum(best, along(unequal(2), p))
+        return np.maximum(best, along(unequal(-2), m + two)) >= end
+
+    def found(self, text: Text) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(pattern, exclusive end, distance), each end once; some are beyond a piece's own."""
+        wide = len(text.codes)
+        if self.edits:
+            keys = [np.unique(pattern.astype(np.int64) * wide + start) for pattern, start in self.places(text)]
+            yield from self.levenshtein(text, np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64))
+        else:
+            yield from self.hamming(text)
+
+    def hamming(self, text: Text) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        odd, found = np.uint32(0x55555555), []
+        for pattern, start in self.places(text):
+            d = np.zeros(len(start), np.uint16)
+            for a, size, mine in self.pieces:
+                x = (text.ahead[start + a].astype(np.uint32) >> np.uint32(2 * (MOST_SEED - size))) ^ mine[pattern]
+                d += np.bitwise_count((x | (x >> np.uint32(1))) & odd)
+            ok = d <= self.k  # masked bases may count as equal so far
             pattern, start = pattern[ok], start[ok]
-            d = np.zeros(len(start), np.int64)
-            for (text, masked), mine in zip(words, self.packed, strict=True):
-                x = text[start] ^ mine[pattern]
-                d += np.bitwise_count(((x | (x >> np.uint64(1))) & odd) | masked[start])
-            ok = d <= self.k
-            found.append(np.stack([pattern[ok], start[ok] + m, d[ok]]))
+            for a in range(0, len(start), 1 << 14):
+                p, s = pattern[a : a + (1 << 14)], start[a : a + (1 << 14)]
+                bases = text.codes[s[:, None] + np.arange(self.length)]
+                d = (bases != self.codes[p]).sum(1)
+                ok = (d <= self.k) & ~(bases == BESIDE).any(1)
+                found.append(np.stack([p[ok], s[ok] + self.length, d[ok]]))
         yield from once(found)
 
-    def levenshtein(self, codes: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """The same by the least edit distance of the texts that end there."""
-        m, k, n = self.length, self.k, len(codes)
+    def levenshtein(self, text: Text, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ends of up to k to both sides of each place (pattern * length of the text + start)."""
+        m, k = self.length, self.k
         width = m + 3 * k
-        wide = np.int64(n + 2 * width)
-        piece = np.cumsum(np.r_[0, low[1:] != low[:-1]])
-        last = np.flatnonzero(np.r_[low[1:] != low[:-1], True])
-        keys = [np.unique((pattern * len(last) + piece[spot]) * wide + start + width) for pattern, start, spot in self.places(codes)]
-        keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         found = []
         word = np.uint32 if m < 32 else np.uint64
         one, top, full = word(1), word(m - 1), word((1 << m) - 1)
-        table = self.eq.astype(word)
+        table = self.eq.astype(word).ravel()
         for a in range(0, len(keys), 1 << 13):
-            some = keys[a : a + (1 << 13)]
-            pattern, mine, end = some // wide // len(last), last[some // wide % len(last)], some % wide - width + m
-            lo, hi = low[mine], high[mine]
-            at = end - m - 2 * k
-            eq = table[pattern]
-            row = np.arange(len(pattern))
+            pattern, start = np.divmod(keys[a : a + (1 << 13)], len(text.codes))
+            at, row = start - 2 * k, pattern * 6
             pv, mv = np.full(len(pattern), full), np.zeros(len(pattern), word)
             score = np.full(len(pattern), m, np.int32)
             with np.errstate(over="ignore"):
                 for j in range(width):
-                    spot = at + j
-                    inside = (spot >= lo) & (spot < hi)
-                    e = eq[row, np.where(inside, codes[np.clip(spot, 0, n - 1)], 5)]
+                    e = table[row + text.codes[at + j]]
                     xv = e | mv
                     xh = (((e & pv) + pv) ^ pv) | e
                     ph = (mv | ~(xh | pv)) & full
@@ -215,11 +278,40 @@ class Seeds:
                     pv = (mh | ~(xv | ph)) & full
                     mv = ph & xv & full
                     if j >= width - 2 * k - 1:
-                        ok = inside & (score <= k)
-                        found.append(np.stack([pattern[ok], spot[ok] + 1, score[ok]]))
+                        ok = score <= k
+                        found.append(np.stack([pattern[ok], at[ok] + j + 1, score[ok]]))
         yield from once(found)
 
 
+@lru_cache(maxsize=16)
+def seeds_of(patterns: tuple[tuple[int, str], ...], k: int, edits: bool) -> Seeds:
+    """Kept from task to task of a worker."""
+    return Seeds(list(patterns), k, edits)
+
+
+class Text:
+    """Pieces of text end to end, with `gap` positions that match nothing ahead of each and after the last."""
+
+    def __init__(self, pieces: list[np.ndarray], gap: int):
+        length = np.array([len(x) for x in pieces])
+        self.at = np.cumsum(length + gap) - length
+        self.end = self.at + length
+        self.codes = np.full(int(self.end[-1]) + gap, BESIDE, np.uint8)
+        for a, x in zip(self.at.tolist(), pieces, strict=True):
+            self.codes[a : a + len(x)] = x
+        self.masked = np.concatenate([[0], np.cumsum(self.codes > 3, dtype=np.int32)])
+        one = (self.codes & 3).astype(np.uint32)
+        two = one[:-1] << np.uint32(2) | one[1:]
+        four = two[:-2] << np.uint32(4) | two[2:]
+        eight = four[:-4] << np.uint32(8) | four[4:]
+        #: The bases from each position on, packed with the first one highest, and with the first one lowest.
+        self.ahead = (eight[:-2] << np.uint32(4) | two[8:]).astype(np.intp)
+        two = one[:-1] | one[1:] << np.uint32(2)
+        four = two[:-2] | two[2:] << np.uint32(4)
+        eight = four[:-4] | four[4:] << np.uint32(8)
+        self.behind = eight[:-2] | two[8:] << np.uint32(16)
+
+
 def pack(columns) -> np.ndarray:
     """Two bits a base, the first base highest."""
     out = np.zeros(len(columns[0]), np.uint64)
@@ -238,6 +330,22 @@ def once(found: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     yield rows[0, new], rows[1, new], rows[2, new]
 
 
+def letters(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """The bytes of a string column, and where each row begins and the last one ends."""
+    column = column.cast(pa.string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(len(column) + 1, np.int32)
+    return np.frombuffer(data or b"", np.uint8), at.tolist()
+
+
+def strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[begin:end] of each row."""
+    size = end - begin
+    at = np.concatenate([[0], np.cumsum(size)])
+    spot = np.arange(at[-1]) - np.repeat(at[:-1] - begin, size)
+    return pa.StringArray.from_buffers(len(begin), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[spot]))
+
+
 def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mode: str, flank: int = 0, region: tuple[str, int, int] | None = None, lane: int = 512) -> DataFrame:
     """Raw hits: `end` is exclusive, on the forward strand for both strands; `context` are the bases around it.
 
@@ -255,51 +363,42 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
     for i, (_, _, p) in enumerate(patterns):
         seeded = "N" not in p and len(p) // (k + 1) >= LEAST_SEED and (len(p) <= 64 or mode == "hamming")
         (by_length.setdefault(len(p), []) if seeded else rest).append((i, p))
+    blocks = [tuple(found[a : a + BLOCK]) for found in by_length.values() for a in range(0, len(found), BLOCK)]
 
     names = [f.split()[0] for f in HITS.split(", ")]
-    kinds = (pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
-    Tile = tuple[int, str, int, int, int, str]  # chrom_idx, chrom, first and last position to answer for, text_start, text
-
-    def by_seeds(tiles_held: list[Tile], groups: list[Seeds]) -> Iterator[tuple[int, int, int, int]]:
-        """(tile, pattern, exclusive end, distance); many tiles' texts go through end to end."""
-        a = 0
-        while a < len(tiles_held):
-            parts, meta, size, b = [], [], 0, a
-            while b < len(tiles_held) and size < 1 << 18:
-                _, _, low, high, start, text = tiles_held[b]
-                first = max(start, low - reach, region[1] if region else 0)
-                parts.append(CODE[np.frombuffer(text.encode(), np.uint8)][first - start : high - start])
-                meta.append((size, len(parts[-1]), first, low))
-                size += len(parts[-1])
-                b += 1
-            codes = np.concatenate(parts)
-            at, n, first, answer = (np.array(x) for x in zip(*meta, strict=True))
-            low, high = np.repeat(at, n), np.repeat(at + n, n)
-            for g in groups:
-                for pattern, end, d in (g.hamming if mode == "hamming" else g.levenshtein)(codes, low, high):
-                    t = np.searchsorted(at, end - 1, "right") - 1
-                    place = end - at[t] + first[t]
-                    ok = place > answer[t]
-                    yield from zip((t[ok] + a).tolist(), g.number[pattern[ok]].tolist(), place[ok].tolist(), d[ok].tolist(), strict=True)
-            a = b
-
-    def by_shifts(tiles_held: list[Tile]) -> Iterator[tuple[int, int, int, int]]:
+    Tile = tuple[int, int, int, np.ndarray]  # first and last position to answer for, first position of the text, the text's bytes
+    Found = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # tile, pattern, exclusive end, distance
+
+    def by_seeds(held: list[Tile]) -> Found:
+        """The texts of all held tiles go through end to end."""
+        first = np.array([max(start, low - reach, region[1] if region else 0) for low, _, start, _ in held])
+        answer = np.array([low for low, *_ in held])
+        text = Text([CODE[data[f - start : high - start]] for f, (_, high, start, data) in zip(first.tolist(), held, strict=True)], longest + 3 * k + MOST_SEED + 2)
+        for block in blocks:
+            seeds = seeds_of(block, k, mode != "hamming")
+            for pattern, end, d in seeds.found(text):
+                t = np.searchsorted(text.at, end - 1, "right") - 1
+                place = end - text.at[t] + first[t]
+                ok = (t >= 0) & (end <= text.end[t]) & (place > answer[t])
+                yield t[ok], seeds.number[pattern[ok]], place[ok], d[ok]
+
+    def by_shifts(held: list[Tile]) -> Found:
         """The same, every pattern at every position."""
-        for t, (_, _, low, high, start, text) in enumerate(tiles_held):
+        for t, (low, high, start, data) in enumerate(held):
             first = max(start, low - longest, region[1] if region else 0)
-            codes = CODE[np.frombuffer(text.encode(), np.uint8)][first - start : high - start]
+            codes = CODE[data[first - start : high - start]]
             for i, p in rest:
                 at, d = hamming(codes, p, k)
                 ok = at + first >= low
-                yield from ((t, i, e, x) for e, x in zip((at[ok] + first + 1).tolist(), d[ok].tolist(), strict=True))
+                yield np.full(int(ok.sum()), t), np.full(int(ok.sum()), i), at[ok] + first + 1, d[ok]
 
-    def by_lanes(tiles_held: list[Tile]) -> Iterator[tuple[int, int, int, int]]:
+    def by_lanes(held: list[Tile]) -> Found:
         """The same by Levenshtein distance; the lanes of all held tiles go through the columns together."""
         width = lane + reach
         rows, meta = [], []
-        for t, (_, _, low, high, start, text) in enumerate(tiles_held):
+        for t, (low, high, start, data) in enumerate(held):
             first = max(start, low - reach, region[1] if region else 0)
-            codes = CODE[np.frombuffer(text.encode(), np.uint8)][first - start : high - start]
+            codes = CODE[data[first - start : high - start]]
             for b in range(low, high, lane):
                 a = max(first, b - reach)
                 row = np.full(width, 5, np.uint8)
@@ -307,6 +406,7 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
                 row[: len(part)] = part
                 rows.append(row)
                 meta.append((t, a, b, min(b + lane, high)))
+        number = np.array([i for i, _ in rest])
         for a in range(0, len(rows), 192):
             block, where = np.stack(rows[a : a + 192]), np.array(meta[a : a + 192])
             for g in range(0, len(rest), 16):
@@ -315,29 +415,51 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
                 place = where[r, 1] + j
                 ok = (place >= where[r, 2]) & (place < where[r, 3])
                 i, r, j, place = i[ok], r[ok], j[ok], place[ok]
-                yield from zip(where[r, 0].tolist(), (rest[x][0] for x in (g + i).tolist()), (place + 1).tolist(), dist[i, r, j].tolist(), strict=True)
+                yield where[r, 0], number[g + i], place + 1, dist[i, r, j]
+
+    spacer = np.array([i for i, _, _ in patterns], np.int32)
+    plus = np.array([s == "+" for _, s, _ in patterns], bool)
+
+    def tiles_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[Tile]]]:
+        """(rows, tiles) to search at once."""
+        size, c0, n, t0 = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tolist() for c in ("seq_len", "core_start", "core_len", "text_start"))
+        wanted = [not region or x == region[0] for x in batch.column("chrom").to_pylist()] if region else [True] * batch.num_rows
+        data, at = letters(batch.column("text"))
+        rows, held, total = [], [], 0
+        for r in range(batch.num_rows):
+            low, high = (max(c0[r], region[1]), min(c0[r] + n[r], region[2])) if region else (c0[r], c0[r] + n[r])
+            if low < high and wanted[r]:
+                text = data[at[r] : at[r + 1]]
+                if low - t0[r] < min(max(reach, left), low) or t0[r] + len(text) < min(high + flank, size[r]):
+                    raise ValueError(f"the tiles' margin is too small for these patterns: it must be {margin_for(longest, k, flank)} or more")
+                rows.append(r)
+                held.append((low, high, t0[r], text))
+                total += len(text)
+            if total >= AT_ONCE:
+                yield np.array(rows), held
+                rows, held, total = [], [], 0
+        if held:
+            yield np.array(rows), held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = [Seeds(p, k) for p in by_length.values()]
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                held = []
-                for idx, chrom, size, c0, n, t0, text in zip(*(part.column(c).to_pylist() for c in ("chrom_idx", "chrom", "seq_len", "core_start", "core_len", "text_start", "text")), strict=True):
-                    low, high = (max(c0, region[1]), min(c0 + n, region[2])) if region else (c0, c0 + n)
-                    if low < high and (not region or chrom == region[0]):
-                        if low - t0 < min(max(reach, left), low) or t0 + len(text) < min(high + flank, size):
-                            raise ValueError(f"the tiles' margin is too small for these patterns: it must be {margin_for(longest, k, flank)} or more")
-                        held.append((idx, chrom, low, high, t0, text))
-                rows = []
-                every = [by_seeds(held, groups)] if groups else []
+            for rows, held in tiles_of(batch):
+                data = np.concatenate([x for *_, x in held])
+                size = np.array([len(x) for *_, x in held])
+                begin, start = np.cumsum(size) - size, np.array([x[2] for x in held])
+                every = [by_seeds(held)] if blocks else []
                 every += [(by_shifts if mode == "hamming" else by_lanes)(held)] if rest else []
                 for t, i, e, d in (x for found in every for x in found):
-                    idx, chrom, _, _, t0, text = held[t]
-                    begin = max(t0, e - left)
-                    rows.append((patterns[i][0], patterns[i][1], idx, chrom, e, d, text[begin - t0 : e + flank - t0], e - begin))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                    for a in range(0, len(t), MOST_ROWS):
+                        tile, pattern, end = t[a : a + MOST_ROWS], i[a : a + MOST_ROWS], e[a : a + MOST_ROWS]
+                        first = np.maximum(start[tile], end - left)
+                        at = begin[tile] - start[tile]
+                        context = strings(data, at + first, np.minimum(at + end + flank, begin[tile] + size[tile]))
+                        row = pa.array(rows[tile])
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(spacer[pattern]), pa.array(["-", "+"]).take(pa.array(plus[pattern].astype(np.int8))), batch.column("chrom_idx").take(row), batch.column("chrom").take(row),
+                            pa.array(end.astype(np.int64)), pa.array(d[a : a + MOST_ROWS].astype(np.int32)), context, pa.array((end - first).astype(np.int32)),
+                        ], names=names)
 
     if region:
         tiles = tiles.where((F.col("chrom") == region[0]) & (F.col("core_start") < region[2]) & (F.col("core_start") + F.col("core_len") > region[1]))

@@ -75,6 +75,36 @@ def test_seeds_equal_brute_force(spark, mode, k, length):
     assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("mode,k,length", [("hamming", 2, 20), ("hamming", 3, 18), ("hamming", 5, 31), ("levenshtein", 2, 20), ("levenshtein", 3, 20), ("levenshtein", 3, 17), ("levenshtein", 3, 23), ("levenshtein", 4, 24)])
+def test_seeds_beside_ends_and_masked_bases(spark, monkeypatch, mode, k, length):
+    r = random.Random(length * 100 + k)
+    guides = ["".join(r.choices("ACGT", k=length)) for _ in range(12)] + ["A" * length, "CA" * length]
+    guides = [g[:length] for g in guides]
+    seqs = []
+    for g in guides * 6:
+        t = list(g)
+        for _ in range(r.randint(0, k)):
+            t[r.randint(0, len(t) - 1)] = r.choice("ACGTN") if mode == "hamming" else r.choice(["", "N", "A", "GC", "NT"])
+            t = t or ["A"]
+        seqs.append("".join(r.choices("ACGTN", k=r.choice([0, 0, 1, 9]))) + "".join(t)[r.choice([0, 0, 1, 2]) :] + "".join(r.choices("ACGTN", k=r.choice([0, 0, 1, 9]))))
+    monkeypatch.setattr(scan, "BLOCK", 5)
+    monkeypatch.setattr(scan, "AT_ONCE", 100)
+    pats = scan.oriented(list(enumerate(guides)), "both")
+    tiles = readers.tile(genome_of(spark, seqs), core=150, margin=scan.margin_for(length, k, 0))
+    got = [((x.spacer_idx, x.strand, x.chrom_idx, x.end), x.distance) for x in scan.kernel(tiles, pats, k=k, mode=mode).collect()]
+    plain = brute.hamming_ends if mode == "hamming" else brute.levenshtein_ends
+    want = {(g, s, c, e): d for g, s, p in pats for c, q in enumerate(seqs) for e, d in plain(q, p, k).items()}
+    assert dict(got) == want and len(got) == len(want) > 20
+
+
+@pytest.mark.parametrize("edits", [False, True])
+def test_seeds_leave_few_places(edits):
+    r = np.random.default_rng(5)
+    patterns = tuple((i, "".join(x)) for i, x in enumerate(r.choice(list("ACGT"), (3000, 20))))
+    text = scan.Text([r.integers(0, 4, 50_000).astype(np.uint8)], 60)
+    assert sum(len(p) for p, _ in scan.seeds_of(patterns, 3, edits).places(text)) < (0.05 if edits else 0.3) * len(text.codes)
+
+
 @pytest.mark.parametrize("length", [300, 600, 700])
 def test_long_guides_at_tile_borders(spark, length):
     r = random.Random(length)
