@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqsweep.arrow import through
 from seqsweep.functions import seq as S
 from seqsweep.operators.scan import CODE
 
@@ -280,4 +281,4 @@ def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, moti
             new = [pa.array(c, t) for c, t in zip(cols[1:], (pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int32()), strict=True)]
             yield pa.RecordBatch.from_arrays([*same, *new], names=schema.names)
 
-    return hits.mapInArrow(run, schema)
+    return through(hits, run, schema)

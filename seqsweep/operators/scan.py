@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqsweep.arrow import letters, strings, through
 from seqsweep.functions import seq as S
 
 CODE = np.full(256, 4, np.uint8)
@@ -330,22 +331,6 @@ def once(found: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
     yield rows[0, new], rows[1, new], rows[2, new]
 
 
-def letters(column: pa.Array) -> tuple[np.ndarray, list[int]]:
-    """The bytes of a string column, and where each row begins and the last one ends."""
-    column = column.cast(pa.string())
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] if offsets else np.zeros(len(column) + 1, np.int32)
-    return np.frombuffer(data or b"", np.uint8), at.tolist()
-
-
-def strings(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
-    """data[begin:end] of each row."""
-    size = end - begin
-    at = np.concatenate([[0], np.cumsum(size)])
-    spot = np.arange(at[-1]) - np.repeat(at[:-1] - begin, size)
-    return pa.StringArray.from_buffers(len(begin), pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data[spot]))
-
-
 def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mode: str, flank: int = 0, region: tuple[str, int, int] | None = None, lane: int = 512) -> DataFrame:
     """Raw hits: `end` is exclusive, on the forward strand for both strands; `context` are the bases around it.
 
@@ -425,6 +410,7 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
         size, c0, n, t0 = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tolist() for c in ("seq_len", "core_start", "core_len", "text_start"))
         wanted = [not region or x == region[0] for x in batch.column("chrom").to_pylist()] if region else [True] * batch.num_rows
         data, at = letters(batch.column("text"))
+        at = at.tolist()
         rows, held, total = [], [], 0
         for r in range(batch.num_rows):
             low, high = (max(c0[r], region[1]), min(c0[r] + n[r], region[2])) if region else (c0[r], c0[r] + n[r])
@@ -463,7 +449,7 @@ def kernel(tiles: DataFrame, patterns: list[tuple[int, str, str]], *, k: int, mo
 
     if region:
         tiles = tiles.where((F.col("chrom") == region[0]) & (F.col("core_start") < region[2]) & (F.col("core_start") + F.col("core_len") > region[1]))
-    return tiles.mapInArrow(run, HITS)
+    return through(tiles, run, HITS)
 
 
 def margin_for(longest: int, k: int, flank: int) -> int:

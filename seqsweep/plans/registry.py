@@ -28,9 +28,13 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def genome(spark: SparkSession, sf: str) -> DataFrame:
+def documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
-    return docs.repartition(partitions(spark)).select(F.col("doc_id").cast("int").alias("chrom_idx"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), S.encode_text(F.col("text")).alias("seq"))
+    return docs.repartition(partitions(spark))
+
+
+def genome(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select(F.col("doc_id").cast("int").alias("chrom_idx"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), S.encode_text(F.col("text")).alias("seq"))
 
 
 def prefixes(spark: SparkSession, sf: str, n: int) -> DataFrame:
@@ -55,7 +59,7 @@ def intervals(spark: SparkSession, sf: str) -> DataFrame:
 
 def found(spark: SparkSession, sf: str, **options) -> DataFrame:
     wanted = engine.Search(**{"threshold": K, "distance_mode": "hamming", "penalties": score.linear_penalties(), "pam_extract_length": 3} | options)
-    return engine.search(readers.tile(genome(spark, sf)), guides(spark, sf), wanted)
+    return engine.search(readers.tile(readers.encoded(documents(spark, sf))), guides(spark, sf), wanted)
 
 
 PLACE = ("spacer_idx", "strand", "chrom", "start", "end", "distance")

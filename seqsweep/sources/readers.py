@@ -10,12 +10,17 @@ import gzip
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqsweep.arrow import letters, portions, texts, through
 from seqsweep.functions import seq as S
 
+#: Bytes of text that a Python worker cuts into tiles at once.
+MOST_BYTES = 1 << 21
 TILES = "chrom_idx int, chrom string, seq_len bigint, core_start bigint, core_len int, text_start bigint, text string"
 
 
@@ -61,16 +66,52 @@ def resolve(positions: DataFrame, genome: DataFrame, column: str = "position") -
 def tile(genome: DataFrame, *, core: int = 1 << 14, margin: int = 512) -> DataFrame:
     """The genome in tiles of `core` positions with `margin` bases to both sides; one pass over each sequence."""
 
+    names, kinds = [f.split()[0] for f in TILES.split(", ")], (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for idx, name, seq in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows = [(idx, name, len(seq), a, min(core, len(seq) - a), max(0, a - margin), seq[max(0, a - margin) : a + core + margin]) for a in range(0, len(seq or ""), core)]
-                for a in range(0, len(rows), 256):
-                    part = list(zip(*rows[a : a + 256], strict=True))
-                    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names=[f.split()[0] for f in TILES.split(", ")])
-
-    return genome.select(F.col("chrom_idx").cast("int"), "chrom", "seq").where("seq is not null").mapInArrow(cut, TILES)
+        for batch in (part for whole in batches for part in portions(whole, "seq", MOST_BYTES)):
+            data, at = letters(batch.column("seq"))
+            rows, pieces, places, total = [], [], [], 0
+            for r, (begin, end) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                size = end - begin
+                for a in range(0, size, core):
+                    first = max(0, a - margin)
+                    rows.append(r)
+                    pieces.append(data[begin + first : begin + min(size, a + core + margin)])
+                    places.append((size, a, min(core, size - a), first))
+                    total += len(pieces[-1])
+                    if total >= MOST_BYTES:
+                        yield tiles(batch, rows, pieces, places)
+                        rows, pieces, places, total = [], [], [], 0
+            if rows:
+                yield tiles(batch, rows, pieces, places)
+
+    def tiles(batch: pa.RecordBatch, rows: list[int], pieces: list[np.ndarray], places: list[tuple]) -> pa.RecordBatch:
+        row = pa.array(rows, pa.int32())
+        text = texts(np.concatenate(pieces), np.array([len(x) for x in pieces]))
+        return pa.RecordBatch.from_arrays([batch.column("chrom_idx").take(row), batch.column("chrom").take(row), *(pa.array(c, t) for c, t in zip(zip(*places, strict=True), kinds, strict=True)), text], names=names)
+
+    if not hasattr(genome, "_through"):
+        genome = genome.select(F.col("chrom_idx").cast("int"), "chrom", "seq").where("seq is not null")
+    return through(genome, cut, TILES)
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    """The genome of texts (doc_id, text), none of them null: `encode_text` byte by byte; for tables without sequences."""
+    base = np.zeros(256, np.uint8)
+    for i, c in enumerate(range(ord("a"), ord("z") + 1)):
+        base[c] = base[c - 32] = ord("N" if c == ord("z") else "ACGT"[i % 4])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in portions(whole, "text", MOST_BYTES)):
+            data, at = letters(batch.column("text"))
+            found = base[data[at[0] : at[-1]]]
+            kept = np.concatenate([[0], np.cumsum(found != 0)])[at - at[0]]
+            number = batch.column("doc_id")
+            name = pc.binary_join_element_wise(pa.scalar("doc_"), number.cast(pa.string()), "")
+            yield pa.RecordBatch.from_arrays([number.cast(pa.int32()), name, texts(found[found != 0], np.diff(kept))], names=["chrom_idx", "chrom", "seq"])
+
+    return through(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "chrom_idx int, chrom string, seq string")
 
 
 def write_index(tiles: DataFrame, path: str) -> None:

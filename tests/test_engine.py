@@ -230,6 +230,24 @@ def test_readers(spark, tmp_path):
         readers.read_fasta(spark, str(tmp_path / "c.fa")).collect()
 
 
+def test_encoded_texts_and_tiles(spark, monkeypatch):
+    monkeypatch.setattr(readers, "MOST_BYTES", 50)
+    texts = ["", "Zebra, zOO!", "İstanbul ﬁ K\u212a é\u0130", "123 \n", "abc" * 70, "x" * 33, "The quick brown fox"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = docs.select(F.col("doc_id").cast("int").alias("chrom_idx"), F.concat(F.lit("doc_"), "doc_id").alias("chrom"), S.encode_text(F.col("text")).alias("seq"))
+    assert sorted(map(tuple, readers.encoded(docs).collect())) == sorted(map(tuple, whole.collect()))
+    tiles = readers.tile(readers.encoded(docs), core=20, margin=6)
+    want = [(i, c, len(s), a, min(20, len(s) - a), max(0, a - 6), s[max(0, a - 6) : a + 26]) for i, c, s in map(tuple, whole.collect()) for a in range(0, len(s), 20)]
+    assert sorted(map(tuple, tiles.collect())) == sorted(map(tuple, readers.tile(whole, core=20, margin=6).collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("mode", ["hamming", "levenshtein"])
+def test_search_runs_in_one_python_worker(spark, mode):
+    docs = spark.createDataFrame([(0, "some text")], "doc_id long, text string")
+    hits = engine.search(readers.tile(readers.encoded(docs)), guides_of(spark, ["ACGTTGCAACGTTGCAAGTC"]), engine.Search(distance_mode=mode))
+    assert hits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_index_round_trip(spark, tmp_path):
     tiles = readers.tile(genome_of(spark, ["ACGT" * 50, "TTTT"]), core=64, margin=8)
     path = str(tmp_path / "g.tiles")
