@@ -49,3 +49,17 @@ def portions(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Recor
         b = max(int(np.searchsorted(at, at[a] + most, "right")) - 1, a + 1)
         yield batch.slice(a, b - a)
         a = b
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """The batches, small ones together until they have so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqsweep.arrow import through
+from seqsweep.arrow import gathered, through
 from seqsweep.functions import seq as S
 from seqsweep.operators.scan import CODE
 
@@ -43,14 +44,31 @@ def trace(rows: list[list[int]], pattern: str, text: str, j: int) -> tuple[str,
     return "".join(reversed(ops + ["I"] * i)), ambiguous, j
 
 
+@lru_cache(maxsize=1 << 16)
+def runs(ops: str) -> tuple[str, tuple[tuple[int, int], ...]]:
+    """The CIGAR, and where in the text and how many bases of its own the pattern has. Few forms of alignments make up most hits."""
+    out, own, at = [], [], 0
+    for op, g in groupby(ops):
+        n = len(list(g))
+        out.append(f"{n}{op}")
+        if op == "I":
+            own.append((at, n))
+        else:
+            at += n
+    return "".join(out), tuple(own)
+
+
 def cigar(ops: str) -> str:
-    return "".join(f"{len(list(g))}{op}" for op, g in groupby(ops))
+    return runs(ops)[0]
 
 
 def gapped(ops: str, text: str) -> str:
     """The text's side of the alignment: a dash where the pattern has a base of its own."""
-    it = iter(text)
-    return "".join("-" if op == "I" else next(it, "") for op in ops)
+    out, before = [], 0
+    for at, n in runs(ops)[1]:
+        out += [text[before:at], "-" * n]
+        before = at
+    return "".join([*out, text[before:]]) if out else text
 
 
 def canonical(pattern: str, text: str, plus: bool) -> tuple[str, str, int, int]:
@@ -67,7 +85,7 @@ def canonical(pattern: str, text: str, plus: bool) -> tuple[str, str, int, int]:
     return cigar(ops), gapped(ops, text[j - used : j]), used, ambiguous
 
 
-def canonical_many(pairs: list[tuple[str, str]], plus: bool, most: int = 4096) -> list[tuple[str, str, int, int]]:
+def canonical_many(pairs: list[tuple[str, str]], plus: bool, most: int = 1024) -> list[tuple[str, str, int, int]]:
     """`canonical` of many pairs of one pattern length and one text length, cell by cell for all of them at once."""
     if not pairs or not pairs[0][1]:
         return [canonical(p, t, plus) for p, t in pairs]
@@ -212,12 +230,14 @@ class Motif:
         return bool(self.test and self.test.match(bases))
 
 
-def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, motif: str = "", side: str = "3", extract: int = 0, alignments: bool = True) -> DataFrame:
+def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, motif: str = "", side: str = "3", extract: int = 0, alignments: bool = True, ungapped: bool = False) -> DataFrame:
     """hits less their context, with alignment columns; with a motif, only hits that have it.
 
     On the side where an indel moves the motif (before a plus hit's start or a minus hit's), a Levenshtein hit may
     have it at another span: the spans of the pattern's length less k to more k are tried, and the alignment of that
     span (both ends fixed, the least distance, the shortest span of these) takes the place of the hit's own.
+
+    With `ungapped` the bases that a Hamming hit covers stand for its alignment.
     """
     kept = [c for c in hits.columns if c not in ("context", "context_end")]
     schema = T.StructType([hits.schema[c] for c in kept] + [T.StructField(n, T._parse_datatype_string(t)) for n, t in ANNOTATED])
@@ -239,6 +259,9 @@ def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, moti
             pam = next((x for x in (flank.read(context, end, plus, s) for s in spans) if flank.fits(x)), None)
             if pam is None:
                 return None
+        if ungapped:
+            text = context[end - m : end]
+            return d, text if plus else S.reverse_complement_text(text), f"{m}M", pam or None, None, None, None
         if not alignments:
             return d, None, None, pam or None, None, None, None
         text = beside(guide, plus, d, context, end)
@@ -263,10 +286,10 @@ def annotate(hits: DataFrame, guides: dict[int, str], *, k: int, mode: str, moti
         return d, seq, ops, pam or None, span, ambiguous > 0, min(ambiguous, 65535)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             rows = [(guides[g], s == "+", d, c, e) for g, s, d, c, e in zip(*(batch.column(c).to_pylist() for c in ("spacer_idx", "strand", "distance", "context", "context_end")), strict=True)]
             todo: dict[tuple[int, int, bool], set[tuple[str, str]]] = {}
-            for g, plus, d, c, e in rows if alignments else ():
+            for g, plus, d, c, e in rows if alignments and not ungapped else ():
                 if d:
                     text = beside(g, plus, d, c, e)
                     todo.setdefault((len(g), len(text), plus), set()).add((g, text))

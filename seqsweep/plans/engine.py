@@ -14,7 +14,10 @@ from seqsweep.operators import align, post, report, scan
 
 @dataclass(frozen=True)
 class Search:
-    """Options of a search. Without a motif and an extract length no motif is read, and activity scores are 0."""
+    """Options of a search. Without a motif and an extract length no motif is read, and activity scores are 0.
+
+    With `ungapped` (Hamming mode) hits have the bases that they cover instead of an alignment.
+    """
 
     threshold: int = 3
     distance_mode: str = "levenshtein"
@@ -24,6 +27,7 @@ class Search:
     pam_position: str = "3"
     pam_extract_length: int = 0
     compute_mismatches: bool = True
+    ungapped: bool = False
     compute_scores: bool = True
     deduplicate: bool = True
     treat_u_as_t: bool = True
@@ -43,6 +47,8 @@ class Search:
             raise ValueError("the motif's position must be 3 or 5")
         if self.pam:
             S.motif_regex(self.pam)
+        if self.ungapped and self.distance_mode != "hamming":
+            raise ValueError("only Hamming hits are without gaps")
         if self.pam and not self.compute_mismatches and self.distance_mode == "levenshtein":
             raise ValueError("a motif filter in Levenshtein mode needs alignments")
         if summaries and (self.max_hits or self.max_total_hits):
@@ -80,7 +86,7 @@ def search(tiles: DataFrame, guides: DataFrame, options: Search) -> DataFrame:
         region = parse_region(options.region, lengths)
     flank = (options.pam_extract_length or len(options.pam)) + (options.threshold if options.distance_mode == "levenshtein" else 0)
     raw = scan.kernel(tiles, scan.oriented(rows, options.strand), k=options.threshold, mode=options.distance_mode, flank=flank, region=region)
-    hits = align.annotate(raw, dict(rows), k=options.threshold, mode=options.distance_mode, motif=options.pam, side=options.pam_position, extract=options.pam_extract_length, alignments=options.compute_mismatches)
+    hits = align.annotate(raw, dict(rows), k=options.threshold, mode=options.distance_mode, motif=options.pam, side=options.pam_position, extract=options.pam_extract_length, alignments=options.compute_mismatches, ungapped=options.ungapped)
     merged = options.deduplicate and options.distance_mode == "levenshtein"
     if merged:
         hits = post.deduplicate(hits, k=options.threshold, side=options.pam_position)

@@ -230,10 +230,7 @@ def max_total_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 def ungapped(spark: SparkSession, sf: str) -> DataFrame:
     """Hamming hits with the bases that they cover as aligned_seq, without gaps, and the scores of these."""
-    hits = found(spark, sf, compute_mismatches=False).drop("aligned_seq", "cigar", "cfd_score").join(genome(spark, sf).select("chrom", "seq"), "chrom")
-    bases = F.expr("substring(seq, cast(start + 1 as int), 20)")
-    hits = hits.withColumn("aligned_seq", F.when(F.col("strand") == "+", bases).otherwise(S.reverse_complement(bases))).withColumn("cigar", F.lit("20M")).drop("seq")
-    return hits.withColumn("cfd_score", score.activity(F.col("pattern"), F.col("aligned_seq"), F.col("cigar"), F.col("pam_seq"), score.linear_penalties()))
+    return found(spark, sf, ungapped=True)
 
 
 @query(f'with {SCORED_SQL} select spacer_idx, strand, chrom, "end", distance, round(cfd, 6) as cfd_score from c')

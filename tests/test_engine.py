@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from seqsweep import arrow
 from seqsweep.functions import score
 from seqsweep.functions import seq as S
 from seqsweep.operators import align, post, report, scan
@@ -248,6 +250,23 @@ def test_search_runs_in_one_python_worker(spark, mode):
     assert hits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
+def test_ungapped_hits(spark):
+    guide = "ACGTTGCAACGTTGCAAGTC"
+    other = guide[:4] + "A" + guide[5:18] + "N" + guide[19:]
+    tiles = readers.tile(genome_of(spark, ["T" * 9 + other + "AGG" + "T" * 9 + S.reverse_complement_text(other) + "TT"]))
+    options = engine.Search(distance_mode="hamming", ungapped=True, pam_extract_length=3, penalties=score.linear_penalties())
+    hits = engine.search(tiles, guides_of(spark, [guide]), options).orderBy("strand").collect()
+    assert [(h.strand, h.start, h.end, h.distance, h.aligned_seq, h.cigar, h.pam_seq, round(h.cfd_score, 6)) for h in hits] == [("+", 9, 29, 2, other, "20M", "AGG", 0.8), ("-", 41, 61, 2, other, "20M", "AAA", 0.0)]
+    with pytest.raises(ValueError):
+        engine.Search(ungapped=True).check()
+
+
+def test_small_batches_are_aligned_together():
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(a, a + n))], names=["x"]) for a, n in ((0, 3), (3, 0), (3, 4), (7, 9), (16, 1))]
+    assert [b.column(0).to_pylist() for b in arrow.gathered(iter(parts), 6)] == [list(range(7)), list(range(7, 16)), [16]]
+    assert list(arrow.gathered(iter([]), 6)) == []
+
+
 def test_index_round_trip(spark, tmp_path):
     tiles = readers.tile(genome_of(spark, ["ACGT" * 50, "TTTT"]), core=64, margin=8)
     path = str(tmp_path / "g.tiles")
