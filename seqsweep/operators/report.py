@@ -51,9 +51,9 @@ def guide_summary(hits: DataFrame, guides: DataFrame, *, labels: tuple[str, ...]
 
     hits has aligned_seq, cigar, cfd_score and, with labels, `labels`. The aggregate is null for guides not of 20 bases.
     """
-    h = hits.join(guides.select("spacer_idx", F.col("sequence").alias("__guide")), "spacer_idx")
-    seed = score.seed_mismatches(F.col("__guide"), F.col("aligned_seq"), F.col("cigar"))
-    near = (seed >= 0) & (seed <= 1) & (F.col("cfd_score") >= 0)
+    h = hits.join(F.broadcast(guides.select("spacer_idx", F.col("sequence").alias("__guide"))), "spacer_idx")  # as the search sends them
+    h = h.withColumn("__seed", score.seed_mismatches(F.col("__guide"), F.col("aligned_seq"), F.col("cigar")))  # a column, or each sum counts anew
+    near = (F.col("__seed") >= 0) & (F.col("__seed") <= 1) & (F.col("cfd_score") >= 0)
     d = F.col("distance")
     sums = [F.count("*").alias("total_hits"), F.count_if(d == 0).alias("n_d0"), F.count_if(d == 1).alias("n_d1"), F.count_if(d == 2).alias("n_d2"), F.count_if(d >= 3).alias("n_d3p"), F.count_if(near).alias("n_sdr1_sites"), F.sum(F.when(near, F.col("cfd_score"))).alias("__sum")]
     sums += [F.count_if(F.array_contains("labels", x)).alias(f"n_{x}_overlaps") for x in labels]

@@ -330,6 +330,15 @@ def test_motif_hits_equal_brute_force(spark, motif, side):
     assert got == want and len(want) > 10
 
 
+def test_seeds_of_a_hit_are_counted_once(spark):
+    names = "spacer_idx int, distance int, aligned_seq string, cigar string, cfd_score double"
+    hits = spark.createDataFrame([(0, 1, "ACGTACGTACGTACGTACGA", "20M", 0.5), (0, 3, "AAAAAAGTACGTACGTACGT", "20M", 0.5)], names)
+    rows = report.guide_summary(hits, guides_of(spark, ["ACGTACGTACGTACGTACGT"]))
+    assert [(r.total_hits, r.n_sdr1_sites, r.aggregate_cfd) for r in rows.collect()] == [(2, 1, 0.5)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(sequence(") == 1
+
+
 def test_overlap_counts(spark):
     hits = spark.createDataFrame([(0, "+", 0, 10 * i, "c0", 10 * i - 5) for i in range(1, 6)], "spacer_idx int, strand string, chrom_idx int, end long, chrom string, start long")
     beds = spark.createDataFrame([("a", "c0", 8, 22), ("a", "c0", 9, 10), ("b", "c0", 40000, 40010), ("a", "c1", 0, 99)], "label string, chrom string, start long, end long")
